@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidewire.llm import mixing, url_filter
+from tidewire.llm import mixing, packing, quality, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {"op1_url_filter": url_filter.ORACLE}
