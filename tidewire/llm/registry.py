@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidewire.llm import mixing, packing, quality, url_filter
+from tidewire.llm import language_id, mixing, packing, quality, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_language_id": language_id.op4_language_id,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_warc": warc.op6_warc,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLES = {"op1_url_filter": url_filter.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op6_warc": warc.ORACLE}

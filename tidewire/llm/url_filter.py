@@ -15,7 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,12 +50,12 @@ def key_of(host: Column) -> Column:
 
 
 def _sweep(default: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack: list[tuple[str, list[tuple[str, str, str]]]] = []  # open intervals: key prefix, its (path, rule, verdict)
         at = None
-        for frame in frames:
-            rules, verdicts = [], []
-            for part, key, path, is_rule, rule, verdict in zip(frame["part"], frame["key"], frame["path"], frame["is_rule"], frame["rule"], frame["verdict"], strict=True):
+        for batch in batches:
+            rules, verdicts, pages = [], [], []
+            for i, (part, key, path, is_rule, rule, verdict) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("part", "key", "path", "is_rule", "rule", "verdict")), strict=True)):
                 if part != at:
                     at, stack = part, []
                 while stack and not key.startswith(stack[-1][0]):
@@ -71,10 +71,11 @@ def _sweep(default: str):
                         # the longest rule wins; of two as long the one with the longer host, which lies deeper
                         if path.startswith(prefix) and (best is None or len(name) >= len(best[0])):
                             best = (name, what)
+                pages.append(i)
                 rules.append(best[0] if best else None)
                 verdicts.append(best[1] if best else default)
-            out = frame.loc[~frame["is_rule"], ["page_id", "host", "path"]]
-            yield out.assign(rule=pd.Series(rules, index=out.index, dtype=object), verdict=pd.Series(verdicts, index=out.index, dtype=object))
+            own = pa.array(pages, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in ("page_id", "host", "path")), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     return run
 
@@ -111,7 +112,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url:
     )
     both = keyed.select(where("sort_key").alias("part"), "key", "sort_key", "page_id", "host", "path", F.lit(False).alias("is_rule"), F.lit("").alias("rule"), F.lit("").alias("verdict")).unionByName(own)
     schema = T.StructType([keyed.schema["page_id"], *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
-    return both.repartition(ranges, "part").sortWithinPartitions("part", "sort_key", F.desc("is_rule"), "path").mapInPandas(_sweep(default), schema)
+    return both.repartition(ranges, "part").sortWithinPartitions("part", "sort_key", F.desc("is_rule"), "path").mapInArrow(_sweep(default), schema)
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
