@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import language_id, mixing, near_dup, packing, quality, token_counts, url_filter, warc
+from tidewire.llm import language_id, lm_score, mixing, near_dup, packing, quality, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_warc": warc.op6_warc,
+    "op7_lm_score": lm_score.op7_lm_score,
     "op8_near_dup": near_dup.op8_near_dup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
