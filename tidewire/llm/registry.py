@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import language_id, lm_score, mixing, near_dup, packing, quality, token_counts, url_filter, warc
+from tidewire.llm import language_id, lm_score, mixing, near_dup, neighbours, packing, quality, token_counts, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_lm_score": lm_score.op7_lm_score,
     "op8_near_dup": near_dup.op8_near_dup,
+    "op9_nearest": neighbours.op9_nearest,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
