@@ -14,13 +14,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tidewire.llm._shared import materialize, table, text_of
+from tidewire.llm._shared import materialize, small_batches, table, text_of
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,7 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE, LONG = 400_000, 64
 #: Ranks are counted in so many rows a group at most, roughly.
 RANK_ROWS = 200_000
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,43 +40,52 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each document's ids and a final 0; null text is empty."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    small_batches(docs.sparkSession)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         known: dict[str, bytes] = {}
-        pack = lambda ids: np.asarray(ids, "<u4").tobytes()
-
-        def encode(chunks: list[str]) -> list[bytes]:
-            return [pack(e.ids) for e in tok.encode_batch(chunks, add_special_tokens=False)]
-
-        for frame in frames:
+        mark = tok.encode("\x01", add_special_tokens=False).ids[0]
+
+        def encode(chunks: list[str]) -> dict[str, bytes]:
+            """Chunks are encoded many at a time, with a mark between them; those that hold the mark go alone."""
+            out = {c: np.asarray(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks if "\x01" in c}
+            plain = [c for c in chunks if c not in out]
+            groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+            for group, found in zip(groups, tok.encode_batch_fast([" \x01 ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.asarray(found.ids, "<u4")
+                ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
+                data, at = ids.tobytes(), 0
+                for c, end in zip(group, ends, strict=True):
+                    out[c] = data[4 * at : 4 * end]
+                    at = end + 1
+            return out
+
+        for batch in batches:
             rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+            for i, text in enumerate(batch.column("text")):
                 # the tokenizer drops white space and never joins across it, so chunks between blanks can be encoded one by one
-                chunks = text.replace("\n", " ").split(" ")
+                chunks = text.as_py().replace("\n", " ").split(" ")
                 new = [c for c in set(chunks) if c not in known]
                 if new:
                     if len(known) > CACHE:
                         known.clear()
                         new = list(set(chunks))
-                    for i in range(0, len(new), 50_000):
-                        part = new[i : i + 50_000]
-                        known.update(zip(part, encode(part), strict=True))
+                    known.update(encode(new))
                 ids = b"".join([known[c] for c in chunks]) + b"\0\0\0\0"
                 for c in new:
                     if len(c) > LONG:
                         del known[c]
-                n = len(ids) // 4
-                for k, at in enumerate(range(0, n, capacity)):
+                for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
-                    rows.append((doc, k, at, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((i, k, at, len(part) // 4, zlib.crc32(part)))
+            own = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own[0], pa.int64())), pa.array(own[1], pa.int32()), *(pa.array(x, pa.int64()) for x in own[2:])], names=COLUMNS)
 
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("piece int, start long, length long, ids_crc32 long").fields])
-    return docs.select("doc_id", text_of().alias("text")).mapInPandas(run, schema)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in COLUMNS[2:])])
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
 
 
 def fill(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -139,21 +149,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     group = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("place", F.row_number().over(group) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("place"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            sequence, offset = np.empty(len(frame), np.int64), np.empty(len(frame), np.int64)
-            lengths, ranks = frame["length"].to_numpy(), frame["rank"].to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, ranks = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            sequence, offset = np.empty(len(ranks), np.int64), np.empty(len(ranks), np.int64)
             for x in np.unique(lengths):
                 at = np.flatnonzero(lengths == x)
                 first, each, start, off = shared.value[int(x)]
                 i = np.searchsorted(first, ranks[at], side="right") - 1
                 nth = ranks[at] - first[i]
                 sequence[at], offset[at] = start[i] + nth // each[i], off[i] + nth % each[i] * x
-            yield frame.assign(sequence_id=sequence, offset=offset).drop(columns="rank")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in COLUMNS), pa.array(sequence), pa.array(offset)], names=[*COLUMNS, "sequence_id", "offset"])
 
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    schema = T.StructType([*(pieces.schema[c] for c in columns), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.select(*columns, "rank").mapInPandas(run, schema)
+    schema = T.StructType([*(pieces.schema[c] for c in COLUMNS), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.select(*COLUMNS, "rank").mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
