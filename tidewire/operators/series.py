@@ -55,7 +55,7 @@ def brief_top(board: DataFrame, limit: int = C.BRIEF_LIMIT) -> DataFrame:
 
 def stale(fetched: DataFrame, key: str, as_of: Column, minutes: int) -> DataFrame:
     """key, age (minutes), stale: older than ``minutes``; an age of exactly 0 counts as unknown."""
-    age = (F.unix_micros(as_of) - F.unix_micros(F.max("fetched_at"))) / F.lit(60e6)
+    age = (F.unix_micros(as_of) - F.unix_micros(F.max("fetched_at").cast("timestamp"))) / F.lit(60e6)
     return fetched.groupBy(key).agg(age.alias("age")).withColumn("stale", F.coalesce(F.nullif("age", F.lit(0.0)), F.lit(1e9)) > minutes)
 
 
