@@ -14,8 +14,7 @@ from tidewire.session import small, written
 def idf_table(docs: DataFrame) -> DataFrame:
     """token, df, idf = ln((n + 1) / (df + 1)) + 1 over all documents (id, tokens), short ones too."""
     df = docs.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    return df.join(F.broadcast(n)).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # one row is broadcast
+    return df.select("token", "df", (F.log(F.lit(docs.count() + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def weighted(docs: DataFrame, idf: DataFrame) -> DataFrame:
