@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from tidewire import constants as C
 from tidewire.functions.numeric import score
+from tidewire.operators.components import connected
 from tidewire.session import small, written
 
 
@@ -55,17 +56,8 @@ def similarity(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, root (the least id reachable). Each round takes the neighbours' least label and jumps along it; rounds are written, so the plan doesn't grow."""
-    both = written(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct(), "edges")
-    labels = written(both.groupBy("id").agg(F.least("id", F.min("other")).alias("root")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("other"), F.col("root").alias("seen")), "other").groupBy("id").agg(F.min("seen").alias("seen"))
-        step = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "seen").alias("root"))
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        step = written(step.join(jump, "root").select("id", "was", F.least("root", "next").alias("root")), "labels")
-        if step.filter("was <> root").isEmpty():
-            return nodes.select("id").join(step.select("id", "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-        labels = step.select("id", "root")
+    """id, root (the least id reachable) for every node."""
+    return nodes.select("id").join(connected(edges), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def build(docs: DataFrame, cap: int = C.CLUSTER["df_cap"]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -11,23 +12,43 @@ from pyspark.sql import functions as F
 #: A side is broadcast up to this many rows, after they were counted.
 BROADCAST_ROWS = 100_000
 
+_paths: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder of our own only where it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, spark.checkpoint.dir; a temporary one of our own only where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="tidewire-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/tidewire/{name}-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(_remove)
+    _paths.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/tidewire/{name}-{uuid.uuid4().hex}"
+    """``df`` as Parquet in the shared folder, read again: cuts the lineage and survives lost executors."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove() -> None:
+    for spark, path in _paths:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the JVM may be gone already
+            return
+
+
 def small(df: DataFrame) -> DataFrame:
     """A broadcast hint if ``df`` has at most BROADCAST_ROWS rows; else the join shuffles."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
