@@ -2,58 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.session import BROADCAST_ROWS, new_path  # noqa: F401
+from tidewire.session import written as materialize  # noqa: F401
+
 #: What separates words: ASCII white space only, as ``bytes.split()`` has it.
 SPACE = r"[\x20\x09-\x0D]"
 #: One word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The separators themselves, for btrim() and translate().
 SPACES = " \t\n\x0b\x0c\r"
-#: A lookup table is broadcast up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidewire-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_folder(spark)}/tidewire/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove)
-    _written.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _remove() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the JVM may be gone already
-            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
