@@ -4,12 +4,14 @@ A document's set holds its distinct word shingles. Its sketch comes from rounds
 shingle falls into one hashed bin with the value (i, hash), rounds from t on put all of them into bin i - t, and a bin
 keeps its least value; so every coordinate is filled after a few rounds, and the share of agreeing coordinates is
 concentrated about the Jaccard similarity. Bands of coordinates give candidates, chosen so that a pair at the threshold
-is missed with a chance of at most MISS. Candidates whose sketches agree far too little (six standard deviations) are
+is missed with a chance of at most MISS. Candidates whose sketches agree far too little (five standard deviations) are
 set aside; the rest are confirmed on their full sets.
 
 Equal sets are one node from the start, so copies are never paired. Within a band's bucket, members are first paired
 with the bucket's least node only. Links make components, and what is left to compare are members of one bucket in
-different components: dense groups fall into one component early, and their pairs are never listed.
+different components: dense groups fall into one component early, and their pairs are never listed. Of those left, a
+pair is skipped if its distances to the bucket's least node differ by more than a link allows (the symmetric difference
+is a metric, so this loses nothing), if its sketches agree too little, or if an earlier band has it too.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ from math import ceil, log, sqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewire.llm._shared import lookup, materialize, maybe_broadcast, small_batches, table, text_of
+from tidewire.operators.components import connected
 
 #: Chance that banding misses a pair at the threshold; most coordinates; standard deviations of the sketches' slack.
-MISS, COORDINATES, SLACK = 1e-7, 512, 6
+MISS, COORDINATES, SLACK = 1e-7, 512, 5
 #: Words whose hashes a task keeps.
 WORDS = 500_000
 
@@ -89,7 +92,7 @@ def sketch(s: np.ndarray, t: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit hash of the set), coords (a byte each), bands; the last three null for empty sets."""
+    """doc_id, n_shingles, node (128-bit hash of the set), coords (four bits each, in longs), bands; the last three null for empty sets."""
     bands, rows = bands_for(percent)
     small_batches(docs.sparkSession)
 
@@ -110,62 +113,68 @@ def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 for column in own.reshape(bands, rows).T:
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + column)
                 nodes.append(blake2b(s.tobytes(), digest_size=16).digest())
-                coords.append((mix(own) & np.uint64(0xFF)).astype(np.uint8).tobytes())
+                coords.append(packed(own))
                 keys.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(coords, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(coords, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "node", "coords", "bands"],
             )
 
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("n_shingles", T.LongType()), ("node", T.BinaryType()), ("coords", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))))])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("n_shingles", T.LongType()), ("node", T.BinaryType()), ("coords", T.ArrayType(T.LongType())), ("bands", T.ArrayType(T.LongType()))))])
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sketches agree enough for the threshold to be in reach."""
+def packed(coordinates: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates a long; zeros behind the last."""
+    four = np.zeros(-(-len(coordinates) // 16) * 16, np.uint64)
+    four[: len(coordinates)] = mix(coordinates) & np.uint64(15)
+    return (four.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def close(x: str, y: str, percent: int) -> Column:
+    """Whether two packed sketches agree enough for the threshold to be in reach.
+
+    Coordinates that agree have all bits equal, others half of them on average.
+    """
     bands, rows = bands_for(percent)
-    t = bands * rows
-    p = percent / 100 + (1 - percent / 100) / 256
-    least = t * (p - SLACK * sqrt(p * (1 - p) / t))
+    t, p = bands * rows, percent / 100
+    # variance of the share of differing bits: of the coordinates' agreement, and of the bits of those that differ
+    deviation = sqrt(p * (1 - p) / 4 / t + (1 - p) / 4 / (4 * t))
+    differ = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+    return differ <= 4 * t * ((1 - p) / 2 + SLACK * deviation)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = [int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) for x, y in zip(*(batch.column(c).to_pylist() for c in ("ca", "cb")), strict=True)]
-            yield batch.select(["a", "b"]).append_column("same", pa.array(same, pa.int64()))
 
+def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches agree enough for the threshold to be in reach."""
     joined = pairs.select("a", "b").join(reps.select(F.col("rid").alias("a"), F.col("coords").alias("ca")), "a").join(reps.select(F.col("rid").alias("b"), F.col("coords").alias("cb")), "b")
-    return joined.select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long, same long").filter(F.col("same") >= least)
+    return joined.filter(close("ca", "cb", percent)).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) with 100 * intersection >= percent * union on their full sets."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with na, nb and both: the sizes of their full sets and of the intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
+            na, nb, both = [], [], []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                na.append(len(x))
+                nb.append(len(y))
+                both.append(len(np.intersect1d(x, y, assume_unique=True)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(x, pa.int64()) for x in (na, nb, both))], names=["a", "b", "na", "nb", "both"])
 
     # the set of b travels to a, where a's set is read once
     joined = sets.select(F.col("rid").alias("b"), F.col("set").alias("sb")).join(pairs.select("a", "b"), "b").join(sets.select(F.col("rid").alias("a"), F.col("set").alias("sa")), "a")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long, both long")
+
+
+def linked(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """v, root (the least node reachable) for each node of ``edges`` (a, b): least labels of neighbours, with pointer jumping."""
-    both = materialize(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct(), "cc-edges")
-    labels = materialize(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("root")), "cc")
-    while True:
-        near = both.join(labels.select(F.col("v").alias("w"), F.col("root").alias("other")), "w").groupBy("v").agg(F.min("other").alias("other"))
-        least = labels.join(near, "v").select("v", F.col("root").alias("old"), F.least("root", "other").alias("root"))
-        jump = labels.select(F.col("v").alias("root"), F.col("root").alias("next"))
-        moved = materialize(least.join(jump, "root").select("v", "old", F.least("root", "next").alias("root")), "cc")
-        if moved.filter("old <> root").isEmpty():
-            return moved.select("v", "root")
-        labels = moved.select("v", "root")
+    """v, root (the least node reachable) for each node of ``edges`` (a, b)."""
+    return connected(edges).withColumnRenamed("id", "v")
 
 
 def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -195,10 +204,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     length are used whole; an empty table gives no rows.
     """
     made = materialize(sketched(docs, size, percent), "sketches")
-    reps = made.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("coords").alias("coords"), F.first("bands").alias("bands"))
+    reps = made.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("coords").alias("coords"), F.first("bands").alias("bands"))
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "reps")
 
-    placed = reps.select("rid", F.posexplode("bands").alias("band", "h")).select("rid", F.xxhash64("band", "h").alias("key"))
+    placed = reps.select("rid", F.posexplode("bands").alias("band", "h")).select("rid", "band", F.xxhash64("band", "h").alias("key"))
     buckets = placed.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("z"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = materialize(buckets, "buckets")
     large = buckets.filter("n > 2").select("key", "a")
@@ -207,32 +216,19 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     star = buckets.filter("n = 2").select("a", F.col("z").alias("b")).unionByName(members.filter("rid <> a").select("a", F.col("rid").alias("b")))
     star = materialize(agreeing(star.distinct(), reps, percent), "star")
 
-    labels, sets = None, None
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a"))
-    tried = 0
-    for pairs in (best, star, None):
-        if pairs is None:
-            # members of a bucket in different components, but for its least, which all were compared with
-            own = members if labels is None else members.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-            own = own if labels is not None else own.withColumn("root", F.col("rid"))
-            own = own.filter("rid <> a")
-            mixed = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-            own = materialize(own.join(mixed, "key", "left_semi"), "mixed")
-            x, y = own.select("key", F.col("rid").alias("a"), F.col("root").alias("ra")), own.select("key", F.col("rid").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "key").filter("ra < rb").select("a", "b").distinct()
-            pairs = agreeing(pairs, reps, percent)
-        left = materialize(_apart(pairs, labels), "apart")
-        if left.isEmpty():
-            continue
-        need = left.select(F.col("a").alias("rid")).unionByName(left.select(F.col("b").alias("rid"))).distinct()
-        if sets is not None:
-            need = need.join(sets.select("rid"), "rid", "left_anti")
-        more = materialize(_sets(docs, reps.join(need, "rid").select("rid", "first", "node"), size), f"sets{tried}")
-        sets = more if sets is None else sets.unionByName(more)
-        tried += 1
-        found = materialize(verified(left, sets, percent).join(left, ["a", "b"]), "links")
-        if not found.isEmpty():
-            labels = _relabel(labels, found)
+    sets = materialize(_sets(docs, reps.join(star.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid").select("rid", "first", "node"), size), "sets")
+    near = materialize(measured(star, sets), "measured")
+    links = near.filter(linked(percent)).select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
+    labels = None if links.isEmpty() else _relabel(None, links)
+
+    rest = _rest(members, near, reps, labels, percent)
+    rest = materialize(_apart(rest, labels), "apart")
+    if not rest.isEmpty():
+        more = rest.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(sets.select("rid"), "rid", "left_anti")
+        more = materialize(_sets(docs, reps.join(more, "rid").select("rid", "first", "node"), size), "sets")
+        links = materialize(measured(rest, sets.unionByName(more)).filter(linked(percent)).join(rest, ["a", "b"]), "links")
+        if not links.isEmpty():
+            labels = _relabel(labels, links)
 
     named = reps.select("rid", "node", "first", "copies")
     if labels is not None:
@@ -248,6 +244,27 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _rest(members: DataFrame, near: DataFrame, reps: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different components and neither its least node, that may be links.
+
+    ``near`` has the sizes and intersections of pairs with a least node. Members without one there were set aside by
+    their sketches: nothing bounds their distance, so they are compared with all.
+    """
+    own = members.filter("rid <> a")
+    own = own.withColumn("root", F.col("rid")) if labels is None else own.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    mixed = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+    away = near.select("a", F.col("b").alias("rid"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("away"))
+    own = own.join(mixed, "key", "left_semi").join(away, ["a", "rid"], "left").join(reps.select("rid", "n", "coords", "bands"), "rid")
+    own = materialize(own.select("key", "band", "rid", "root", "away", "n", "coords", "bands"), "mixed")
+    x, y = (own.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("band", "rid", "root", "away", "n", "coords", "bands"))) for k in "xy")
+    p = percent / 100
+    allowed = (F.col("n_x") + F.col("n_y")) * ((1 - p) / (1 + p)) + 1e-6
+    reach = F.coalesce(F.abs(F.col("away_x") - F.col("away_y")) <= allowed, F.lit(True)) & (F.abs(F.col("n_x") - F.col("n_y")) <= allowed)
+    earlier = F.exists(F.slice(F.zip_with("bands_x", "bands_y", lambda a, b: a == b), F.lit(1), F.col("band_x")), lambda e: e)
+    pair = x.join(y, (x["key"] == y["key"]) & (F.col("root_x") < F.col("root_y")) & reach & close("coords_x", "coords_y", percent) & ~earlier)
+    return pair.select(F.col("rid_x").alias("a"), F.col("rid_y").alias("b")).distinct()
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """rid, set (sorted hashes) of the ``wanted`` nodes (rid, first, node), from the text of a document that has that set."""
 
