@@ -9,7 +9,11 @@ the pieces of the same length.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,11 +30,144 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: A worker keeps the ids of this many different chunks of text; longer chunks are encoded each time.
 CACHE, LONG = 400_000, 64
+#: Chunks that are encoded together: letters of Latin-1, with one mark behind at most. Case is dropped by the tokenizer,
+#: and a mark behind a letter is a token of its own.
+SIMPLE = re.compile(r"^([a-zà-öø-ÿ]{1,40})([,.;:!?]?)$|^.*$", re.M)
+NEVER = np.int32(2**31 - 1)
 #: Ranks are counted in so many rows a group at most, roughly.
 RANK_ROWS = 200_000
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
+class WordPieces:
+    """Byte-pair encoding of many short words at once, from the tokenizer's own merges.
+
+    Each round joins, in every word that has one, the leftmost of its best-ranked pairs, as the tokenizer does one by one.
+    """
+
+    PAD = 65535
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        keys = np.array([(vocab[a] << 16) | vocab[b] for a, b in pairs], np.uint32)
+        order = np.argsort(keys)
+        self.keys, self.rank = keys[order], order.astype(np.int32)
+        self.joined = np.array([vocab[a + b] for a, b in pairs], np.uint16)
+        # bytes stand for themselves if they print, the others come in order from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        names = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.inner = np.array([vocab[names[b]] for b in range(256)], np.uint16)
+        self.last = np.array([vocab[names[b] + end] for b in range(256)], np.uint16)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a.astype(np.uint32) << np.uint32(16)) | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], NEVER)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word; none is empty. Words of like length go together."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        out: list[bytes] = [b""] * len(words)
+        for least, most in itertools.pairwise((0, 7, 10, 14, 20, 1 << 30)):
+            at = np.flatnonzero((size > least) & (size <= most)).tolist()
+            if at:
+                for i, ids in zip(at, self._encode([words[i] for i in at]), strict=True):
+                    out[i] = ids
+        return out
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        wide = int(size.max())
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        ids = np.full((len(words), wide + 1), self.PAD, np.uint16)
+        ids[:, :wide][np.arange(wide) < size[:, None]] = self.inner[flat]
+        ids[np.arange(len(words)), size - 1] = self.last[flat[np.cumsum(size) - 1]]
+        out = ids.copy()
+        rows, ranks = np.arange(len(words)), self._ranks(ids[:, :-1], ids[:, 1:])
+        steps = np.arange(wide + 1)
+        while len(rows):
+            at = ranks.argmin(1)
+            each = np.arange(len(rows))
+            best = ranks[each, at]
+            going = best != NEVER
+            if not going.all():
+                out[rows[~going]] = ids[~going]
+                rows, ids, ranks, at, best = rows[going], ids[going], ranks[going], at[going], best[going]
+                each = each[: len(rows)]
+                if not len(rows):
+                    break
+            source = np.minimum(steps + (steps > at[:, None]), wide)
+            ids = np.take_along_axis(ids, source, 1)
+            ids[:, wide] = self.PAD
+            ids[each, at] = self.joined[best]
+            ranks = np.take_along_axis(ranks, source[:, :wide].clip(max=wide - 1), 1)
+            ranks[:, wide - 1] = NEVER
+            ranks[each, at] = self._ranks(ids[each, at], ids[each, np.minimum(at + 1, wide)])
+            before = np.maximum(at - 1, 0)
+            ranks[each, before] = np.where(at > 0, self._ranks(ids[each, before], ids[each, at]), ranks[each, before])
+        size = (out != self.PAD).sum(1)
+        data = out[out != self.PAD].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(size)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+class Encoder:
+    """Ids of whole texts, as the tokenizer gives them, with the ids of chunks that were seen before."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok, self.pieces, self.known = Tokenizer.from_file(path), WordPieces(path), {}
+        self.closing = {c: self._plain(c) for c in ("", *",.;:!?")}
+        self.mark = self.tok.encode("\x01", add_special_tokens=False).ids[0]
+
+    def _plain(self, chunk: str) -> bytes:
+        return np.asarray(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Simple chunks are encoded by their stems; the others many at a time, with a mark between them; those that hold the mark go alone."""
+        parts = SIMPLE.findall("\n".join(chunks).lower())  # one for each chunk
+        stems = list({x for x, _ in parts} - {""})
+        found = dict(zip(stems, self.pieces.encode("\n".join(stems).encode().split(b"\n")), strict=True)) if stems else {}
+        out = {c: found[x] + self.closing[end] for c, (x, end) in zip(chunks, parts, strict=True) if x}
+        out |= {c: self._plain(c) for c in chunks if "\x01" in c}
+        rest = [c for c in chunks if c not in out]
+        groups = [rest[i : i + 1000] for i in range(0, len(rest), 1000)]
+        for group, many in zip(groups, self.tok.encode_batch_fast([" \x01 ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(many.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            data, at = ids.tobytes(), 0
+            for c, end in zip(group, ends, strict=True):
+                out[c] = data[4 * at : 4 * end]
+                at = end + 1
+        self.known.update(out)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The tokenizer drops white space and never joins across it, so chunks between blanks can be encoded one by one."""
+        split = [x.replace("\n", " ").split(" ") for x in texts]
+        every = set().union(*split)
+        if len(self.known) > CACHE:
+            self.known.clear()
+        fresh = list(every.difference(self.known))
+        if fresh:
+            self._learn(fresh)
+        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        for c in fresh:
+            if len(c) > LONG:
+                del self.known[c]
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, which tasks share one after another."""
+    return Encoder(path)
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -42,42 +179,11 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
-        mark = tok.encode("\x01", add_special_tokens=False).ids[0]
-
-        def encode(chunks: list[str]) -> dict[str, bytes]:
-            """Chunks are encoded many at a time, with a mark between them; those that hold the mark go alone."""
-            out = {c: np.asarray(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks if "\x01" in c}
-            plain = [c for c in chunks if c not in out]
-            groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-            for group, found in zip(groups, tok.encode_batch_fast([" \x01 ".join(g) for g in groups], add_special_tokens=False), strict=True):
-                ids = np.asarray(found.ids, "<u4")
-                ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
-                data, at = ids.tobytes(), 0
-                for c, end in zip(group, ends, strict=True):
-                    out[c] = data[4 * at : 4 * end]
-                    at = end + 1
-            return out
-
+        encoder = _encoder(path)
         for batch in batches:
             rows = []
-            for i, text in enumerate(batch.column("text")):
-                # the tokenizer drops white space and never joins across it, so chunks between blanks can be encoded one by one
-                chunks = text.as_py().replace("\n", " ").split(" ")
-                new = [c for c in set(chunks) if c not in known]
-                if new:
-                    if len(known) > CACHE:
-                        known.clear()
-                        new = list(set(chunks))
-                    known.update(encode(new))
-                ids = b"".join([known[c] for c in chunks]) + b"\0\0\0\0"
-                for c in new:
-                    if len(c) > LONG:
-                        del known[c]
+            for i, ids in enumerate(encoder.encode([x.as_py() for x in batch.column("text")])):
+                ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
                     rows.append((i, k, at, len(part) // 4, zlib.crc32(part)))
