@@ -59,7 +59,7 @@ def test_topic_and_agency(spark):
 
 def test_clean_text_cuts_at_a_blank(spark):
     assert one(spark, "<p>Ein&nbsp;&amp; zwei</p>  drei", X.clean_text) == "Ein & zwei drei"
-    assert one(spark, "abc def ghi", lambda c: X.clean_text(c, 8)) == "abc…"
+    assert one(spark, "abc def ghi", lambda c: X.clean_text(c, 8)) == "abc def…" and one(spark, "abc defg", lambda c: X.clean_text(c, 6)) == "abc…"
     assert one(spark, None, X.clean_text) == ""
 
 
