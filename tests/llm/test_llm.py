@@ -276,6 +276,23 @@ def test_nearest_recall_and_ties(spark):
     assert {r.query_id for r in got} == set(range(0, 1500, 50)) and hits >= 0.9 * 300
 
 
+def test_nearest_recall_beyond_the_curves_first_windows(spark):
+    rng = np.random.default_rng(3)
+    flat, grouped = rng.normal(size=(9000, 24)), (rng.normal(size=(250, 1, 24)) * 4 + rng.normal(size=(250, 40, 24)) * 0.3).reshape(-1, 24)
+    for x, curves in ((flat, 1), (grouped, 3)):  # neighbours without contrast: all are compared; with contrast: windows as measured
+        n = len(x)
+        rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        got = neighbours.nearest(rows, every=100, curves=curves).collect()
+        hits = 0
+        for q in range(0, n, 100):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            own = {r.vec_id for r in got if r.query_id == q}
+            assert len(own) == 10
+            hits += len(own & set(np.argsort(d)[:10].tolist()))
+        assert hits >= 0.9 * 10 * len(range(0, n, 100))
+
+
 def test_quality_features_and_verdicts(docs):
     judged = quality.judge(quality.features(docs.select("doc_id", "text")).checkpoint()).filter("doc_id is not null").collect()
     for r in judged:

@@ -5,6 +5,10 @@ each time. Neighbours tend to be near each other on one of the curves. Spark ord
 a vector's rank tells its block, a query goes to the blocks that its window of ranks touches, and there the nearest are
 found with exact distances. The curves' lists are merged at the end.
 
+How far apart on the curves neighbours lie depends on the table, so the window is measured on it: the true neighbours of
+a sample of queries are found by comparing all, and the window is the one within which RECALL of them lie on some curve.
+Where the curves' windows together hold as many ranks as there are points, all points are compared instead.
+
 Equal vectors are one point with its smallest ids, so a vector that a third of the rows share is looked at once.
 """
 
@@ -22,8 +26,14 @@ from pyspark.sql.window import Window as W
 
 from tidewire.llm._shared import materialize, table
 
-#: Neighbours; curves; dimensions and bits of each; ranks to either side that a query looks at; ranks of a block.
-K, CURVES, DIMENSIONS, BITS, WINDOW, BLOCK = 10, 20, 8, 7, 1500, 2000
+#: Neighbours; curves; dimensions and bits of each; ranks of a block, at least and at most.
+K, CURVES, DIMENSIONS, BITS, BLOCK, LARGEST_BLOCK = 10, 20, 8, 7, 2000, 20_000
+#: Ranks to either side on all curves make a scan of tables up to that size the cheaper way, without a measurement.
+WINDOW = 1500
+#: Share of the sampled queries' neighbours that the window must hold; queries of the sample.
+RECALL, PROBES = 0.95, 256
+#: Queries that are sent to all tasks at once; points and queries that are multiplied at once.
+ASKED, POINTS, QUERIES = 50_000, 8192, 1024
 SEED = 20240131
 #: Points that the projections' scales are taken from, at most.
 SAMPLE = 20_000
@@ -92,9 +102,88 @@ def points(vectors: DataFrame, keep: int) -> DataFrame:
     return some.groupBy("vec").agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids"))
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = K, curves: int = CURVES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def scan(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, point, first (its least id), score: the ``k`` nearest points of each query among those of each task.
+
+    All points are compared. The queries go to the tasks ASKED at a time, with one pass over ``base`` for each.
+    """
+    spark = base.sparkSession
+    schema = "query_id long, point long, first long, score double"
+    rounds = -(-queries.count() // ASKED)
+    found = spark.createDataFrame([], schema)
+    for i in range(rounds):
+        asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i).select("query_id", "vec").toArrow()
+        shared = spark.sparkContext.broadcast((asked.column("query_id").to_numpy(), np.array(asked.column("vec").to_pylist(), np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            query_ids, q = shared.value
+            best = np.full((len(q), k), np.inf)
+            point, first = np.zeros((2, len(q), k), np.int64)
+            squares = (q**2).sum(1)
+            held, size = [], 0
+
+            def look() -> None:
+                rows = pa.Table.from_batches(held)
+                own, least = rows.column("point").to_numpy(), rows.column("first").to_numpy()
+                c = np.asarray(rows.column("vec").combine_chunks().flatten()).reshape(len(own), -1)
+                norms = (c**2).sum(1)
+                slack = 1e-9 * (1 + norms.max())
+                for at in range(0, len(q), QUERIES):
+                    s = slice(at, at + QUERIES)
+                    rough = norms - 2 * (q[s] @ c.T)
+                    bound = best[s, -1] ** 2 - squares[s]
+                    if not np.isfinite(bound).all() and len(own) > k:
+                        bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1])
+                    near, col = np.nonzero(rough <= (bound + slack + 1e-9 * squares[s])[:, None])
+                    d = np.sqrt(((c[col] - q[s][near]) ** 2).sum(1))
+                    n = len(best[s])
+                    of = np.concatenate([np.repeat(np.arange(n), k), near])
+                    d, p, f = (np.concatenate([x[s].ravel(), y]) for x, y in ((best, d), (point, own[col]), (first, least[col])))
+                    order = np.lexsort((f, d, of))
+                    place = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+                    order = order[place < k]
+                    best[s], point[s], first[s] = d[order].reshape(n, k), p[order].reshape(n, k), f[order].reshape(n, k)
+
+            for batch in batches:
+                held.append(batch)
+                size += batch.num_rows
+                if size >= POINTS:
+                    look()
+                    held, size = [], 0
+            if size:
+                look()
+            row, col = np.nonzero(np.isfinite(best))
+            for at in range(0, len(row), 100_000):
+                r, c = row[at : at + 100_000], col[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[r]), pa.array(point[r, c]), pa.array(first[r, c]), pa.array(best[r, c])], names=["query_id", "point", "first", "score"])
+
+        found = found.unionByName(base.select("point", "vec", F.element_at("ids", 1).alias("first")).mapInArrow(run, schema))
+    return found
+
+
+def _first(found: DataFrame, k: int, then: str) -> DataFrame:
+    """The ``k`` rows of each query with the least score, with their rank; ties go to the smaller ``then``."""
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", then))).filter(F.col("rank") <= k)
+
+
+def reach(base: DataFrame, queries: DataFrame, ranked: DataFrame, k: int) -> int:
+    """The window that holds RECALL of the neighbours of about PROBES queries on the curve where they are nearest."""
+    some = queries.filter(F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(max(1, queries.count() // PROBES))) == 0)
+    some = some if not some.isEmpty() else queries.limit(PROBES)
+    true = _first(scan(base, some, k + 1), k + 1, "first").select("query_id", "point")
+    pairs = materialize(true.join(some.select("query_id", F.col("point").alias("asked")), "query_id").filter("point <> asked").distinct(), "probes")
+    at = ranked.join(F.broadcast(pairs.select("asked").distinct()), F.col("point") == F.col("asked")).select("asked", "curve", F.col("rank").alias("mine"))
+    there = ranked.join(F.broadcast(pairs), "point").select("query_id", "asked", "point", "curve", "rank")
+    gaps = there.join(at, ["asked", "curve"]).groupBy("query_id", "point").agg(F.min(F.abs(F.col("rank") - F.col("mine"))).alias("gap"))
+    gap = gaps.agg(F.percentile("gap", RECALL)).first()[0]
+    return int(np.ceil(gap)) if gap is not None else WINDOW
+
+
+def nearest(vectors: DataFrame, every: int = 100, k: int = K, curves: int = CURVES, window: int | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by ``every`` its ``k`` nearest found, by Euclidean distance.
 
+    A ``window`` that is given is used as it is; else it is measured (``reach``), or all points are compared.
+
     Ties go to the smaller vec_id; a query isn't its own neighbour, though a row with an equal vector is. Rows that
     repeat a vec_id with another vector count as rows of their own. An empty table gives no rows.
     """
@@ -108,6 +197,14 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, curves: int = CURV
     if not n:
         return spark.createDataFrame([], schema)
 
+    def compared() -> DataFrame:
+        near = _first(scan(base, queries, k + 1), k + 1, "first").drop("rank")
+        ids = near.join(base.select("point", "ids"), "point").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("query_id <> vec_id")
+        return _first(ids.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, "vec_id").select("query_id", "rank", "vec_id", "score")
+
+    if window is None and n <= 2 * curves * WINDOW:
+        return compared()
+
     sample = base.select("vec").filter(F.pmod(F.xxhash64("point"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE).toPandas()["vec"]
     sample = np.stack(sample.to_numpy()) if len(sample) else np.stack(base.select("vec").limit(1).toPandas()["vec"].to_numpy())
     matrix = projections(sample.shape[1], curves)
@@ -130,6 +227,11 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, curves: int = CURV
     before = ordered.groupBy("curve", "range").count().withColumn("base", F.sum("count").over(W.partitionBy("curve").orderBy("range")) - F.col("count")).drop("count")
     ranked = ordered.join(before, ["curve", "range"]).withColumn("rank", F.col("base") + F.row_number().over(W.partitionBy("curve", "range").orderBy("key", "point")) - 1).select("curve", "point", "rank")
     ranked = materialize(ranked, "ranks")
+    if window is None:
+        window = reach(base, queries, ranked, k)
+        if n <= 2 * curves * window:
+            return compared()
+        block = max(block, min(window, LARGEST_BLOCK))
 
     rows = ranked.join(base.select("point", "vec", "ids"), "point").select("curve", F.floor(F.col("rank") / block).alias("block"), F.lit(None).cast("long").alias("query_id"), "rank", "vec", "ids")
     asked = queries.join(ranked, "point").select("curve", F.explode(F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / block), F.floor((F.col("rank") + window) / block))).alias("block"), "query_id", "rank", "vec", F.array().cast("array<long>").alias("ids"))
@@ -159,8 +261,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, curves: int = CURV
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(e, pa.float64())})
 
     found = rows.unionByName(asked).groupBy("curve", "block").applyInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _first(found, k, "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
 def op9_nearest(spark, sf_dir: str) -> DataFrame:
