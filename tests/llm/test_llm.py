@@ -224,6 +224,19 @@ def test_scores_sum_to_one_and_base_is_exact(docs):
     assert np.allclose((10 ** model.logp.astype(float)).sum(1), 1, atol=2e-2)
 
 
+def test_every_context_of_a_large_corpus_is_a_node(spark):
+    random.seed(12)
+    rare = [prose(40) for _ in range(4)]
+    texts = ["wort und zahl " * 15_000, *[t for t in rare for _ in range(2)], "völlig Neues Ωß", None, *(prose(5) for _ in range(30))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    grams = lm_score.gather(rows).filter("kind = 0")
+    model = lm_score.train(grams, contexts=grams.agg(F.sum("n_train")).first()[0])  # a bar of one
+    for frequent in (1 << 20, 50):  # with hardly any frequent grams the others come by the shuffle
+        for r in lm_score.score(rows, frequent_grams=frequent).collect():
+            data, where, _ = next(lm_score.blocks([lm_score.prepared(texts[r.doc_id] or "")]))
+            assert math.isclose(r.score, float(model.score(data, where).astype(float).sum()), rel_tol=1e-4, abs_tol=1e-4)
+
+
 def test_near_duplicates_against_all_pairs(docs):
     for size, percent in ((3, 85), (5, 80)):
         own = {i: {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for i, t in enumerate(TEXTS) for w in [(t or "").encode().lower().split()]}

@@ -3,15 +3,14 @@
 The model is a trie of byte contexts of up to ORDER bytes. In a context each symbol seen there has its count's share;
 the rest is the escape to the context one byte shorter (method C: as many escapes as different symbols), where symbols
 of the longer context are excluded. What a context passes on to its parent's unseen symbols depends on the two alone,
-so the trie becomes one table of log probabilities, context by symbol, order after order. A text's score is the code
-length of its bytes and an end mark.
+so the trie becomes one table of log probabilities, one for each (ORDER + 1)-gram of the corpus, made order after order
+by joins on suffixes (at most 256 rows a key). A text's score is the code length of its bytes and an end mark.
 
-Counts cover the whole training part. A context of more than two bytes is a node if it holds at least one CONTEXTS-th
-of all training bytes, so an order has at most CONTEXTS nodes whatever the corpus: that bounds the table that is
-broadcast. The rest of its statistics stay in its suffix.
+Counts cover the whole training part and every context seen there is a node, so the trie grows with the corpus.
 
 Words are counted by 64-bit hashes. Those that hold at least one FREQUENT-th of all tokens (at most FREQUENT of them)
-are broadcast; the others reach their counts by a shuffle, in which no key can be hot.
+are broadcast; the others reach their counts by a shuffle, in which no key can be hot. The same holds for (ORDER + 1)-grams
+and one GRAMS-th of all bytes.
 """
 
 from __future__ import annotations
@@ -25,11 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from tidewire.llm._shared import materialize, small_batches, table, text_of
 
-#: Bytes of the longest context; nodes an order; words that are broadcast.
-ORDER, CONTEXTS, FREQUENT = 5, 1 << 16, 1 << 21
+#: Bytes of the longest context; nodes an order of a model in memory; words and (ORDER + 1)-grams that are broadcast.
+ORDER, CONTEXTS, FREQUENT, GRAMS = 5, 1 << 16, 1 << 21, 1 << 20
 #: Additive smoothing of the base.
 ALPHA = 0.1
 #: Never a byte of UTF-8: stands before a text and ends it.
@@ -76,6 +76,14 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         yield np.frombuffer(b"".join(held), np.uint8), np.concatenate(where), np.concatenate(owner)
 
 
+def codes(data: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The (ORDER + 1)-gram that ends at each of ``where``, the last byte lowest."""
+    code = np.zeros(len(where), np.uint64)
+    for back in range(ORDER, -1, -1):
+        code = (code << np.uint64(8)) | data[where - back]
+    return code
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(keys, kind="stable")
@@ -107,34 +115,34 @@ class _Gather:
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """kind, key, n, n_train: counts of byte (ORDER + 1)-grams of training texts (kind 0) and of all words' hashes (kind 1)."""
+    """kind, key, n, n_train: counts of byte (ORDER + 1)-grams (kind 0) and of words' hashes (kind 1), in all and in training texts."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, grams, words, train_words = _Hashes(), _Gather(), _Gather(), _Gather()
+        hashes, grams, other_grams, words, train_words = _Hashes(), _Gather(), _Gather(), _Gather(), _Gather()
 
         def out(kind: int, got: tuple | None, train: bool) -> Iterator[pa.RecordBatch]:
             if got is not None:
                 for at in range(0, len(got[0]), 100_000):
                     keys, n = got[0][at : at + 100_000].view(np.int64), got[1][at : at + 100_000]
                     zero = np.zeros(len(n), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(keys), pa.array(zero if train else n), pa.array(n if train else zero)], names=["kind", "key", "n", "n_train"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(keys), pa.array(zero if train and kind else n), pa.array(n if train else zero)], names=["kind", "key", "n", "n_train"])
 
         for batch in batches:
             texts = [prepared(x.as_py()) for x in batch.column("text")]
             train = [not x for x in batch.column("held_out").to_pylist()]
-            for data, where, _ in blocks([t for t, is_in in zip(texts, train, strict=True) if is_in]):
-                code = np.zeros(len(where), np.uint64)
-                for back in range(ORDER, -1, -1):
-                    code = (code << np.uint64(8)) | data[where - back]
-                grams.add(*np.unique(code, return_counts=True))
+            for gathered, part in ((grams, True), (other_grams, False)):
+                for data, where, _ in blocks([t for t, is_in in zip(texts, train, strict=True) if is_in == part]):
+                    gathered.add(*np.unique(codes(data, where), return_counts=True))
             for gathered, own in ((words, texts), (train_words, [t for t, is_in in zip(texts, train, strict=True) if is_in])):
                 split = [w for t in own for w in t.split()]
                 gathered.add(*np.unique(np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split)), return_counts=True))
             yield from out(0, grams.take(False), True)
+            yield from out(0, other_grams.take(False), False)
             yield from out(1, words.take(False), False)
             yield from out(1, train_words.take(False), True)
         yield from out(0, grams.take(True), True)
+        yield from out(0, other_grams.take(True), False)
         yield from out(1, words.take(True), False)
         yield from out(1, train_words.take(True), True)
 
@@ -142,8 +150,39 @@ def gather(docs: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
+def trie(grams: DataFrame) -> DataFrame:
+    """key, n, logp: the log10 probability of the last byte of each (ORDER + 1)-gram after the others.
+
+    ``grams`` has (key, n, n_train); those of n_train 0 occur outside the training part only. An order's rows take what
+    their suffixes have in the order before: counts (n, total, kinds), ``f`` (what the context passes on to a symbol that
+    it hasn't seen) and ``p`` (at the longest context seen in training).
+    """
+    spark = grams.sparkSession
+    levels = [grams.select("key", F.col("n_train").alias("c"))]
+    for k in range(ORDER - 1, -1, -1):
+        levels.append(materialize(levels[-1].groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("c").alias("c")), "grams"))
+    root = levels.pop().collect()  # 256 rows at most
+    total, kinds = sum(r.c for r in root), sum(r.c > 0 for r in root)
+    escape, rest = (kinds / (total + kinds) if total else 1.0), 1 / max(1, 256 - kinds)
+    rows = [(r.key, r.c, total, kinds, rest, r.c / (total + kinds) if r.c else escape * rest) for r in root]
+    made = spark.createDataFrame(rows, "key long, c long, total long, kinds long, f double, p double")
+    c = F.col("c")
+    for k in range(1, ORDER + 1):
+        up = made.select(F.col("key").alias("up"), *(F.col(x).alias(f"up_{x}") for x in ("c", "total", "kinds", "f", "p")))
+        level = levels.pop().withColumn("up", F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(F.broadcast(up) if k == 1 else up, "up")
+        own = W.partitionBy(F.shiftrightunsigned("key", 8))
+        level = level.select("*", F.sum("c").over(own).alias("total"), F.sum((c > 0).cast("long")).over(own).alias("kinds"), F.sum(F.when(c > 0, F.col("up_c")).otherwise(0)).over(own).alias("excluded"))
+        left, left_kinds = F.col("up_total") - F.col("excluded"), F.col("up_kinds") - F.col("kinds")
+        both = F.greatest(left + left_kinds, F.lit(1))
+        f = F.when(F.col("up_c") > 0, F.col("up_c") / both).otherwise(F.when(left > 0, left_kinds / both).otherwise(1.0) * F.col("up_f"))
+        all_ = F.col("total") + F.col("kinds")
+        p = F.when(F.col("total") == 0, F.col("up_p")).when(c > 0, c / all_).otherwise(F.col("kinds") / all_ * F.col("f"))
+        made = level.withColumn("f", f).select("key", "c", "total", "kinds", "f", p.alias("p"))
+    return materialize(made.select("key", F.log10(F.greatest("p", F.lit(1e-30))).alias("logp")).join(grams.select("key", "n"), "key"), "trie")
+
+
 class Model:
-    """Tables of a pretrained trie: ``logp`` (node, symbol), and the ways from a context to its node."""
+    """The same in memory, for small tables and bounded contexts: ``logp`` (node, symbol), and the ways from a context to its node."""
 
     def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         """``orders[k]``: (context, symbol, count) of the nodes of k bytes, the last byte lowest; closed under suffixes."""
@@ -204,6 +243,7 @@ class Model:
 
 def train(grams: DataFrame, contexts: int = CONTEXTS) -> Model:
     """The trie from (key, n_train) of (ORDER + 1)-grams. What comes to the driver has at most ``contexts`` x 256 rows an order."""
+    grams = grams.filter("n_train > 0")
     total = grams.agg(F.sum("n_train")).first()[0] or 0
     orders, level = [], grams.select(F.col("key"), F.col("n_train").alias("n"))
     for k in range(ORDER, -1, -1):
@@ -216,7 +256,7 @@ def train(grams: DataFrame, contexts: int = CONTEXTS) -> Model:
     return Model(orders[::-1])
 
 
-def score(docs: DataFrame, frequent: int = FREQUENT, contexts: int = CONTEXTS) -> DataFrame:
+def score(docs: DataFrame, frequent: int = FREQUENT, frequent_grams: int = GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs`` (doc_id, text).
 
     The training part are rows that aren't held out; null doc_ids are in it. Null and empty texts have one token, the
@@ -226,7 +266,12 @@ def score(docs: DataFrame, frequent: int = FREQUENT, contexts: int = CONTEXTS) -
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counted = materialize(gather(docs), "lm-counts")
-    model = spark.sparkContext.broadcast(train(counted.filter("kind = 0"), contexts))
+    grams = trie(counted.filter("kind = 0"))
+    least = (grams.agg(F.sum("n")).first()[0] or 0) / frequent_grams
+    hot_grams = grams.filter(F.col("n") >= least).select("key", "logp").toArrow()  # ``frequent_grams`` rows at most
+    keys = hot_grams.column("key").to_numpy().astype(np.uint64)
+    order = np.argsort(keys)
+    grams_of = spark.sparkContext.broadcast((np.append(keys[order], np.uint64(0)), np.append(hot_grams.column("logp").to_numpy()[order], 0.0)))
     ends, all_ends = docs.agg(F.count_if(~held_out()), F.count(F.lit(1))).first()
     words = counted.filter("kind = 1").select(F.col("key").alias("word"), "n", F.col("n_train").alias("c"))
     n_train, known, n_all = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -243,12 +288,30 @@ def score(docs: DataFrame, frequent: int = FREQUENT, contexts: int = CONTEXTS) -
         hashes = _Hashes()
         frequent_keys, frequent_c = hot_of.value
         frequent_log = np.log10((frequent_c + ALPHA) / below)
+        gram_keys, gram_logp = grams_of.value
         for batch in batches:
             texts = [prepared(x.as_py()) for x in batch.column("text")]
             scores = np.zeros(len(texts))
+            others = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))]
             for data, where, owner in blocks(texts):
-                first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-                scores[owner[first]] += np.add.reduceat(model.value.score(data, where), first, dtype=np.float64)
+                code = codes(data, where)
+                order = np.argsort(code)
+                code, owner = code[order], owner[order]
+                first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+                place = np.searchsorted(gram_keys[:-1], code[first])
+                known = (gram_keys[place] == code[first]) & (place < len(gram_keys) - 1)
+                times = np.diff(np.append(first, len(code)))
+                scores += np.bincount(owner, np.repeat(np.where(known, gram_logp[place], 0.0), times), len(texts))
+                away = np.repeat(~known, times)
+                code, owner = code[away], owner[away]
+                order = np.argsort(owner, kind="stable")
+                code, owner = code[order], owner[order]
+                first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1]))) if len(code) else np.empty(0, np.int64)
+                others.append((owner[first], code[first], np.diff(np.append(first, len(code)))))
+            owner, code, n = (np.concatenate(x) for x in zip(*others, strict=True))
+            order = np.argsort(owner, kind="stable")
+            ends_at = pa.array(np.searchsorted(owner[order], np.arange(len(texts) + 1)), pa.int32())
+            rare_grams, gram_times = (pa.ListArray.from_arrays(ends_at, pa.array(x[order].view(np.int64))) for x in (code, n))
             tokens, known, base, rare, times = [], [], [], [], []
             for text in texts:
                 split = text.split()
@@ -262,22 +325,25 @@ def score(docs: DataFrame, frequent: int = FREQUENT, contexts: int = CONTEXTS) -
                 rare.append(own.view(np.int64))
                 times.append(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())), rare_grams, gram_times],
+                names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "rare_grams", "gram_times"],
             )
 
     long, double = T.LongType(), T.DoubleType()
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, k) for c, k in (("n_tokens", long), ("known", long), ("base", double), ("score", double), ("rare", T.ArrayType(long)), ("times", T.ArrayType(long))))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, k) for c, k in (("n_tokens", long), ("known", long), ("base", double), ("score", double), ("rare", T.ArrayType(long)), ("times", T.ArrayType(long)), ("rare_grams", T.ArrayType(long)), ("gram_times", T.ArrayType(long))))])
     scored = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text")).mapInArrow(run, schema)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     counts = words.filter((F.col("n") < n_all / frequent) & (F.col("c") > 0)).select("word", "c")
     c = F.coalesce(F.col("c"), F.lit(0))
     rest = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((c + ALPHA) / below)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("rare_known"))
+    away = scored.select("row", F.explode(F.arrays_zip("rare_grams", "gram_times")).alias("g")).select("row", F.col("g.rare_grams").alias("key"), F.col("g.gram_times").alias("times"))
+    bytes_ = away.join(grams.filter(F.col("n") < least).select("key", "logp"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("rare_score"))
     zero = F.lit(0)
-    return scored.join(rest, "row", "left").select(
+    return scored.join(rest, "row", "left").join(bytes_, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", zero)).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
 
 
