@@ -63,6 +63,15 @@ def test_clean_text_cuts_at_a_blank(spark):
     assert one(spark, None, X.clean_text) == ""
 
 
+def test_clean_text_query_reads_whole_pages(spark, tmp_path):
+    from tidewire.plans.queries import QUERIES
+
+    html = ["<i class='leer'></i>" * 400 + "<p>Text hinter viel Markup</p>", "x " * 2499 + "<a href='geteilt'>y</a>"]
+    spark.createDataFrame(list(enumerate(html)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in QUERIES["clean_text"](spark, str(tmp_path)).collect()}
+    assert got == {0: "Text hinter viel Markup", 1: ("x " * 299 + "x") + "…"}
+
+
 @pytest.mark.parametrize("name, want", [("Muster UCITS ETF USD (Acc)", "Muster"), ("Beispiel AG (BSP)", "Beispiel"), ("ETF", "ETF"), ("Firma, Inc.", "Firma")])
 def test_simplify_name(spark, name, want):
     assert one(spark, name, X.simplify_name) == want

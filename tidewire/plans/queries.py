@@ -102,7 +102,7 @@ def agency(spark, d):
     SELECT page_id, CASE WHEN length(t) > 600 THEN regexp_replace(substr(t, 1, 600), ' [^ ]*$', '') || '…' ELSE t END AS text FROM b""",
 )
 def clean_text(spark, d):
-    return V.table(spark, d, "pages").select("page_id", X.clean_text(F.substring("html", 1, 5000), 600).alias("text"))
+    return V.table(spark, d, "pages").select("page_id", X.clean_text(F.col("html"), 600).alias("text"))
 
 
 @query("og_image", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://cdn/i/' || page_id || '.jpg?a=1&b=2' WHEN page_id % 3 = 1 THEN 'https://cdn/t/' || page_id ELSE '' END AS image FROM pages""")
