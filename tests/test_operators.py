@@ -165,3 +165,15 @@ def test_json_sources(spark):
     days, hours = json_sources.forecast_days(r), json_sources.forecast_hours(r)
     got = series.weather_payload(days, hours, "unbekannt", ["m"], F.lit("2024-01-30 01:10:00").cast("timestamp")).first()
     assert got.name == "HEUTE" and got.strip[0].hour == "01:00" and got.hot_hour == "01:00"
+
+
+def test_board_score_ranks_the_items_of_all_sources(spark, tmp_path):
+    from tidewire.functions import numeric as N
+    from tidewire.plans import views as V
+    from tidewire.plans.queries import QUERIES
+
+    spark.range(20_000).selectExpr("id AS doc_id", "concat('Titel ', id) AS text", "concat('src', id) AS source", "'de' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    every = V.items(spark, str(tmp_path)).withColumn("tier", 1 + F.substring("source_key", 4, 10).cast("int") % 3)
+    s = N.score(tier=F.col("tier"), sources=F.lit(1), pos=F.col("feed_pos"), published=F.col("published_at"), topic=F.col("topic"), as_of=V.as_of())
+    want = every.withColumn("s", s).orderBy(F.desc("s"), "published_at", "id").limit(C.BOARD_LIMIT).collect()
+    assert [r.id for r in QUERIES["board_score"](spark, str(tmp_path)).collect()] == [r.id for r in want]

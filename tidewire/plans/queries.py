@@ -11,7 +11,7 @@ from tidewire.functions import text as X
 from tidewire.operators import board, cluster, images, merge, search, series
 from tidewire.plans import views as V
 from tidewire.plans.views import AS_OF, as_of, with_views
-from tidewire.session import written
+from tidewire.session import small, written
 from tidewire.sources import feeds
 
 QUERIES, ORACLES = {}, {}
@@ -150,7 +150,7 @@ def _score_sql(sources: str, tier: str = "tier", topic: str = "topic") -> str:
 
 @query("board_score", f"{with_views('v_source', 'v_item')} SELECT id, title, source_key, topic, round({_score_sql('1')}, 9) AS score FROM v_item JOIN v_source ON key = source_key ORDER BY {_score_sql('1')} DESC, published_at, id LIMIT 120")
 def board_score(spark, d):
-    i = V.items(spark, d).join(F.broadcast(V.sources(spark, d).select(F.col("key").alias("source_key"), "tier").limit(10_000)), "source_key")
+    i = V.items(spark, d).join(small(V.sources(spark, d).select(F.col("key").alias("source_key"), "tier")), "source_key")
     s = N.score(tier=F.col("tier"), sources=F.lit(1), pos=F.col("feed_pos"), published=F.col("published_at"), topic=F.col("topic"), as_of=as_of())
     return i.withColumn("s", s).orderBy(F.desc("s"), "published_at", "id").limit(C.BOARD_LIMIT).select("id", "title", "source_key", "topic", F.round("s", 9).alias("score"))
 
