@@ -145,6 +145,16 @@ def test_language_held_out_accuracy(spark):
     assert all(got[i].h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows)
 
 
+def test_language_of_short_texts_is_their_own(spark):
+    random.seed(5)
+    texts = ["a", "xy", "é", "der", "a", "the zug", "x", prose(30), "ü b"]
+    matrix = np.random.default_rng(5).normal(size=(language_id.BUCKETS, 3)).astype(np.float32)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in language_id.predict(df, (["de", "en", "fr"], matrix)).select("text", "__tw_l.*").collect():
+        own = language_id.counts(r.text) @ matrix.astype(np.float64)
+        assert r.lang_pred == ["de", "en", "fr"][own.argmax()] and math.isclose(r.score, 1 / np.exp(own - own.max()).sum(), rel_tol=1e-6)
+
+
 def test_mix_meets_its_targets(docs):
     sized, limits, _ = mixing.plan(docs)
     size = {}

@@ -115,8 +115,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             data = np.frombuffer(b"".join(batch), np.uint8)
             starts = np.array([0, *ends[:-1]])
             sums = np.zeros((len(ends), matrix.shape[1]))
-            for n, h in enumerate(grams(data)):  # n-grams across two texts count for the first; blanks at both ends make them alike
-                sums += np.add.reduceat(matrix.take(h, 0, mode="clip"), np.minimum(starts, len(h) - 1), axis=0, dtype=np.float64)
+            for n, h in enumerate(grams(data), 1):
+                part = matrix.take(h, 0, mode="clip")
+                for back in range(1, n):  # n-grams that reach into the next text
+                    at = np.array(ends) - back
+                    part[at[at < len(h)]] = 0
+                sums += np.add.reduceat(part, np.minimum(starts, len(h) - 1), axis=0, dtype=np.float64)
             for row in sums:
                 add(row)
             batch, ends, size = [], [], 0
