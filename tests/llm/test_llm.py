@@ -329,6 +329,15 @@ def test_quality_features_and_verdicts(docs):
         assert v.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (v.base_failed and v.kept)
 
 
+def test_low_variety_is_seen_at_any_length(spark):
+    random.seed(6)
+    few = [f"wort{i}" for i in range(40)]
+    texts = [" ".join(random.choices(few, k=k)) for k in (1999, 2000, 20_000)] + [" ".join(f"w{int(random.paretovariate(0.3))}" for _ in range(20_000)), prose(400)]
+    rows = quality.features(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = rows.select("doc_id", quality.votes(lambda k: F.col(f"__tw_f.{k}"))[7].alias("vote"), F.col("__tw_f.n_repeat_words").alias("again")).orderBy("doc_id").collect()
+    assert [r.vote for r in got] == [-1, -1, -1, 0, 0] and all(r.again == 0 for r in got[:2])
+
+
 def test_em_tells_junk_from_prose():
     junk, good = (-1, 0, 0), (0, 0, 1)
     post = quality.fit([(good, 900), (junk, 60), ((0, -1, 0), 40), ((0, 0, 0), 5)])

@@ -16,6 +16,8 @@ from tidewire.llm._shared import SPACE, SPACES, WORD, materialize, table, text_o
 
 #: Words of a window, fewest words of a document, most per cent of its words in repeated windows.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
+#: From so many words on, the fewest different words grow with the root of the length.
+LONG_WORDS = 2000
 #: EM starts from this share of good documents and these chances of the votes (-1, 0, 1) in good and bad documents, for
 #: rules that find junk and for the one that finds plain prose; they count as so large a share of the documents.
 PRIOR, STRENGTH, ROUNDS = 0.85, 0.05, 60
@@ -76,7 +78,8 @@ def votes(f) -> list[Column]:
         share("n_dup_lines") > 0.05,
         f("n_words") < LEAST_WORDS,
         (length > 14) | (length < 2),
-        (share("n_distinct") < 0.25) & (n < 2000),
+        # different words grow with the root of the length in long texts
+        f("n_distinct") < 0.25 * F.least(n, F.sqrt(n * LONG_WORDS)),
         letters < 0.7,
     ]
     prose = (share("n_symbols") <= 0.05) & (upper <= 0.2) & (share("n_bang") <= 0.1) & length.between(2.5, 12) & (letters > 0.65)
