@@ -260,6 +260,15 @@ def test_near_duplicates_against_all_pairs(docs):
             assert (r.n_shingles, r.component_id, r.kept) == (len(own[r.doc_id]), root[r.doc_id], r.doc_id == root[r.doc_id])
 
 
+def test_one_doc_id_with_several_texts(spark):
+    random.seed(9)
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (7, c + " zusatz"), (7, a.upper()), (8, b)]
+    got = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted((r.doc_id, r.text) for r in got)
+    assert len(kept) == 3 and kept[:2] == [(1, a), (5, b)] and kept[2][0] == 7 and kept[2][1] in (c, c + " zusatz")
+
+
 def test_near_copies_in_a_dense_group(spark):
     random.seed(8)
     base = [word() + str(i) for i in range(90)]

@@ -92,8 +92,9 @@ def sketch(s: np.ndarray, t: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit hash of the set), coords (four bits each, in longs), bands; the last three null for empty sets."""
+    """doc_id, n_shingles, node (128-bit hash of the set), coords (four bits each, in longs), bands, and further columns of ``docs``; the three after n_shingles null for empty sets."""
     bands, rows = bands_for(percent)
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +117,12 @@ def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 coords.append(packed(own))
                 keys.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(coords, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "coords", "bands"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(coords, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), *map(batch.column, more)],
+                names=["doc_id", "n_shingles", "node", "coords", "bands", *more],
             )
 
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("n_shingles", T.LongType()), ("node", T.BinaryType()), ("coords", T.ArrayType(T.LongType())), ("bands", T.ArrayType(T.LongType()))))])
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, schema)
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("n_shingles", T.LongType()), ("node", T.BinaryType()), ("coords", T.ArrayType(T.LongType())), ("bands", T.ArrayType(T.LongType())))), *(docs.schema[c] for c in more)])
+    return docs.select("doc_id", text_of().alias("text"), *more).mapInArrow(run, schema)
 
 
 def packed(coordinates: np.ndarray) -> np.ndarray:
@@ -203,6 +204,11 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     Repeated rows are one node; a row with a null doc_id takes part but never names a component of others. Texts of any
     length are used whole; an empty table gives no rows.
     """
+    return _grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """groups() with root (one for each component, null without words) and further columns of ``docs``."""
     made = materialize(sketched(docs, size, percent), "sketches")
     reps = made.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("coords").alias("coords"), F.first("bands").alias("bands"))
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "reps")
@@ -237,11 +243,12 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         least = named.join(labels.select(F.col("v").alias("rid")), "rid", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
         named = named.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "first"))
     else:
-        named = named.withColumn("component_id", F.col("first"))
-    named = materialize(named.select("node", "component_id", "copies"), "named")
-    rows = made.select("doc_id", "n_shingles", "node")
+        named = named.withColumn("component_id", F.col("first")).withColumn("root", F.col("rid"))
+    named = materialize(named.select("node", "component_id", "copies", "root"), "named")
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = made.select("doc_id", "n_shingles", "node", *more)
     out = lookup(rows, named, "node", "copies", rows.count()).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root", *more)
 
 
 def _rest(members: DataFrame, near: DataFrame, reps: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
@@ -286,12 +293,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, that with the least doc_id; of rows that repeat it one; all columns of ``docs``.
 
-    Rows with a null doc_id stay, as nothing tells them apart. The kept doc_ids come back by a join on doc_id.
+    Rows with a null doc_id stay, as nothing tells them apart. The kept rows come back by a join on doc_id and a digest
+    of the text, as a doc_id may stand for several texts.
     """
-    found = groups(docs.select("doc_id", "text"), size, percent)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__tw_id")).distinct()
-    rest = docs.join(gone, docs["doc_id"] == F.col("__tw_id"), "left_anti")
-    return rest.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(rest.filter(F.col("doc_id").isNull()))
+    docs = docs.withColumn("__tw_d", F.unhex(F.md5(text_of().cast("binary"))))
+    found = _grouped(docs.select("doc_id", "text", "__tw_d"), size, percent).filter(F.col("doc_id").isNotNull() & F.col("kept"))
+    own = found.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "__tw_d")).alias("k")).select("k.*")
+    stay = own.unionByName(found.filter(F.col("root").isNull()).select("doc_id", "__tw_d")).distinct()
+    rest = docs.filter(F.col("doc_id").isNotNull()).join(stay, ["doc_id", "__tw_d"], "left_semi").dropDuplicates(["doc_id", "__tw_d"])
+    return rest.unionByName(docs.filter(F.col("doc_id").isNull())).drop("__tw_d")
 
 
 def op8_near_dup(spark, sf_dir: str) -> DataFrame:
