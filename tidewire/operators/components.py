@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.session import written
+from tidewire.session import lookup, release, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """id, root (the least id reachable) for each end of ``edges`` (a, b).
 
     Each round takes the neighbours' least label and jumps along it, so long chains need few rounds. Rounds are written,
-    so the plan doesn't grow and a lost executor costs one round; nothing but a flag comes to the driver.
+    so the plan doesn't grow and a lost executor costs one round; nothing but counts and a flag comes to the driver. A
+    node with many neighbours and a label with many nodes are hot keys: lookup() takes them apart.
     """
-    both = written(edges.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("other"))).distinct(), "edges")
-    labels = written(both.groupBy("id").agg(F.least("id", F.min("other")).alias("root")), "labels")
+    pairs = edges.select(F.col("a").alias("id"), F.col("b").alias("other"))
+    both = written(pairs.unionByName(pairs.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "edges")
+    labels = written(both.groupBy("id").agg(F.least("id", F.min("other")).alias("root"), F.count(F.lit(1)).alias("degree")), "labels")
+    ends, nodes = both.count(), labels.count()
     while True:
-        near = both.join(labels.select(F.col("id").alias("other"), F.col("root").alias("seen")), "other").groupBy("id").agg(F.min("seen").alias("seen"))
-        step = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "seen").alias("root"))
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        step = written(step.join(jump, "root").select("id", "was", F.least("root", "next").alias("root")), "labels")
-        if step.filter("was <> root").isEmpty():
-            return step.select("id", "root")
-        labels = step.select("id", "root")
+        seen = labels.select(F.col("id").alias("other"), F.col("root").alias("seen"), "degree")
+        near = lookup(both, seen, "other", "degree", ends).groupBy("id").agg(F.min("seen").alias("seen"))
+        step = written(labels.join(near, "id").select("id", "degree", F.col("root").alias("was"), F.least("root", "seen").alias("root")), "labels")
+        sizes = step.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("next")).join(sizes, "root")
+        new = written(lookup(step, jump, "root", "size", nodes).select("id", "degree", "was", F.least("root", "next").alias("root")), "labels")
+        release(step, labels)
+        if new.filter("was <> root").isEmpty():
+            release(both)
+            return new.select("id", "root")
+        labels = new
