@@ -289,6 +289,54 @@ def test_near_copies_in_a_dense_group(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
 
 
+def test_dense_group_in_small_blocks(spark):
+    """A group just under and above the threshold: blocks of few nodes take all ways of comparing, and lose no link."""
+    random.seed(18)
+    bases = [[word() + str(i) for i in range(100)] for _ in range(3)]
+    texts = []
+    for _ in range(600):
+        w = list(random.choice(bases))
+        for _ in range(random.randint(0, 6)):
+            w[random.randrange(100)] = word() + random.choice("xyz")
+        texts.append(" ".join(w))
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    root = list(range(600))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(600):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: top(i) for i in range(600)}
+    for rows_, shingles in ((40, 1 << 21), (4096, 2500)):
+        assert {r.doc_id: r.component_id for r in near_dup.groups(rows, 3, 85, rows_, shingles).collect()} == want
+    assert 3 < len(set(want.values())) < 590
+
+
+def test_spanning_links_join_what_all_links_join():
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 9, 60):
+        base = np.sort(rng.choice(1 << 40, 60, replace=False)).astype(np.uint64)
+        sets = [np.unique(np.concatenate([rng.choice(base, int(rng.integers(44, 60)), replace=False), rng.integers(0, 30, int(rng.integers(0, 6))).astype(np.uint64)])) for _ in range(n)]
+        labels = rng.integers(0, max(2, n // 2), n)
+        for percent in (70, 80, 90):
+            join, span = near_dup._Joined(labels), near_dup._Joined(labels)
+            for x in range(n):
+                for y in range(x):
+                    both = len(np.intersect1d(sets[x], sets[y]))
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        join.join(x, y)
+            links = near_dup.spanning(sets, labels, np.arange(n), percent)
+            assert all(span.join(x, y) for x, y in links)
+            assert [join.root(i) for i in range(n)] == [span.root(i) for i in range(n)]
+
+
 def test_nearest_recall_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 16)).astype(np.float32)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.session import BROADCAST_ROWS, new_path  # noqa: F401
+from tidewire.session import BROADCAST_ROWS, lookup, new_path, release  # noqa: F401
 from tidewire.session import written as materialize  # noqa: F401
 
 #: What separates words: ASCII white space only, as ``bytes.split()`` has it.
@@ -33,16 +33,3 @@ def text_of(column: str = "text") -> Column:
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint only for a side of checked size."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def lookup(rows: DataFrame, found: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
-    """Left join of ``rows`` with ``found`` (one row a key; ``count``: the key's number of rows), safe from hot keys.
-
-    At most ``share`` keys can hold 1/share of all rows each: those are broadcast, and only keys below that are shuffled.
-    """
-    least = max(2.0, total / share)
-    hot = F.broadcast(found.filter(F.col(count) >= least))
-    cold = found.filter(F.col(count) < least)
-    with_hot = rows.join(hot, key, "inner")
-    rest = rows.join(hot.select(key), key, "left_anti").join(cold, key, "left")
-    return with_hot.select(*rest.columns).unionByName(rest)

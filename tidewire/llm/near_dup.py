@@ -4,21 +4,23 @@ A document's set holds its distinct word shingles. Its sketch comes from rounds
 shingle falls into one hashed bin with the value (i, hash), rounds from t on put all of them into bin i - t, and a bin
 keeps its least value; so every coordinate is filled after a few rounds, and the share of agreeing coordinates is
 concentrated about the Jaccard similarity. Bands of coordinates give candidates, chosen so that a pair at the threshold
-is missed with a chance of at most MISS. Candidates whose sketches agree far too little (five standard deviations) are
-set aside; the rest are confirmed on their full sets.
-
-Equal sets are one node from the start, so copies are never paired. Within a band's bucket, members are first paired
-with the bucket's least node only. Links make components, and what is left to compare are members of one bucket in
-different components: dense groups fall into one component early, and their pairs are never listed. Of those left, a
-pair is skipped if its distances to the bucket's least node differ by more than a link allows (the symmetric difference
-is a metric, so this loses nothing), if its sketches agree too little, or if an earlier band has it too.
+is missed with a chance of at most MISS. Nothing else is left to chance: candidates are confirmed on their full sets.
+
+Equal sets are one node from the start, so copies are never paired. Pairs are never listed as rows. Nodes that share a
+bucket gather about a home (the least node of their buckets, passed on once more from bucket to bucket), and a task
+compares a block of a home's nodes on their full sets. It handles sets as differences to the block's majority set: two
+nodes whose differences have nothing in common are judged by sizes alone, and the others are found by an inverted index
+on the differing shingles. Only links that join components leave the task, fewer than it has nodes. Homes of several
+blocks then compare the nodes outside their largest component with all their blocks, and buckets whose nodes ended at
+different homes and in different components are compared in the same way. So each pair of a bucket is either in one
+component already, or judged exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from math import ceil, log, sqrt
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm._shared import lookup, materialize, maybe_broadcast, small_batches, table, text_of
+from tidewire.llm._shared import BROADCAST_ROWS, lookup, materialize, small_batches, table, text_of
 from tidewire.operators.components import connected
 
-#: Chance that banding misses a pair at the threshold; most coordinates; standard deviations of the sketches' slack.
-MISS, COORDINATES, SLACK = 1e-7, 512, 5
+#: Chance that banding misses a pair at the threshold; most coordinates.
+MISS, COORDINATES = 1e-7, 512
+#: Nodes and shingles that a task compares at once, roughly.
+ROWS, SHINGLES = 4096, 1 << 21
 #: Words whose hashes a task keeps.
 WORDS = 500_000
 
@@ -92,7 +96,7 @@ def sketch(s: np.ndarray, t: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, node (128-bit hash of the set), coords (four bits each, in longs), bands, and further columns of ``docs``; the three after n_shingles null for empty sets."""
+    """doc_id, n_shingles, node (128-bit hash of the set), bands, and further columns of ``docs``; node and bands null for empty sets."""
     bands, rows = bands_for(percent)
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
     small_batches(docs.sparkSession)
@@ -100,13 +104,12 @@ def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            sizes, nodes, coords, keys = [], [], [], []
+            sizes, nodes, keys = [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py(), size, hashes)
                 sizes.append(len(s))
                 if not len(s):
                     nodes.append(None)
-                    coords.append(None)
                     keys.append(None)
                     continue
                 own = sketch(s, bands * rows)
@@ -114,162 +117,207 @@ def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 for column in own.reshape(bands, rows).T:
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + column)
                 nodes.append(blake2b(s.tobytes(), digest_size=16).digest())
-                coords.append(packed(own))
                 keys.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(coords, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64())), *map(batch.column, more)],
-                names=["doc_id", "n_shingles", "node", "coords", "bands", *more],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *map(batch.column, more)],
+                names=["doc_id", "n_shingles", "node", "bands", *more],
             )
 
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("n_shingles", T.LongType()), ("node", T.BinaryType()), ("coords", T.ArrayType(T.LongType())), ("bands", T.ArrayType(T.LongType())))), *(docs.schema[c] for c in more)])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(c, k) for c, k in (("n_shingles", T.LongType()), ("node", T.BinaryType()), ("bands", T.ArrayType(T.LongType())))), *(docs.schema[c] for c in more)])
     return docs.select("doc_id", text_of().alias("text"), *more).mapInArrow(run, schema)
 
 
-def packed(coordinates: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen coordinates a long; zeros behind the last."""
-    four = np.zeros(-(-len(coordinates) // 16) * 16, np.uint64)
-    four[: len(coordinates)] = mix(coordinates) & np.uint64(15)
-    return (four.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+class _Joined:
+    """Union-find over places, each path halved as it is walked."""
 
+    def __init__(self, labels: np.ndarray):
+        first: dict[int, int] = {}
+        self.up = [first.setdefault(x, i) for i, x in enumerate(labels.tolist())]
 
-def close(x: str, y: str, percent: int) -> Column:
-    """Whether two packed sketches agree enough for the threshold to be in reach.
-
-    Coordinates that agree have all bits equal, others half of them on average.
-    """
-    bands, rows = bands_for(percent)
-    t, p = bands * rows, percent / 100
-    # variance of the share of differing bits: of the coordinates' agreement, and of the bits of those that differ
-    deviation = sqrt(p * (1 - p) / 4 / t + (1 - p) / 4 / (4 * t))
-    differ = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
-    return differ <= 4 * t * ((1 - p) / 2 + SLACK * deviation)
-
-
-def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sketches agree enough for the threshold to be in reach."""
-    joined = pairs.select("a", "b").join(reps.select(F.col("rid").alias("a"), F.col("coords").alias("ca")), "a").join(reps.select(F.col("rid").alias("b"), F.col("coords").alias("cb")), "b")
-    return joined.filter(close("ca", "cb", percent)).select("a", "b")
+    def root(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
 
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with na, nb and both: the sizes of their full sets and of the intersection."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            na, nb, both = [], [], []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                na.append(len(x))
-                nb.append(len(y))
-                both.append(len(np.intersect1d(x, y, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(x, pa.int64()) for x in (na, nb, both))], names=["a", "b", "na", "nb", "both"])
-
-    # the set of b travels to a, where a's set is read once
-    joined = sets.select(F.col("rid").alias("b"), F.col("set").alias("sb")).join(pairs.select("a", "b"), "b").join(sets.select(F.col("rid").alias("a"), F.col("set").alias("sa")), "a")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long, both long")
+def spanning(sets: list[np.ndarray], labels: np.ndarray, askers: np.ndarray, percent: int, main: int | None = None) -> list[tuple[int, int]]:
+    """Links between the ``sets`` (sorted, not empty), enough to join all that links join; ``labels``: what is one already.
 
+    Links are looked for that have one of ``askers`` (places of sets) at an end and different labels. An asker that is
+    found to be one with ``main`` (a place; if all ask, the asker nearest the majority) asks no more: its links to what
+    is not are seen from there. With c the majority set and d(x) what x and c don't share, the symmetric difference of x and y has
+    |d(x)| + |d(y)| - 2 |d(x) and d(y)| shingles; the last term is counted by an inverted index.
+    """
+    n = len(sets)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    _, element, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    common = 2 * held > n
+    lacks = np.ones((n, int(common.sum())), bool)
+    column = np.cumsum(common) - 1
+    here = common[element]
+    lacks[owner[here], column[element[here]]] = False
+    without, what = np.nonzero(lacks)
+    apart = np.bincount(owner[~here], minlength=n) + np.bincount(without, minlength=n)
+    shared = ~here & (held[element] > 1)
+    owner, element = np.concatenate([owner[shared], without]), np.concatenate([element[shared], np.flatnonzero(common)[what]])
+    del lacks, here, shared, without, what
+    order = np.argsort(element, kind="stable")
+    holders, starts = owner[order], np.searchsorted(element[order], np.arange(len(held) + 1))
+    order = np.argsort(owner, kind="stable")
+    own, own_at = element[order], np.searchsorted(owner[order], np.arange(n + 1))
+    joined, links = _Joined(labels), []
+    # those near the majority come first: what they link needs no look of its own
+    askers = askers[np.argsort(((100 + percent) * apart - (100 - percent) * size)[askers], kind="stable")].tolist()
+    if main is None and len(askers) == n:
+        main = askers[0]
+    for x in askers:
+        if main is not None and x != main and joined.root(x) == joined.root(main):
+            continue
+        e = own[own_at[x] : own_at[x + 1]]
+        length = starts[e + 1] - starts[e]
+        ends = np.cumsum(length)
+        both = np.bincount(holders[np.arange(ends[-1]) + np.repeat(starts[e] - ends + length, length)], minlength=n) if len(e) else 0
+        differ, sizes = apart[x] + apart - 2 * both, size[x] + size
+        for y in np.flatnonzero(100 * (sizes - differ) >= percent * (sizes + differ)).tolist():
+            if joined.join(x, y):
+                links.append((x, y))
+    return links
+
+
+def _cells(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b: roots) that the cells of ``rows`` need to be joined: group, block, part, rid, root, asks, main, set.
+
+    Those that ask are compared with all of their cell. main: the group's root of the largest component, if it has one.
+    """
 
-def linked(percent: int) -> Column:
-    return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+    def run(cell: pa.Table) -> pa.Table:
+        out: list[tuple[int, int]] = []
+        roots, asks = cell.column("root").to_numpy(), cell.column("asks").to_numpy()
+        if len(roots) > 1 and roots.min() != roots.max() and asks.any():
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in cell.column("set")]
+            main = np.flatnonzero(cell.column("main").to_numpy() == roots)
+            out = [(int(roots[x]), int(roots[y])) for x, y in spanning(sets, roots, np.flatnonzero(asks), percent, int(main[0]) if len(main) else None)]
+        a, b = zip(*out, strict=True) if out else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    return rows.groupBy("group", "block", "part").applyInArrow(run, "a long, b long")
 
-def components(edges: DataFrame) -> DataFrame:
-    """v, root (the least node reachable) for each node of ``edges`` (a, b)."""
-    return connected(edges).withColumnRenamed("id", "v")
 
+def _blocks(groups: DataFrame, rows: int, shingles: int) -> DataFrame:
+    """``groups`` (n, shingles, ...) with the number of their blocks."""
+    return groups.withColumn("blocks", F.greatest(F.ceil(F.col("n") / rows), F.ceil(F.col("shingles") / shingles)).cast("int"))
 
-def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """Labels after more ``edges`` between nodes: components of the contracted graph."""
-    if labels is None:
-        return materialize(components(edges), "labels")
-    more = components(edges.select("ra", "rb").toDF("a", "b"))
-    new = labels.join(more.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left").select("v", F.coalesce("next", "root").alias("root"))
-    alone = more.join(labels.select("v"), "v", "left_anti")
-    return materialize(new.unionByName(alone), "labels")
 
+def _block(rid: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(rid, F.lit(3)), F.col(blocks)).cast("int")
 
-def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``pairs`` in different components, with their roots ra and rb."""
-    if labels is None:
-        return pairs.select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
-    out = pairs.select("a", "b").join(labels.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b", "left")
-    return out.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).filter("ra <> rb")
 
+def _crossed(own: DataFrame, sets: DataFrame, percent: int, rows: int, shingles: int) -> DataFrame:
+    """Links (a, b: roots) between the nodes of each group of ``own`` (group, rid, root, n): those outside the group's largest component against all.
 
-def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    Blocks of askers meet blocks of all, so rows are nodes times blocks of askers and askers times blocks.
+    """
+    parts = own.groupBy("group", "root").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("shingles"))
+    most = F.max_by("root", F.struct("of", -F.col("root")))
+    stats = parts.groupBy("group").agg(most.alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("of").alias("n"), F.sum("shingles").alias("shingles"), F.max(F.struct("of", -F.col("root"), "shingles")).alias("top")).filter("kinds > 1")
+    stats = _blocks(stats, rows, shingles).withColumn("asking", F.greatest(F.ceil((F.col("n") - F.col("top.of")) / rows), F.ceil((F.col("shingles") - F.col("top.shingles")) / shingles)).cast("int"))
+    stats = materialize(stats.select("group", "main", "n", "blocks", "asking"), "groups")
+    if stats.isEmpty():
+        return own.sparkSession.createDataFrame([], "a long, b long")
+    placed = lookup(own.select("group", "rid", "root"), stats, "group", "n", own.count()).filter("main is not null")
+    every = placed.select("group", "rid", "root", "main", F.lit(False).alias("asks"), _block("rid", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("part"))
+    asking = placed.filter("root <> main").select("group", "rid", "root", "main", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _block("rid", "asking").alias("part"))
+    return _cells(every.unionByName(asking).join(sets, "rid"), percent)
+
+
+def groups(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = ROWS, shingles: int = SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
     component_id is the least doc_id reachable over links of at least ``percent`` per cent Jaccard similarity between
     sets of ``size``-word shingles; kept: it is the row's own. Rows without words (null, empty) link with nothing.
     Repeated rows are one node; a row with a null doc_id takes part but never names a component of others. Texts of any
-    length are used whole; an empty table gives no rows.
+    length are used whole; an empty table gives no rows. ``rows`` and ``shingles`` bound what a task compares at once and
+    change no result.
     """
-    return _grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
+    return _grouped(docs, size, percent, rows, shingles).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _grouped(docs: DataFrame, size: int, percent: int, rows: int = ROWS, shingles: int = SHINGLES) -> DataFrame:
     """groups() with root (one for each component, null without words) and further columns of ``docs``."""
     made = materialize(sketched(docs, size, percent), "sketches")
-    reps = made.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("coords").alias("coords"), F.first("bands").alias("bands"))
+    reps = made.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     reps = materialize(reps.withColumn("rid", F.monotonically_increasing_id()), "reps")
 
-    placed = reps.select("rid", F.posexplode("bands").alias("band", "h")).select("rid", "band", F.xxhash64("band", "h").alias("key"))
-    buckets = placed.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("z"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = materialize(buckets, "buckets")
-    large = buckets.filter("n > 2").select("key", "a")
+    placed = reps.select("rid", F.posexplode("bands").alias("band", "h")).select("rid", F.xxhash64("band", "h").alias("key"))
+    buckets = materialize(placed.groupBy("key").agg(F.min("rid").alias("a"), F.max("rid").alias("z"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    large = buckets.filter("n > 2").select("key", "a", "n")
     n_large = large.count()
-    members = materialize(placed.join(maybe_broadcast(large, n_large), "key"), "members")
-    star = buckets.filter("n = 2").select("a", F.col("z").alias("b")).unionByName(members.filter("rid <> a").select("a", F.col("rid").alias("b")))
-    star = materialize(agreeing(star.distinct(), reps, percent), "star")
-
-    sets = materialize(_sets(docs, reps.join(star.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "rid").select("rid", "first", "node"), size), "sets")
-    near = materialize(measured(star, sets), "measured")
-    links = near.filter(linked(percent)).select("a", "b", F.col("a").alias("ra"), F.col("b").alias("rb"))
-    labels = None if links.isEmpty() else _relabel(None, links)
-
-    rest = _rest(members, near, reps, labels, percent)
-    rest = materialize(_apart(rest, labels), "apart")
-    if not rest.isEmpty():
-        more = rest.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(sets.select("rid"), "rid", "left_anti")
-        more = materialize(_sets(docs, reps.join(more, "rid").select("rid", "first", "node"), size), "sets")
-        links = materialize(measured(rest, sets.unionByName(more)).filter(linked(percent)).join(rest, ["a", "b"]), "links")
-        if not links.isEmpty():
-            labels = _relabel(labels, links)
+    members = placed.join(F.broadcast(large), "key") if n_large <= BROADCAST_ROWS else lookup(placed, large, "key", "n", reps.count() * bands_for(percent)[0]).filter("a is not null")
+    pairs = buckets.filter("n = 2").select("key", F.explode(F.array("a", "z")).alias("rid"), "a", "n")
+    members = materialize(members.select("key", "rid", "a", "n").unionByName(pairs), "members")
+
+    # homes: the least node of a node's buckets, and what is least among those of its buckets' nodes
+    total = members.count()
+    first = members.groupBy("rid").agg(F.min("a").alias("first"))
+    least = members.join(first, "rid").groupBy("key").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n"))
+    homes = lookup(members.select("key", "rid"), materialize(least, "least"), "key", "n", total).groupBy("rid").agg(F.min("least").alias("home"))
+    homes = materialize(homes.join(reps.select("rid", "n"), "rid"), "homes")
+    stats = materialize(_blocks(homes.groupBy("home").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles")).withColumnRenamed("members", "n"), rows, shingles).select("home", F.col("n").alias("members"), "blocks"), "groups")
+    sets = materialize(_sets(docs, homes.select("rid").join(reps.select("rid", "first", "node"), "rid"), size), "sets")
+
+    # a block of a home's nodes and the home itself in a task
+    own = lookup(homes, stats, "home", "members", homes.count())
+    own = own.filter("rid <> home").select(F.col("home").alias("group"), _block("rid", "blocks").alias("block"), "rid")
+    hubs = stats.select(F.col("home").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("home").alias("rid"))
+    cells = own.unionByName(hubs).join(sets, "rid").select("group", "block", F.lit(0).alias("part"), "rid", F.col("rid").alias("root"), F.lit(True).alias("asks"), F.lit(None).cast("long").alias("main"), "set")
+    labels = _relabel(None, materialize(_cells(cells, percent), "links"))
+
+    # homes of several blocks, then buckets with several homes: what is in different components still
+    wide = stats.filter("blocks > 1")
+    if not wide.isEmpty():
+        own = _rooted(lookup(homes, wide, "home", "members", homes.count()).filter("blocks is not null").select(F.col("home").alias("group"), "rid", "n"), labels)
+        labels = _relabel(labels, materialize(_crossed(own, sets, percent, rows, shingles), "links"))
+    own = members.select(F.col("key").alias("group"), "rid").join(homes, "rid")
+    several = own.groupBy("group").agg(F.min("home").alias("h0"), F.max("home").alias("h1"), F.count(F.lit(1)).alias("members")).filter("h0 <> h1").select("group", "members")
+    own = materialize(lookup(own, materialize(several, "several"), "group", "members", total).filter("members is not null").select("group", "rid", "n"), "mixed")
+    if not own.isEmpty():
+        labels = _relabel(labels, materialize(_crossed(_rooted(own, labels), sets, percent, rows, shingles), "links"))
 
     named = reps.select("rid", "node", "first", "copies")
-    if labels is not None:
-        named = named.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        # most nodes are alone and need no second look
-        least = named.join(labels.select(F.col("v").alias("rid")), "rid", "left_semi").groupBy("root").agg(F.min("first").alias("least"))
-        named = named.join(least, "root", "left").withColumn("component_id", F.coalesce("least", "first"))
-    else:
-        named = named.withColumn("component_id", F.col("first")).withColumn("root", F.col("rid"))
+    named = named.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    # most nodes are alone and need no second look
+    least = named.join(labels.select(F.col("v").alias("rid")), "rid", "left_semi").groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("of"))
+    named = lookup(named, materialize(least, "least"), "root", "of", reps.count()).withColumn("component_id", F.coalesce("least", "first"))
     named = materialize(named.select("node", "component_id", "copies", "root"), "named")
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = made.select("doc_id", "n_shingles", "node", *more)
-    out = lookup(rows, named, "node", "copies", rows.count()).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    out = lookup(made.select("doc_id", "n_shingles", "node", *more), named, "node", "copies", made.count()).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root", *more)
 
 
-def _rest(members: DataFrame, near: DataFrame, reps: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, of different components and neither its least node, that may be links.
+def _rooted(own: DataFrame, labels: DataFrame) -> DataFrame:
+    """``own`` with each node's root."""
+    return materialize(own.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "rooted")
 
-    ``near`` has the sizes and intersections of pairs with a least node. Members without one there were set aside by
-    their sketches: nothing bounds their distance, so they are compared with all.
-    """
-    own = members.filter("rid <> a")
-    own = own.withColumn("root", F.col("rid")) if labels is None else own.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    mixed = own.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-    away = near.select("a", F.col("b").alias("rid"), (F.col("na") + F.col("nb") - 2 * F.col("both")).alias("away"))
-    own = own.join(mixed, "key", "left_semi").join(away, ["a", "rid"], "left").join(reps.select("rid", "n", "coords", "bands"), "rid")
-    own = materialize(own.select("key", "band", "rid", "root", "away", "n", "coords", "bands"), "mixed")
-    x, y = (own.select("key", *(F.col(c).alias(f"{c}_{k}") for c in ("band", "rid", "root", "away", "n", "coords", "bands"))) for k in "xy")
-    p = percent / 100
-    allowed = (F.col("n_x") + F.col("n_y")) * ((1 - p) / (1 + p)) + 1e-6
-    reach = F.coalesce(F.abs(F.col("away_x") - F.col("away_y")) <= allowed, F.lit(True)) & (F.abs(F.col("n_x") - F.col("n_y")) <= allowed)
-    earlier = F.exists(F.slice(F.zip_with("bands_x", "bands_y", lambda a, b: a == b), F.lit(1), F.col("band_x")), lambda e: e)
-    pair = x.join(y, (x["key"] == y["key"]) & (F.col("root_x") < F.col("root_y")) & reach & close("coords_x", "coords_y", percent) & ~earlier)
-    return pair.select(F.col("rid_x").alias("a"), F.col("rid_y").alias("b")).distinct()
+
+def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """v, root (the least node reachable), after ``links`` (a, b) between roots: components of the contracted graph."""
+    more = connected(links).withColumnRenamed("id", "v")
+    if labels is None:
+        return materialize(more, "labels")
+    if links.isEmpty():
+        return labels
+    next_ = more.select(F.col("v").alias("root"), F.col("root").alias("next"))
+    sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("of"))
+    new = lookup(labels, next_.join(sizes, "root"), "root", "of", labels.count()).select("v", F.coalesce("next", "root").alias("root"))
+    alone = more.join(labels.select("v"), "v", "left_anti")
+    return materialize(new.unionByName(alone), "labels")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
