@@ -28,12 +28,18 @@ from tidewire.llm._shared import materialize, small_batches, table, text_of
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: A worker keeps the ids of this many different chunks of text; longer chunks are encoded each time.
+#: A worker keeps the ids of this many different words; longer words (bytes) are encoded each time.
 CACHE, LONG = 400_000, 64
-#: Chunks that are encoded together: letters of Latin-1, with one mark behind at most. Case is dropped by the tokenizer,
-#: and a mark behind a letter is a token of its own.
-SIMPLE = re.compile(r"^([a-zà-öø-ÿ]{1,40})([,.;:!?]?)$|^.*$", re.M)
+#: Bytes that are encoded together.
+BLOCK = 1 << 21
+#: Bytes that separate words; marks a run of which is a token or tokens of its own behind a letter and before a separator.
+SEPARATES, MARKS, LETTERS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b" \t\n\x0b\x0c\r", b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", b"abcdefghijklmnopqrstuvwxyz"))
+#: A letter of Latin-1 is this byte and one from 0x80 on; all but these two (the signs for times and divided by) are letters.
+LATIN, NO_LETTER = 0xC3, (0x97, 0xB7)
 NEVER = np.int32(2**31 - 1)
+#: The base of the words' polynomial hash (odd), and what their length is multiplied with.
+HASH, LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 #: Ranks are counted in so many rows a group at most, roughly.
 RANK_ROWS = 200_000
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -67,26 +73,29 @@ class WordPieces:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], NEVER)
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word; none is empty. Words of like length go together."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        out: list[bytes] = [b""] * len(words)
-        for least, most in itertools.pairwise((0, 7, 10, 14, 20, 1 << 30)):
-            at = np.flatnonzero((size > least) & (size <= most)).tolist()
-            if at:
-                for i, ids in zip(at, self._encode([words[i] for i in at]), strict=True):
-                    out[i] = ids
-        return out
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        size = np.fromiter(map(len, words), np.int64, len(words))
+    def encode(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that stand one behind the other in ``flat``, and their numbers. Words of like length go together."""
+        starts, number, parts = np.cumsum(size) - size, np.zeros(len(size), np.int64), []
+        for least, most in itertools.pairwise((0, 5, 7, 9, 11, 14, 20, 1 << 30)):
+            for at in _split(np.flatnonzero((size > least) & (size <= most)), 20_000):
+                ids, number[at] = self._encode(flat[spread(starts[at], size[at])], size[at])
+                parts.append((at, ids))
+        ends = np.cumsum(number)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        for at, ids in parts:
+            out[spread(ends[at] - number[at], number[at])] = ids
+        return out, number
+
+    def _encode(self, flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         wide = int(size.max())
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        ids = np.full((len(words), wide + 1), self.PAD, np.uint16)
-        ids[:, :wide][np.arange(wide) < size[:, None]] = self.inner[flat]
-        ids[np.arange(len(words)), size - 1] = self.last[flat[np.cumsum(size) - 1]]
+        inside = np.arange(wide) < size[:, None]
+        ids = np.full((len(size), wide + 1), self.PAD, np.uint16)
+        ids[:, :wide][inside] = self.inner[flat]
+        ids[np.arange(len(size)), size - 1] = self.last[flat[np.cumsum(size) - 1]]
         out = ids.copy()
-        rows, ranks = np.arange(len(words)), self._ranks(ids[:, :-1], ids[:, 1:])
+        rows, ranks = np.arange(len(size)), np.full((len(size), wide), NEVER)
+        pairs = inside[:, 1:]
+        ranks[:, : wide - 1][pairs] = self._ranks(ids[:, : wide - 1][pairs], ids[:, 1:wide][pairs])
         steps = np.arange(wide + 1)
         while len(rows):
             at = ranks.argmin(1)
@@ -99,67 +108,214 @@ class WordPieces:
                 each = each[: len(rows)]
                 if not len(rows):
                     break
-            source = np.minimum(steps + (steps > at[:, None]), wide)
-            ids = np.take_along_axis(ids, source, 1)
+            moves = steps > at[:, None]
+            ids[:, :-1] = np.where(moves[:, :-1], ids[:, 1:], ids[:, :-1])
             ids[:, wide] = self.PAD
             ids[each, at] = self.joined[best]
-            ranks = np.take_along_axis(ranks, source[:, :wide].clip(max=wide - 1), 1)
+            ranks[:, :-1] = np.where(moves[:, :-2], ranks[:, 1:], ranks[:, :-1])
             ranks[:, wide - 1] = NEVER
-            ranks[each, at] = self._ranks(ids[each, at], ids[each, np.minimum(at + 1, wide)])
             before = np.maximum(at - 1, 0)
-            ranks[each, before] = np.where(at > 0, self._ranks(ids[each, before], ids[each, at]), ranks[each, before])
-        size = (out != self.PAD).sum(1)
-        data = out[out != self.PAD].astype("<u4").tobytes()
-        ends = (4 * np.cumsum(size)).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            new = self._ranks(np.concatenate([ids[each, at], ids[each, before]]), np.concatenate([ids[each, np.minimum(at + 1, wide)], ids[each, at]]))
+            ranks[each, at] = new[: len(at)]
+            ranks[each, before] = np.where(at > 0, new[len(at) :], ranks[each, before])
+        kept = out != self.PAD
+        return out[kept].astype(np.int32), kept.sum(1)
+
+
+def _split(at: np.ndarray, most: int) -> list[np.ndarray]:
+    return [at[i : i + most] for i in range(0, len(at), most)]
+
+
+def spread(starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range behind the other."""
+    ends = np.cumsum(length)
+    return np.repeat(starts - ends + length, length) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizer gives them, with the ids of chunks that were seen before."""
+    """Ids of whole texts, as the tokenizer gives them.
+
+    The tokenizer drops white space and case and never joins across white space, so words can be encoded one by one,
+    and a run of marks between a letter and white space is a word of its own. A block of texts is cut into words, which are told
+    apart by 64-bit hashes and checked byte by byte; only those not seen before are encoded. What goes through the
+    tokenizer itself, as it is: words with other characters than letters of Latin-1, and whole texts with what may be a
+    special token.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.pieces, self.known = Tokenizer.from_file(path), WordPieces(path), {}
-        self.closing = {c: self._plain(c) for c in ("", *",.;:!?")}
+        self.tok, self.pieces = Tokenizer.from_file(path), WordPieces(path)
         self.mark = self.tok.encode("\x01", add_special_tokens=False).ids[0]
-
-    def _plain(self, chunk: str) -> bytes:
-        return np.asarray(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Simple chunks are encoded by their stems; the others many at a time, with a mark between them; those that hold the mark go alone."""
-        parts = SIMPLE.findall("\n".join(chunks).lower())  # one for each chunk
-        stems = list({x for x, _ in parts} - {""})
-        found = dict(zip(stems, self.pieces.encode("\n".join(stems).encode().split(b"\n")), strict=True)) if stems else {}
-        out = {c: found[x] + self.closing[end] for c, (x, end) in zip(chunks, parts, strict=True) if x}
-        out |= {c: self._plain(c) for c in chunks if "\x01" in c}
-        rest = [c for c in chunks if c not in out]
+        self.power = np.cumprod(np.append(np.uint64(1), np.full(4 * BLOCK, HASH, np.uint64)))
+        self.inverse = np.cumprod(np.append(np.uint64(1), np.full(4 * BLOCK, pow(int(HASH), -1, 1 << 64), np.uint64)))
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.slot = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.bytes, self.byte_ends = np.empty(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.id_ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def plain(self, text: str) -> np.ndarray:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _other(self, words: list[bytes]) -> list[np.ndarray]:
+        """Words that the merges here don't cover: many at a time, with a mark between them; those that hold the mark go alone."""
+        texts = [w.decode() for w in words]
+        out = {i: self.plain(t) for i, t in enumerate(texts) if "\x01" in t}
+        rest = [i for i in range(len(texts)) if i not in out]
         groups = [rest[i : i + 1000] for i in range(0, len(rest), 1000)]
-        for group, many in zip(groups, self.tok.encode_batch_fast([" \x01 ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(many.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            data, at = ids.tobytes(), 0
-            for c, end in zip(group, ends, strict=True):
-                out[c] = data[4 * at : 4 * end]
-                at = end + 1
-        self.known.update(out)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The tokenizer drops white space and never joins across it, so chunks between blanks can be encoded one by one."""
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        every = set().union(*split)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        fresh = list(every.difference(self.known))
-        if fresh:
-            self._learn(fresh)
-        out = [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
-        for c in fresh:
-            if len(c) > LONG:
-                del self.known[c]
-        return out
+        for group, many in zip(groups, self.tok.encode_batch_fast([" \x01 ".join(texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(many.ids, np.int32)
+            out |= dict(zip(group, np.split(ids, np.flatnonzero(ids == self.mark)), strict=True))
+            out |= {i: out[i][1:] for i in group[1:]}
+        return [out[i] for i in range(len(texts))]
+
+    def _learn(self, x: np.ndarray, good: np.ndarray, start: np.ndarray, size: np.ndarray, keys: np.ndarray) -> None:
+        """Keep the words of ``x`` at ``start``; ``good``: the bytes of letters before each place."""
+        flat, first, number = x[spread(start, size)], np.cumsum(size) - size, np.zeros(len(size), np.int64)
+        simple = good[start + size] - good[start] == size
+        at = np.flatnonzero(simple)
+        ids, number[at] = self.pieces.encode(flat[spread(first[at], size[at])], size[at])
+        others = np.flatnonzero(~simple)
+        data = flat.tobytes()
+        own = self._other([data[a : a + n] for a, n in zip(first[others].tolist(), size[others].tolist(), strict=True)])
+        number[others] = [len(i) for i in own]
+        ends = np.cumsum(number)
+        made = np.empty(int(ends[-1]), np.int32)
+        made[spread(ends[at] - number[at], number[at])] = ids
+        if own:
+            made[spread(ends[others] - number[others], number[others])] = np.concatenate(own)
+        slot = len(self.id_ends) - 1 + np.arange(len(size))
+        self.bytes, self.byte_ends = np.concatenate([self.bytes, flat]), np.concatenate([self.byte_ends, self.byte_ends[-1] + np.cumsum(size)])
+        self.ids, self.id_ends = np.concatenate([self.ids, made]), np.concatenate([self.id_ends, self.id_ends[-1] + ends])
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.slot = np.insert(self.keys, place, keys), np.insert(self.slot, place, slot)
+
+    def _words(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and sizes of the words, and the number of letters' bytes before each place. ``x`` ends in a separator; its case is dropped."""
+        letter = LETTERS[x]
+        lead = np.flatnonzero(x == LATIN)
+        behind = x[lead + 1]
+        capital = (behind >= 0x80) & (behind < 0x9F) & (behind != NO_LETTER[0])
+        x[lead[capital] + 1] += 0x20
+        lead = lead[(behind >= 0x80) & (behind != NO_LETTER[0]) & (behind != NO_LETTER[1])]
+        letter[lead] = letter[lead + 1] = True
+        gap = SEPARATES[x]
+        marks = np.diff(MARKS[x].astype(np.int8), prepend=0)  # the last byte is a separator
+        run, behind = np.flatnonzero(marks == 1), np.flatnonzero(marks == -1)
+        alone = np.zeros(len(x), bool)
+        alone[run[(run > 0) & letter[run - 1] & gap[behind]]] = True
+        starts = ~gap
+        starts[1:] &= gap[:-1]
+        ends = gap.copy()
+        ends[1:] &= ~gap[:-1]
+        ends[0] = False
+        start, end = np.flatnonzero(starts | alone), np.flatnonzero(ends | alone)
+        return start, end - start, np.append(0, np.cumsum(letter))
+
+    def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts of the words of ``data``, their ids one behind the other, the ids' numbers); ``data`` ends in a separator."""
+        x = np.frombuffer(bytearray(data.lower()), np.uint8)  # bytes: A-Z only
+        start, size, good = self._words(x)
+        if not len(start):
+            return start, np.empty(0, np.int32), start
+        if len(x) < len(self.power):
+            sums = np.cumsum(x * self.power[: len(x)], dtype=np.uint64)
+            sums = np.append(np.uint64(0), sums)
+            keys = (sums[start + size] - sums[start]) * self.inverse[start] + size.astype(np.uint64) * LENGTH
+            keys ^= keys >> np.uint64(29)
+        else:  # a word longer than a block, or nearly: none is told apart
+            keys = np.arange(len(start), dtype=np.uint64)
+            self.forget()
+        if len(self.keys) > CACHE:
+            self.forget()
+        order = np.argsort(keys)
+        ordered = keys[order]
+        fresh = np.append(True, ordered[1:] != ordered[:-1])
+        uniq, first = ordered[fresh], order[fresh]
+        inverse = np.empty(len(keys), np.int64)
+        inverse[order] = np.cumsum(fresh) - 1
+        known = self._known(uniq)
+        unknown = np.flatnonzero(known < 0)
+        if len(unknown):
+            at = first[unknown]
+            self._learn(x, good, start[at], size[at], uniq[unknown])
+            known = self._known(uniq)
+        word = known[inverse]
+        if not self._same(x, start, size, word):  # two words with one hash
+            self.forget()
+            ids = [self.plain(data[a : a + n].decode()) for a, n in zip(start.tolist(), size.tolist(), strict=True)]
+            return start, np.concatenate(ids), np.array([len(i) for i in ids])
+        number = self.id_ends[word + 1] - self.id_ends[word]
+        ids = self.ids[spread(self.id_ends[word], number)]
+        if size.max() > LONG:
+            self._drop_long()
+        return start, ids, number
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """The slots of ``keys``, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slot[at], -1)
+
+    def _same(self, x: np.ndarray, start: np.ndarray, size: np.ndarray, word: np.ndarray) -> bool:
+        if not np.array_equal(self.byte_ends[word + 1] - self.byte_ends[word], size):
+            return False
+        return np.array_equal(x[spread(start, size)], self.bytes[spread(self.byte_ends[word], size)])
+
+    def _drop_long(self) -> None:
+        """Words over LONG bytes are forgotten by their key; all go once what they hold outweighs the others."""
+        size = self.byte_ends[1:] - self.byte_ends[:-1]
+        short = size[self.slot] <= LONG
+        self.keys, self.slot = self.keys[short], self.slot[short]
+        if int(size[size > LONG].sum()) > 4 * BLOCK:
+            self.forget()
+
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The ids of each of ``texts``, in order."""
+        held: list[tuple[int, bytes]] = []
+        got: dict[int, list[np.ndarray]] = {}
+        size = done = 0
+
+        def flush() -> None:
+            ends = np.cumsum([len(d) for _, d in held])
+            start, ids, number = self.block(b"".join(d for _, d in held))
+            cuts = np.append(0, np.cumsum(number))[np.searchsorted(start, ends)]
+            for (i, _), a, b in zip(held, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                got.setdefault(i, []).append(ids[a:b])
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if b"<|" in text:
+                got[i] = [self.plain(text.decode())]
+                continue
+            for piece in pieces_of(text):
+                held.append((i, piece))
+                size += len(piece)
+                if size > BLOCK:
+                    flush()
+                    size = 0
+                    while done < i:
+                        yield np.concatenate(got.pop(done))
+                        done += 1
+        if held:
+            flush()
+        while done < len(texts):
+            yield np.concatenate(got.pop(done))
+            done += 1
+
+
+def pieces_of(text: bytes) -> Iterator[bytes]:
+    """``text`` in pieces of about BLOCK bytes that end at white space, with a blank behind each."""
+    at = 0
+    while len(text) - at > 2 * BLOCK:
+        end = next((m.end() for m in GAP.finditer(text, at + BLOCK)), len(text))
+        yield text[at:end] + b" "
+        at = end
+    yield text[at:] + b" "
 
 
 @functools.lru_cache(maxsize=1)
@@ -178,12 +334,13 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of each document's ids and a final 0; null text is empty."""
 
     small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
             rows = []
-            for i, ids in enumerate(encoder.encode([x.as_py() for x in batch.column("text")])):
-                ids += b"\0\0\0\0"
+            for i, ids in enumerate(encoder.encode([x.as_buffer().to_pybytes() for x in batch.column("text").cast(pa.binary())])):
+                ids = np.append(ids, np.int32(0)).astype("<u4").tobytes()
                 for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                     part = ids[4 * at : 4 * (at + capacity)]
                     rows.append((i, k, at, len(part) // 4, zlib.crc32(part)))
