@@ -5,11 +5,13 @@ each time. Neighbours tend to be near each other on one of the curves. Spark ord
 a vector's rank tells its block, a query goes to the blocks that its window of ranks touches, and there the nearest are
 found with exact distances. The curves' lists are merged at the end.
 
-How far apart on the curves neighbours lie depends on the table, so the window is measured on it: the true neighbours of
-a sample of queries are found by comparing all, and the window is the one within which RECALL of them lie on some curve.
-Where the curves' windows together hold as many ranks as there are points, all points are compared instead.
+How far apart on the curves neighbours lie depends on the table, so the windows are measured on it: the true neighbours
+of a sample of queries are found by comparing all, and for each number of curves the window is the one within which
+RECALL of them lie on one of these curves. The number of curves is taken that makes the least work. There is one way at
+every size: where neighbours have no contrast, windows are wide.
 
-Equal vectors are one point with its smallest ids, so a vector that a third of the rows share is looked at once.
+Equal vectors are one point with its smallest ids, so a vector that a third of the rows share is looked at once, and
+asked for once.
 """
 
 from __future__ import annotations
@@ -17,23 +19,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tidewire.llm._shared import materialize, table
+from tidewire.llm._shared import lookup, materialize, release, table
 
 #: Neighbours; curves; dimensions and bits of each; ranks of a block, at least and at most.
 K, CURVES, DIMENSIONS, BITS, BLOCK, LARGEST_BLOCK = 10, 20, 8, 7, 2000, 20_000
-#: Ranks to either side on all curves make a scan of tables up to that size the cheaper way, without a measurement.
-WINDOW = 1500
 #: Share of the sampled queries' neighbours that the window must hold; queries of the sample.
 RECALL, PROBES = 0.95, 256
-#: Queries that are sent to all tasks at once; points and queries that are multiplied at once.
-ASKED, POINTS, QUERIES = 50_000, 8192, 1024
+#: Queries that are multiplied with a block at once.
+QUERIES = 512
 SEED = 20240131
 #: Points that the projections' scales are taken from, at most.
 SAMPLE = 20_000
@@ -73,17 +72,22 @@ def projections(dim: int, curves: int) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.normal(size=(dim, max(dim, DIMENSIONS))))[0][:, :DIMENSIONS] if dim >= DIMENSIONS else rng.normal(size=(dim, DIMENSIONS)) for _ in range(curves)])
 
 
+def components(vectors: DataFrame) -> Column:
+    """The vectors, as floats if they are stored so (half the shuffle; distances are exact in double all the same), with 0 for -0."""
+    kind = vectors.schema["embedding"].dataType
+    kind = "float" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "double"
+    return F.transform(F.col("embedding").cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind))
+
+
 def points(vectors: DataFrame, keep: int) -> DataFrame:
-    """vec (its components as double), ids (the ``keep`` smallest ids): one row for each different vector.
+    """vec (its components as they are, floats or doubles), ids (the ``keep`` smallest ids): one row for each different vector.
 
     Null vectors, the zero vector and those with a null or non-finite component take no part, nor do those whose length
     isn't the most frequent one (of several the largest). Tasks first cut the ids of their own equal vectors.
     """
-    v = F.col("embedding").cast("array<double>")
-    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vec")).filter(
+    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), components(vectors).alias("vec")).filter(
         F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     )
-    usable = usable.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))  # -0 is 0
     dim = usable.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     usable = usable.filter(F.size("vec") == (dim[0] if dim else 0))
 
@@ -92,121 +96,123 @@ def points(vectors: DataFrame, keep: int) -> DataFrame:
             own: dict[bytes, list[int]] = {}
             ids = batch.column("vec_id").to_pylist()
             for i, x in zip(ids, batch.column("vec"), strict=True):
-                own.setdefault(np.asarray(x.values, np.float64).tobytes(), []).append(i)
+                own.setdefault(np.asarray(x.values).tobytes(), []).append(i)
+            kind = batch.column("vec").type.value_type
             yield pa.RecordBatch.from_arrays(
-                [pa.array([np.frombuffer(x) for x in own], pa.list_(pa.float64())), pa.array([sorted(set(i))[:keep] for i in own.values()], pa.list_(pa.int64()))], names=["vec", "ids"]
+                [pa.array([np.frombuffer(x, kind.to_pandas_dtype()) for x in own], pa.list_(kind)), pa.array([sorted(set(i))[:keep] for i in own.values()], pa.list_(pa.int64()))], names=["vec", "ids"]
             )
 
-    cut = usable.mapInArrow(run, "vec array<double>, ids array<long>")
+    cut = usable.mapInArrow(run, T.StructType([usable.schema["vec"], T.StructField("ids", T.ArrayType(T.LongType()))]))
     some = cut.select("vec", F.explode("ids").alias("id")).withColumn("nth", F.row_number().over(W.partitionBy("vec").orderBy("id"))).filter(F.col("nth") <= keep)
     return some.groupBy("vec").agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids"))
 
 
-def scan(base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, point, first (its least id), score: the ``k`` nearest points of each query among those of each task.
+class Nearest:
+    """The ``k`` nearest points of each of ``queries`` (rows x dimensions) among those looked at, with all ties to the smaller id."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.q, self.k, self.squares = queries, k, (queries**2).sum(1)
+        self.score = np.full((len(queries), k), np.inf)
+        self.point, self.first = np.zeros((2, len(queries), k), np.int64)
+
+    def look(self, points: np.ndarray, first: np.ndarray, vectors: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> None:
+        """``first``: the points' ids; each query looks at places from its ``low`` up to its ``high``, or at all."""
+        norms = (vectors**2).sum(1)
+        if not len(norms):
+            return
+        slack = 1e-9 * (1 + norms.max())
+        k, places = self.k, np.arange(len(norms))
+        for at in range(0, len(self.q), QUERIES):
+            s = slice(at, at + QUERIES)
+            rough = norms - 2 * (self.q[s] @ vectors.T)
+            if low is not None:
+                rough[(places < low[s, None]) | (places >= high[s, None])] = np.inf
+            bound = self.score[s, -1] ** 2 - self.squares[s]
+            if not np.isfinite(bound).all() and len(norms) > k:
+                bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1])
+            near, col = np.nonzero((rough <= (bound + slack + 1e-9 * self.squares[s])[:, None]) & (rough < np.inf))
+            d = np.sqrt(((vectors[col] - self.q[s][near]) ** 2).sum(1))
+            n = len(self.score[s])
+            of = np.concatenate([np.repeat(np.arange(n), k), near])
+            d, p, f = (np.concatenate([x[s].ravel(), y]) for x, y in ((self.score, d), (self.point, points[col]), (self.first, first[col])))
+            order = np.lexsort((f, d, of))
+            place = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+            order = order[place < k]
+            self.score[s], self.point[s], self.first[s] = d[order].reshape(n, k), p[order].reshape(n, k), f[order].reshape(n, k)
+
+    def found(self, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        row, col = np.nonzero(np.isfinite(self.score))
+        for at in range(0, len(row), 100_000):
+            r, c = row[at : at + 100_000], col[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(asked[r]), pa.array(self.point[r, c]), pa.array(self.first[r, c]), pa.array(self.score[r, c])], names=["asked", "point", "first", "score"])
+
+
+FOUND = "asked long, point long, first long, score double"
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1)
+
+
+def scan(base: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """asked, point, first (its least id), score: of ``asked`` (point, vec; few rows) the ``k`` nearest points among those of each task."""
+    own = asked.select("point", "vec").toArrow().combine_chunks()
+    shared = base.sparkSession.sparkContext.broadcast((own.column("point").to_numpy(), _matrix(own.column("vec").combine_chunks())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        best = Nearest(q, k)
+        for batch in batches:
+            best.look(batch.column("point").to_numpy(), batch.column("first").to_numpy(), _matrix(batch.column("vec")))
+        yield from best.found(ids)
+
+    return base.select("point", F.element_at("ids", 1).alias("first"), "vec").mapInArrow(run, FOUND)
 
-    All points are compared. The queries go to the tasks ASKED at a time, with one pass over ``base`` for each.
-    """
-    spark = base.sparkSession
-    schema = "query_id long, point long, first long, score double"
-    rounds = -(-queries.count() // ASKED)
-    found = spark.createDataFrame([], schema)
-    for i in range(rounds):
-        asked = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i).select("query_id", "vec").toArrow()
-        shared = spark.sparkContext.broadcast((asked.column("query_id").to_numpy(), np.array(asked.column("vec").to_pylist(), np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, q = shared.value
-            best = np.full((len(q), k), np.inf)
-            point, first = np.zeros((2, len(q), k), np.int64)
-            squares = (q**2).sum(1)
-            held, size = [], 0
-
-            def look() -> None:
-                rows = pa.Table.from_batches(held)
-                own, least = rows.column("point").to_numpy(), rows.column("first").to_numpy()
-                c = np.asarray(rows.column("vec").combine_chunks().flatten()).reshape(len(own), -1)
-                norms = (c**2).sum(1)
-                slack = 1e-9 * (1 + norms.max())
-                for at in range(0, len(q), QUERIES):
-                    s = slice(at, at + QUERIES)
-                    rough = norms - 2 * (q[s] @ c.T)
-                    bound = best[s, -1] ** 2 - squares[s]
-                    if not np.isfinite(bound).all() and len(own) > k:
-                        bound = np.minimum(bound, np.partition(rough, k - 1, axis=1)[:, k - 1])
-                    near, col = np.nonzero(rough <= (bound + slack + 1e-9 * squares[s])[:, None])
-                    d = np.sqrt(((c[col] - q[s][near]) ** 2).sum(1))
-                    n = len(best[s])
-                    of = np.concatenate([np.repeat(np.arange(n), k), near])
-                    d, p, f = (np.concatenate([x[s].ravel(), y]) for x, y in ((best, d), (point, own[col]), (first, least[col])))
-                    order = np.lexsort((f, d, of))
-                    place = np.arange(len(order)) - np.searchsorted(of[order], of[order])
-                    order = order[place < k]
-                    best[s], point[s], first[s] = d[order].reshape(n, k), p[order].reshape(n, k), f[order].reshape(n, k)
-
-            for batch in batches:
-                held.append(batch)
-                size += batch.num_rows
-                if size >= POINTS:
-                    look()
-                    held, size = [], 0
-            if size:
-                look()
-            row, col = np.nonzero(np.isfinite(best))
-            for at in range(0, len(row), 100_000):
-                r, c = row[at : at + 100_000], col[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[r]), pa.array(point[r, c]), pa.array(first[r, c]), pa.array(best[r, c])], names=["query_id", "point", "first", "score"])
-
-        found = found.unionByName(base.select("point", "vec", F.element_at("ids", 1).alias("first")).mapInArrow(run, schema))
-    return found
-
-
-def _first(found: DataFrame, k: int, then: str) -> DataFrame:
-    """The ``k`` rows of each query with the least score, with their rank; ties go to the smaller ``then``."""
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", then))).filter(F.col("rank") <= k)
-
-
-def reach(base: DataFrame, queries: DataFrame, ranked: DataFrame, k: int) -> int:
-    """The window that holds RECALL of the neighbours of about PROBES queries on the curve where they are nearest."""
-    some = queries.filter(F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(max(1, queries.count() // PROBES))) == 0)
-    some = some if not some.isEmpty() else queries.limit(PROBES)
-    true = _first(scan(base, some, k + 1), k + 1, "first").select("query_id", "point")
-    pairs = materialize(true.join(some.select("query_id", F.col("point").alias("asked")), "query_id").filter("point <> asked").distinct(), "probes")
-    at = ranked.join(F.broadcast(pairs.select("asked").distinct()), F.col("point") == F.col("asked")).select("asked", "curve", F.col("rank").alias("mine"))
-    there = ranked.join(F.broadcast(pairs), "point").select("query_id", "asked", "point", "curve", "rank")
-    gaps = there.join(at, ["asked", "curve"]).groupBy("query_id", "point").agg(F.min(F.abs(F.col("rank") - F.col("mine"))).alias("gap"))
-    gap = gaps.agg(F.percentile("gap", RECALL)).first()[0]
-    return int(np.ceil(gap)) if gap is not None else WINDOW
+
+def _first(found: DataFrame, k: int, of: str, then: str) -> DataFrame:
+    """The ``k`` rows of each ``of`` with the least score, with their rank; ties go to the smaller ``then``."""
+    return found.withColumn("rank", F.row_number().over(W.partitionBy(of).orderBy("score", then))).filter(F.col("rank") <= k)
+
+
+def reach(base: DataFrame, asked: DataFrame, ranked: DataFrame, k: int, curves: int, n: int) -> tuple[int, int]:
+    """(curves, window) of the least work: the window holds RECALL of the neighbours of about PROBES points asked for on one of the curves."""
+    some = asked.filter(F.pmod(F.xxhash64("point", F.lit(5)), F.lit(max(1, asked.count() // PROBES))) == 0).limit(2 * PROBES)
+    some = some if not some.isEmpty() else asked.limit(PROBES)
+    pairs = materialize(_first(scan(base, some, k + 1), k + 1, "asked", "first").filter("point <> asked").select("asked", "point"), "probes")
+    mine = ranked.join(F.broadcast(pairs.select(F.col("asked").alias("point")).distinct()), "point").select(F.col("point").alias("asked"), "curve", F.col("rank").alias("mine"))
+    there = ranked.join(F.broadcast(pairs), "point").join(mine, ["asked", "curve"])
+    gaps = there.select("asked", "point", "curve", F.abs(F.col("rank") - F.col("mine")).alias("gap")).toPandas()  # at most 2 x PROBES x k x curves rows
+    if not len(gaps):
+        return 1, n
+    table_ = gaps.pivot(index=["asked", "point"], columns="curve", values="gap").to_numpy()
+    windows = np.ceil(np.quantile(np.minimum.accumulate(table_, axis=1), RECALL, axis=0))
+    # each curve makes a task's block for every window that it reads, besides the window
+    best = int(np.argmin((windows + BLOCK) * np.arange(1, curves + 1)))
+    return best + 1, max(1, int(windows[best]))
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = K, curves: int = CURVES, window: int | None = None, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by ``every`` its ``k`` nearest found, by Euclidean distance.
 
-    A ``window`` that is given is used as it is; else it is measured (``reach``), or all points are compared.
+    A ``window`` that is given is used as it is on all ``curves``; else both are measured (``reach``).
 
     Ties go to the smaller vec_id; a query isn't its own neighbour, though a row with an equal vector is. Rows that
-    repeat a vec_id with another vector count as rows of their own. An empty table gives no rows.
+    repeat a vec_id with another vector count as rows of their own. Columns but vec_id and embedding are not read. An
+    empty table gives no rows.
     """
     spark = vectors.sparkSession
     base = points(vectors, k + 1)
     base = materialize(base.withColumn("point", F.monotonically_increasing_id()), "points")
     n = base.count()
-    queries = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("vec")).filter(F.col("query_id") % every == 0)
-    queries = materialize(queries.join(base.select("vec", "point"), "vec").distinct(), "queries")
-    schema = "query_id long, rank int, vec_id long, score double"
     if not n:
-        return spark.createDataFrame([], schema)
-
-    def compared() -> DataFrame:
-        near = _first(scan(base, queries, k + 1), k + 1, "first").drop("rank")
-        ids = near.join(base.select("point", "ids"), "point").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("query_id <> vec_id")
-        return _first(ids.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, "vec_id").select("query_id", "rank", "vec_id", "score")
-
-    if window is None and n <= 2 * curves * WINDOW:
-        return compared()
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    queries = vectors.select(F.col("vec_id").cast("long").alias("query_id"), components(vectors).alias("vec")).filter(F.col("query_id") % every == 0)
+    queries = materialize(queries.join(base.select("vec", "point"), "vec").select("query_id", "point").distinct(), "queries")
+    asked = queries.groupBy("point").agg(F.count(F.lit(1)).alias("queries"))
+    asked = materialize(base.join(asked, "point").select("point", "vec", "queries"), "asked")
 
     sample = base.select("vec").filter(F.pmod(F.xxhash64("point"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE).toPandas()["vec"]
-    sample = np.stack(sample.to_numpy()) if len(sample) else np.stack(base.select("vec").limit(1).toPandas()["vec"].to_numpy())
+    sample = np.stack((sample if len(sample) else base.select("vec").limit(1).toPandas()["vec"]).to_numpy()).astype(np.float64)
     matrix = projections(sample.shape[1], curves)
     shifts = np.random.default_rng(SEED + 1).random((curves, DIMENSIONS))
     ranges = [np.quantile(sample @ m, [0.001, 0.999], axis=0) for m in matrix]
@@ -214,10 +220,10 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, curves: int = CURV
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([np.asarray(v.values) for v in batch.column("vec")]) if batch.num_rows else np.empty((0, matrix.shape[1]))
-            for c in range(curves):
+            x = _matrix(batch.column("vec"))
+            for c in range(curves if len(x) else 0):
                 y = (x @ matrix[c] - low[c] + shifts[c] * wide[c]) / (2 * wide[c])
-                h = hilbert(np.clip(y * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint32), BITS) if len(x) else np.empty(0, np.uint64)
+                h = hilbert(np.clip(y * (1 << BITS), 0, (1 << BITS) - 1).astype(np.uint32), BITS)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), c, np.int32)), pa.array(h.astype(np.int64)), batch.column("point")], names=["curve", "key", "point"])
 
     placed = base.select("point", "vec").mapInArrow(keys, "curve int, key long, point long")
@@ -225,43 +231,33 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, curves: int = CURV
     ordered = placed.repartitionByRange(F.col("curve"), F.col("key"), F.col("point")).sortWithinPartitions("curve", "key", "point")
     ordered = materialize(ordered.withColumn("range", F.spark_partition_id()), "curves")
     before = ordered.groupBy("curve", "range").count().withColumn("base", F.sum("count").over(W.partitionBy("curve").orderBy("range")) - F.col("count")).drop("count")
-    ranked = ordered.join(before, ["curve", "range"]).withColumn("rank", F.col("base") + F.row_number().over(W.partitionBy("curve", "range").orderBy("key", "point")) - 1).select("curve", "point", "rank")
+    ranked = ordered.join(F.broadcast(before), ["curve", "range"]).withColumn("rank", F.col("base") + F.row_number().over(W.partitionBy("curve", "range").orderBy("key", "point")) - 1).select("curve", "point", "rank")
     ranked = materialize(ranked, "ranks")
+    release(ordered)
     if window is None:
-        window = reach(base, queries, ranked, k)
-        if n <= 2 * curves * window:
-            return compared()
+        curves, window = reach(base, asked, ranked, k, curves, n)
         block = max(block, min(window, LARGEST_BLOCK))
-
-    rows = ranked.join(base.select("point", "vec", "ids"), "point").select("curve", F.floor(F.col("rank") / block).alias("block"), F.lit(None).cast("long").alias("query_id"), "rank", "vec", "ids")
-    asked = queries.join(ranked, "point").select("curve", F.explode(F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / block), F.floor((F.col("rank") + window) / block))).alias("block"), "query_id", "rank", "vec", F.array().cast("array<long>").alias("ids"))
-
-    def search(group: pa.Table) -> pa.Table:
-        asks = [i is not None for i in group.column("query_id").to_pylist()]
-        ask = np.flatnonzero(asks)
-        have = np.flatnonzero(~np.array(asks))
-        out: list[tuple[int, int, float]] = []
-        if len(ask) and len(have):
-            vec = group.column("vec").combine_chunks()
-            x = np.asarray(vec.values).reshape(group.num_rows, -1) if group.num_rows else None
-            ranks = group.column("rank").to_numpy()
-            ids = group.column("ids").to_pylist()
-            query_ids = group.column("query_id").to_pylist()
-            c = x[have]
-            norms = (c**2).sum(1)
-            for q in ask:
-                inside = np.abs(ranks[have] - ranks[q]) <= window
-                rough = np.where(inside, norms - 2 * (c @ x[q]), np.inf)
-                some = np.argpartition(rough, min(4 * k, len(rough) - 1))[: 4 * k + 1] if len(rough) > 4 * k else np.arange(len(rough))
-                some = some[inside[some]]
-                exact = np.sqrt(((c[some] - x[q]) ** 2).sum(1))
-                found = sorted((float(e), i) for e, s in zip(exact, some, strict=True) for i in ids[have[s]] if i != query_ids[q])[:k]
-                out += [(query_ids[q], i, e) for e, i in found]
-        a, b, e = zip(*out, strict=True) if out else ([], [], [])
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(e, pa.float64())})
-
-    found = rows.unionByName(asked).groupBy("curve", "block").applyInArrow(search, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    return _first(found, k, "vec_id").select("query_id", "rank", "vec_id", "score")
+        ranked = ranked.filter(F.col("curve") < curves)
+
+    rows = ranked.join(base.select("point", "vec", F.element_at("ids", 1).alias("first")), "point").select("curve", F.floor(F.col("rank") / block).alias("block"), F.lit(False).alias("asks"), "point", "first", "rank", "vec")
+    windows = F.sequence(F.floor(F.greatest(F.col("rank") - window, F.lit(0)) / block), F.floor(F.least(F.col("rank") + window, F.lit(n - 1)) / block))
+    asks = asked.select("point", "vec").join(ranked, "point").select("curve", F.explode(windows).alias("block"), F.lit(True).alias("asks"), "point", F.lit(0).cast("long").alias("first"), "rank", "vec")
+
+    def search(cell: pa.Table) -> pa.Table:
+        ask = cell.column("asks").to_numpy()
+        x, rank, point, first = _matrix(cell.column("vec").combine_chunks()), cell.column("rank").to_numpy(), cell.column("point").to_numpy(), cell.column("first").to_numpy()
+        have = np.flatnonzero(~ask)
+        have = have[np.argsort(rank[have])]
+        best = Nearest(x[ask], k + 1)
+        best.look(point[have], first[have], x[have], np.searchsorted(rank[have], rank[ask] - window), np.searchsorted(rank[have], rank[ask] + window, side="right"))
+        return pa.Table.from_batches(best.found(point[ask]), pa.schema([("asked", pa.int64()), ("point", pa.int64()), ("first", pa.int64()), ("score", pa.float64())]))
+
+    found = rows.unionByName(asks).groupBy("curve", "block").applyInArrow(search, FOUND).groupBy("asked", "point").agg(F.min("first").alias("first"), F.min("score").alias("score"))
+    near = _first(found, k + 1, "asked", "first").join(base.select("point", "ids"), "point")
+    lists = near.groupBy("asked").agg(F.collect_list(F.struct("score", "ids")).alias("near")).join(asked.select(F.col("point").alias("asked"), "queries"), "asked")  # k + 1 entries each
+    lists = materialize(lists.withColumnRenamed("asked", "point"), "near")
+    own = lookup(queries, lists, "point", "queries", queries.count()).select("query_id", F.explode("near").alias("x")).select("query_id", F.explode("x.ids").alias("vec_id"), F.col("x.score").alias("score")).filter("query_id <> vec_id")
+    return _first(own.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")), k, "query_id", "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
 def op9_nearest(spark, sf_dir: str) -> DataFrame:
