@@ -35,7 +35,7 @@ from tidewire.operators.components import connected
 #: Chance that banding misses a pair at the threshold; most coordinates.
 MISS, COORDINATES = 1e-7, 512
 #: Nodes and shingles that a task compares at once, roughly.
-ROWS, SHINGLES = 4096, 1 << 21
+ROWS, SHINGLES = 1024, 1 << 21
 #: Words whose hashes a task keeps.
 WORDS = 500_000
 
