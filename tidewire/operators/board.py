@@ -21,13 +21,13 @@ def meta_line(source: Column, published: Column, agency: Column, zone: str = C.T
     return F.when(F.coalesce(agency, F.lit("")) != "", F.concat(base, F.lit(" · "), agency)).otherwise(base)
 
 
-def payload(items: DataFrame, zone: str = C.TIME_ZONE) -> DataFrame:
-    """The fields that a client sees."""
+def payload(items: DataFrame, zone: str = C.TIME_ZONE, more: tuple[Column | str, ...] = ()) -> DataFrame:
+    """The fields that a client sees, and ``more``."""
     return items.select(
         "id", "title", "teaser", F.col("canonical_url").alias("url"), F.col("source_name").alias("source"), F.coalesce("agency", F.lit("")).alias("agency"), "topic",
         topic_label(F.col("topic")).alias("topicLabel"), F.upper(topic_label(F.col("topic"))).alias("kicker"), F.col("image_url").alias("image"), F.col("image_kind").alias("imageKind"),
         meta_line(F.col("source_name"), F.col("published_at"), F.col("agency"), zone).alias("meta"), local(F.col("published_at"), "dd.MM.", zone).alias("dateShort"),
-        local(F.col("published_at"), "HH:mm", zone).alias("time"), F.col("read_at").isNotNull().alias("read"), F.col("saved_at").isNotNull().alias("saved"),
+        local(F.col("published_at"), "HH:mm", zone).alias("time"), F.col("read_at").isNotNull().alias("read"), F.col("saved_at").isNotNull().alias("saved"), *more,
     )
 
 
@@ -80,6 +80,26 @@ def ranked(found: DataFrame, topic: str = "", cluster: str = "", hide_read: bool
     return found.limit(limit) if limit is not None else found
 
 
+def parted(shown: DataFrame, leads: int = C.LEADS) -> DataFrame:
+    """The capped board with ``nth`` (from 1) and ``part``: the first are ``lead``, the rest ``brief``."""
+    nth = F.row_number().over(W.orderBy(F.desc("score"), "published_at", "id"))  # the cap's rows at most
+    return shown.withColumn("nth", nth).withColumn("part", F.when(F.col("nth") <= leads, "lead").otherwise("brief"))
+
+
+def page(found: DataFrame, number: int, size: int = C.PAGE) -> DataFrame:
+    """The board's entries of page ``number`` (from 0)."""
+    return found.orderBy(F.desc("score"), "published_at", "id").offset(number * size).limit(size)
+
+
+def exported(found: DataFrame) -> DataFrame:
+    """All entries as a static copy has them: without read and saved, tiles by their place in the copy, the story nested."""
+    story = F.struct(
+        F.coalesce("cluster_id", F.lit("")).alias("id"), F.col("size").alias("size"), F.col("source_count").alias("sourceCount"), F.col("sources").alias("sources"), F.col("others").alias("others"),
+    ).alias("cluster")
+    tile = F.when((F.col("image_kind") == "tile") | F.col("image_url").startswith("/tile/"), F.concat(F.lit("tiles/"), F.col("id"), F.lit(".svg"))).otherwise(F.col("image_url"))
+    return payload(found.withColumn("image_url", tile), more=(story, "score", "published_at")).drop("read", "saved")
+
+
 def strip(found: DataFrame, limit: int = C.STRIP_LIMIT) -> DataFrame:
     """The largest stories of several sources, of the filtered and uncapped entries."""
     return found.filter("source_count > 1").orderBy(F.desc("source_count"), F.desc("score"), "id").limit(limit)

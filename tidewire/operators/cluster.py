@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tidewire import constants as C
 from tidewire.functions.numeric import score
 from tidewire.operators.components import connected
-from tidewire.session import small, written
+from tidewire.session import lookup, small, written
 
 
 def idf_table(docs: DataFrame) -> DataFrame:
@@ -65,9 +64,10 @@ def build(docs: DataFrame, cap: int = C.CLUSTER["df_cap"]) -> DataFrame:
     idf = written(idf_table(docs), "idf")
     w = written(weighted(docs.select("id", "source_key", "tokens"), idf), "weighted")
     links = similarity(candidates(docs, idf, cap), w).filter("matches").select("a", "b")
-    rooted = docs.join(components(docs, written(links, "links")), "id")
-    lead = F.min_by("id", F.struct("source_tier", "published_at", "id")).over(W.partitionBy("root"))
-    return rooted.select(F.concat(F.lit("c"), F.substring(lead, 1, 16)).alias("cluster_id"), lead.alias("lead_id"), F.col("id").alias("item_id"), "topic", "lang", "source_key")
+    rooted = written(docs.select("id", "topic", "lang", "source_key", "source_tier", "published_at").join(components(docs, written(links, "links")), "id"), "rooted")
+    leads = rooted.groupBy("root").agg(F.min_by("id", F.struct("source_tier", "published_at", "id")).alias("lead_id"), F.count(F.lit(1)).alias("n"))
+    members = lookup(rooted, leads, "root", "n", rooted.count())
+    return members.select(F.concat(F.lit("c"), F.substring("lead_id", 1, 16)).alias("cluster_id"), "lead_id", F.col("id").alias("item_id"), "topic", "lang", "source_key")
 
 
 def majority_topic(members: DataFrame) -> DataFrame:

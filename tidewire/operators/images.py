@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidewire.functions.text import og_image, tile_url
+from tidewire import constants as C
+from tidewire.functions.text import og_image, tile_svg, tile_url
+from tidewire.session import small
 
 
 def missing(items: DataFrame, as_of: Column, hours: int) -> DataFrame:
@@ -36,6 +38,13 @@ def export_path(url: Column, item: Column) -> Column:
     return F.when(url.startswith("/tile/"), F.concat(F.lit("tiles/"), item, F.lit(".svg"))).otherwise(url)
 
 
+def tiles(items: DataFrame, sources: DataFrame, as_of: Column, days: int = C.ARCHIVE_DAYS) -> DataFrame:
+    """file, svg: the tiles that a static copy needs."""
+    known = small(sources.select(F.col("key").alias("source_key"), F.col("name").alias("source_name")))
+    rows = items.filter((F.col("published_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")) & (F.col("image_kind") == "tile")).join(known, "source_key")
+    return rows.select(F.concat(F.lit("tiles/"), "id", F.lit(".svg")).alias("file"), tile_svg(F.col("id"), F.col("source_name"), F.col("topic")).alias("svg"))
+
+
 def stale_tiles(existing: DataFrame, wanted: DataFrame) -> DataFrame:
     """Files that no item needs any more."""
     return existing.join(wanted, "id", "left_anti")

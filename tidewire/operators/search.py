@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewire import constants as C
 from tidewire.functions.text import fold, words
+from tidewire.operators.board import payload
+from tidewire.operators.images import export_path
+from tidewire.session import small
 
 K1, B = 1.2, 0.75
 
@@ -57,6 +60,31 @@ def search(items: DataFrame, query: str, limit: int = C.SEARCH_LIMIT, weights: t
     return items.join(found, "id").orderBy("score", F.desc("published_at"), "id").limit(limit)
 
 
+def found(items: DataFrame, sources: DataFrame, state: DataFrame, query: str, saved_only: bool = False, posts: DataFrame | None = None, limit: int = C.SEARCH_LIMIT) -> DataFrame:
+    """The client's fields of matching items with their source and state, in order; titles count twice.
+
+    A blank query finds what is saved, last saved first, if only that is asked for, and else nothing. ``posts``: stored
+    postings(); without them they are made from ``items``.
+    """
+    known = sources.select(F.col("key").alias("source_key"), F.col("name").alias("source_name"))
+    state = state.select(F.col("item_id").alias("id"), "read_at", "saved_at")
+    if not query.strip():
+        rows = items.join(state.filter(F.col("saved_at").isNotNull()), "id").orderBy(F.desc("saved_at"), "id").limit(limit if saved_only else 0)
+        return payload(rows.join(small(known), "source_key").orderBy(F.desc("saved_at"), "id"))
+    hits = bm25(posts if posts is not None else postings(items), items, query, (2.0, 1.0))
+    rows = items.join(hits, "id").join(state, "id", "left").join(small(known), "source_key")
+    rows = rows.filter(F.col("saved_at").isNotNull()) if saved_only else rows
+    return payload(rows.orderBy("score", F.desc("published_at"), "id").limit(limit))
+
+
+def exported(items: DataFrame, sources: DataFrame, as_of: Column, days: int = C.ARCHIVE_DAYS) -> DataFrame:
+    """The index of a static copy: items of the last ``days`` as a client sees them, tiles by their place in the copy."""
+    known = small(sources.select(F.col("key").alias("source_key"), F.col("name").alias("source_name")))
+    rows = archive(items, as_of, days).join(known, "source_key").withColumn("read_at", F.lit(None).cast("timestamp")).withColumn("saved_at", F.lit(None).cast("timestamp"))
+    seen = payload(rows, more=(F.col("published_at").alias("publishedAt"),)).withColumn("image", export_path(F.col("image"), F.col("id")))
+    return seen.select("id", "title", "teaser", "url", "source", "topic", "topicLabel", "kicker", "image", "meta", "dateShort", "time", "publishedAt")
+
+
 def contains(items: DataFrame, query: str, limit: int = C.SEARCH_LIMIT) -> DataFrame:
     """``items`` whose folded title and teaser hold the folded query."""
     where = fold(F.concat_ws(" ", "title", "teaser"))

@@ -27,6 +27,20 @@ def market_top(rows: DataFrame, top: int = C.MARKET_TOP) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(W.partitionBy("kind").orderBy(F.desc("change_pct"), "symbol"))).filter(F.col("nth") <= top)
 
 
+def market_payload(rows: DataFrame, top: int = C.MARKET_TOP) -> DataFrame:
+    """``rows`` (symbol, kind, change_pct, ...) as a client gets them, with ``nth``: the best ETFs and stocks, and the whole search index by symbol."""
+    by = W.partitionBy("kind").orderBy(F.when(F.col("kind") != "search", -F.col("change_pct")), "symbol")
+    return rows.withColumn("nth", F.row_number().over(by)).filter((F.col("kind") == "search") | (F.col("nth") <= top))
+
+
+def spark_line(values: Column) -> Column:
+    """A line's points ``x,y`` on 100 by 30, the least value at the bottom; empty for fewer than two values."""
+    low, last = F.array_min(values), F.size(values) - 1
+    span = F.coalesce(F.nullif(F.array_max(values) - low, F.lit(0.0)), F.lit(1.0))
+    point = F.transform(values, lambda v, i: F.format_string("%.1f,%.1f", i / last * 100.0, F.lit(28.0) - (v - low) / span * 26.0))
+    return F.when(F.size(values) < 2, "").otherwise(F.array_join(point, " "))
+
+
 def market_query(rows: DataFrame, index: DataFrame, text: str) -> DataFrame:
     """Rows whose name or symbol holds ``text``, with hits of the search index that aren't among them; best day first."""
     hit = lambda df: df.filter(F.lower("name").contains(text.lower()) | F.lower("symbol").contains(text.lower()))
@@ -53,6 +67,15 @@ def brief_top(board: DataFrame, limit: int = C.BRIEF_LIMIT) -> DataFrame:
     return board.orderBy(F.desc("score"), "published_at", "id").limit(limit).select("id", "title", F.col("source_name").alias("source"), F.col("canonical_url").alias("url"))
 
 
+def brief_payload(top: DataFrame, facts: DataFrame, market: DataFrame, as_of: Column) -> DataFrame:
+    """One row ``json``: the brief's top entries (in their order), the fact of the day, and the best of the market's top rows (null without any)."""
+    listed = top.select(F.monotonically_increasing_id().alias("nth"), F.struct("id", "title", "source", "url").alias("row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "row"))), lambda x: x["row"]).alias("top5"))
+    pool = market_payload(market.filter("kind <> 'search'")).withColumn("pos", F.col("nth") + F.when(F.col("kind") == "stock", 1_000_000).otherwise(0))
+    stat = finance_stat(pool, as_of).agg(F.first(F.struct("change", "label", "period", "symbol")).alias("financeStat"))
+    fact = fact_of_the_day(facts, as_of).agg(F.first(F.struct(F.col("text").alias("extract"), "title")).alias("fact"))
+    return listed.join(F.broadcast(fact)).join(F.broadcast(stat)).select(F.to_json(F.struct("fact", "financeStat", "top5"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def stale(fetched: DataFrame, key: str, as_of: Column, minutes: int) -> DataFrame:
     """key, age (minutes), stale: older than ``minutes``; an age of exactly 0 counts as unknown."""
     age = (F.unix_micros(as_of) - F.unix_micros(F.max("fetched_at").cast("timestamp"))) / F.lit(60e6)

@@ -9,9 +9,11 @@ from tidewire import constants as C
 from tidewire.functions import numeric as N
 from tidewire.functions import text as X
 from tidewire.operators import board, cluster, images, merge, search, series
+from tidewire.plans import engine
 from tidewire.plans import views as V
+from tidewire.plans.store import Store, by_second
 from tidewire.plans.views import AS_OF, as_of, with_views
-from tidewire.session import small, written
+from tidewire.session import new_path, small, written
 from tidewire.sources import feeds
 
 QUERIES, ORACLES = {}, {}
@@ -105,11 +107,28 @@ def clean_text(spark, d):
     return V.table(spark, d, "pages").select("page_id", X.clean_text(F.col("html"), 600).alias("text"))
 
 
-@query("og_image", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://cdn/i/' || page_id || '.jpg?a=1&b=2' WHEN page_id % 3 = 1 THEN 'https://cdn/t/' || page_id ELSE '' END AS image FROM pages""")
+def _og_sql(page: str) -> str:
+    steps = []
+    for pattern in C.OG_PATTERNS:
+        found = f"""replace(trim(regexp_extract({page}, '{pattern.replace("'", "''")}', 1)), '&amp;', '&')"""
+        steps.append(f"(SELECT CASE WHEN regexp_matches(u, '^https?://') THEN u END FROM (SELECT CASE WHEN starts_with(x, '//') THEN 'https:' || x ELSE x END AS u FROM (SELECT {found} AS x)))")
+    return f"coalesce({', '.join(steps)}, '')"
+
+
+_HEADS = [
+    """<meta property="og:image" content="//cdn/i/ID.jpg?a=1&amp;b=2">""", """<meta name='twitter:image' content='https://cdn/t/ID'>""", """<meta property="og:image" content="/relative/ID.png"><META name="twitter:image:src" content=" https://cdn/s/ID ">""",
+    """<meta content="http://cdn/c/ID.gif" property="og:image:url"/>""", """<link rel="image_src" href="https://cdn/l/ID"/>""", """<meta property="og:image" content="data:ID"><link rel="image_src" href="ID.png"/>""", "",
+]
+
+
+@query(
+    "og_image",
+    f"""WITH h AS (SELECT page_id, replace([{', '.join("'" + h.replace("'", "''") + "'" for h in _HEADS)}][page_id % {len(_HEADS)} + 1], 'ID', CAST(page_id AS VARCHAR)) || coalesce(html, '') AS page FROM pages)
+    SELECT page_id, {_og_sql('page')} AS image FROM h""",
+)
 def og_image(spark, d):
-    p = F.col("page_id")
-    head = F.when(p % 3 == 0, F.concat(F.lit('<meta property="og:image" content="//cdn/i/'), p, F.lit('.jpg?a=1&amp;b=2">'))).when(p % 3 == 1, F.concat(F.lit("<meta name='twitter:image' content='https://cdn/t/"), p, F.lit("'>"))).otherwise("")
-    return V.table(spark, d, "pages").select("page_id", X.og_image(F.concat(head, F.col("html"))).alias("image"))
+    head = F.replace(F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("page_id") % len(_HEADS) + 1).cast("int")), F.lit("ID"), F.col("page_id").cast("string"))
+    return V.table(spark, d, "pages").select("page_id", X.og_image(F.concat(head, F.coalesce("html", F.lit("")))).alias("image"))
 
 
 @query("tile_url", f"""{with_views('v_item')} SELECT id, '/tile/' || id || '.svg?s=Source%20' || source_key || '&t=' || topic AS url, (('0x' || substr(id,1,8))::BIGINT % 4)::INT AS palette FROM v_item""")
@@ -167,9 +186,10 @@ def rank_explain(spark, d):
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of the cluster window with their tokens."""
+    """Documents of the cluster window with their tokens, written once: counts, weights and pairs all read them."""
     i = V.items(spark, d).filter(F.col("published_at") >= as_of() - F.expr(f"INTERVAL {C.CLUSTER['window_hours']} HOURS"))
-    return i.join(V.sources(spark, d).select(F.col("key").alias("source_key"), F.col("tier").alias("source_tier")), "source_key").withColumn("tokens", X.tokens(F.col("title")))
+    tiers = small(V.sources(spark, d).select(F.col("key").alias("source_key"), F.col("tier").alias("source_tier")))
+    return written(i.select("id", "title", "lang", "source_key", "topic", "published_at", "feed_pos").join(tiers, "source_key").withColumn("tokens", X.tokens(F.col("title"))), "tokens")
 
 
 _DOCS = f"""{with_views('v_source', 'v_item')}, {TOKENS},
@@ -287,6 +307,39 @@ def board_by_source(spark, d):
     return _shown(board.ranked(_board(spark, d)[0], source="Source src3"))
 
 
+@query("board_leads", f"{_BOARD}, v_top AS (SELECT id, title, story, row_number() OVER (ORDER BY v_b.score DESC, published_at, id) AS nth FROM v_b) SELECT *, CASE WHEN nth <= 3 THEN 'lead' ELSE 'brief' END AS part FROM v_top WHERE nth <= 120")
+def board_leads(spark, d):
+    return board.parted(board.ranked(_board(spark, d)[0])).select("id", "title", "story", "nth", "part")
+
+
+@query("board_page", f"{_BOARD} SELECT {_SHOW} FROM v_b ORDER BY v_b.score DESC, published_at, id LIMIT 10 OFFSET 20")
+def board_page(spark, d):
+    return _shown(board.page(_board(spark, d)[0], 2))
+
+
+_META = "name || ' · ' || strftime(published_at + INTERVAL 1 HOUR, '%d.%m.%Y · %H:%M') || CASE WHEN agency <> '' THEN ' · ' || agency ELSE '' END"
+
+
+@query(
+    "export_board",
+    f"""{_BOARD} SELECT id, title, canonical_url AS url, source_name AS source, upper(topic) AS kicker, CASE WHEN doc_id % 4 = 0 THEN 'tiles/' || id || '.svg' ELSE image_url END AS image, coalesce(cluster_id, '') AS cluster, size, source_count, sources FROM v_b""",
+)
+def export_board(spark, d):
+    found = _board(spark, d)[0].withColumn("image_kind", F.when(F.col("doc_id") % 4 == 0, "tile").otherwise(F.col("image_kind")))
+    c = F.col("cluster")
+    return board.exported(found).select("id", "title", "url", "source", "kicker", "image", c["id"].alias("cluster"), c["size"].alias("size"), c["sourceCount"].alias("source_count"), F.array_join(c["sources"], "|").alias("sources"))
+
+
+@query(
+    "export_index",
+    f"""{with_views('v_source', 'v_item')} SELECT id, title, canonical_url AS url, name AS source, topic, upper(topic) AS kicker, {_META} AS meta, strftime(published_at + INTERVAL 1 HOUR, '%d.%m.') AS "dateShort", strftime(published_at + INTERVAL 1 HOUR, '%H:%M') AS time,
+      CASE WHEN image_url = '' THEN 'tiles/' || id || '.svg' ELSE image_url END AS image, published_at AS "publishedAt" FROM v_item JOIN v_source ON key = source_key WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS""",
+)
+def export_index(spark, d):
+    i = V.items(spark, d).withColumn("image_url", F.when(F.col("image_url") == "", X.tile_url(F.col("id"), F.col("source_key"), F.col("topic"))).otherwise(F.col("image_url")))
+    return search.exported(i, V.sources(spark, d), as_of()).select("id", "title", "url", "source", "topic", "kicker", "meta", "dateShort", "time", "image", "publishedAt")
+
+
 @query("board_others", f"{_BOARD} SELECT story, string_agg(id, '|' ORDER BY nth) AS others FROM v_rn WHERE nth > 1 GROUP BY story")
 def board_others(spark, d):
     return _board(spark, d)[0].filter("size > 1").select("story", F.array_join(F.transform("others", lambda x: x["id"]), "|").alias("others"))
@@ -345,6 +398,36 @@ def latest_per_key(spark, d):
     return merge.latest_per_key(V.raw(spark, d), ["feed_url"], ["fetched_at", "seq"]).select("feed_url", "fetched_at", "seq", "status", "sha256")
 
 
+@query("raw_append", f"{with_views('v_event', 'v_raw')} SELECT feed_url, fetched_at, seq, status FROM v_raw QUALIFY row_number() OVER (PARTITION BY feed_url, date_trunc('second', fetched_at) ORDER BY seq DESC) = 1")
+def raw_append(spark, d):
+    return by_second(V.raw(spark, d), ("seq",)).select("feed_url", "fetched_at", "seq", "status")
+
+
+@query("fetch_flags", f"""{with_views('v_event', 'v_raw')}, b AS (SELECT v_raw.*, CASE WHEN k % 3 = 0 THEN '' ELSE props END AS body FROM v_raw JOIN v_event ON event_id = seq)
+    SELECT seq, status = 200 AND body <> '' AS ok, status = 304 AS not_modified, status = 200 AND body <> '' AND sha256 <> '1' AS changed FROM b""")
+def fetch_flags(spark, d):
+    e = V.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.encode(F.when(V.k() % 3 == 0, "").otherwise(F.col("props")), "utf-8").alias("body"))
+    return V.raw(spark, d).join(e, "seq").select("seq", *(f.alias(k) for k, f in feeds.flags(F.lit("1")).items()))
+
+
+@query("feed_rank", "SELECT event_id, CASE WHEN user_id % 3 <> 0 THEN user_id % 47 ELSE 9999 END::INT AS feed_rank FROM events")
+def feed_rank(spark, d):
+    e = V.table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("feed_url"))
+    registry = e.select("feed_url").distinct().filter("cast(feed_url AS int) % 3 <> 0").withColumn("feed_rank", (F.col("feed_url").cast("int") % 47))
+    return feeds.ranked(e, registry).select("event_id", "feed_rank")
+
+
+@query("meta_latest", "SELECT event_type AS key, arg_max(props, event_id) AS value FROM events GROUP BY event_type")
+def meta_latest(spark, d):
+    return merge.latest_per_key(V.table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("batch")), ["key"], ["batch"]).select("key", "value")
+
+
+@query("og_cache", f"{with_views('v_event')} SELECT user_id AS page, arg_max('https://og/' || k, event_id) AS image FROM v_event GROUP BY user_id")
+def og_cache(spark, d):
+    log = V.table(spark, d, "events").select(F.col("user_id").alias("page"), F.concat(F.lit("https://og/"), V.k()).alias("image"), F.col("event_id").alias("batch"))
+    return merge.replace_by_key(log, ["page"], ["batch"]).select("page", "image")
+
+
 @query("prune_keep_latest", f"{with_views('v_event', 'v_raw')} SELECT feed_url, seq FROM v_raw QUALIFY fetched_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAYS OR row_number() OVER (PARTITION BY feed_url ORDER BY fetched_at DESC, seq DESC) = 1")
 def prune_keep_latest(spark, d):
     return merge.prune_keep_latest(V.raw(spark, d), as_of()).select("feed_url", "seq")
@@ -408,6 +491,20 @@ def bm25_search(spark, d):
     return search.bm25(search.postings(i), i, 'Ther* "ON"').select("id", F.round("score", 9).alias("score"))
 
 
+@query("search_full", f"""{with_views('v_ev_state', 'v_state', 'v_source', 'v_item')},
+v_w AS (SELECT id, regexp_extract_all({_fold_sql('title')}, '[a-z0-9]+') AS t, regexp_extract_all({_fold_sql('teaser')}, '[a-z0-9]+') AS b FROM v_item),
+v_l AS (SELECT id, len(t) + len(b) AS d, t, b FROM v_w), v_avg AS (SELECT count(*) AS n, avg(d) AS a FROM v_l),
+v_q AS (SELECT unnest(['ther', 'on']) AS term), v_f AS (SELECT id, d, term, 2 * len(list_filter(t, lambda x: starts_with(x, term))) + len(list_filter(b, lambda x: starts_with(x, term))) AS f FROM v_l, v_q), v_h AS (SELECT * FROM v_f WHERE f > 0),
+v_df AS (SELECT term, count(*) AS df FROM v_h GROUP BY term),
+v_s AS (SELECT id, -sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / a))) AS score FROM v_h JOIN v_df USING (term), v_avg GROUP BY id HAVING count(*) = 2)
+SELECT id, title, name AS source, {_META} AS meta, read_at IS NOT NULL AS is_read, saved_at IS NOT NULL AS is_saved FROM v_s JOIN v_item USING (id) JOIN v_source ON key = source_key LEFT JOIN v_state ON item_id = id
+ORDER BY round(v_s.score, 9), published_at DESC, id LIMIT 60""")
+def search_full(spark, d):
+    i = V.items(spark, d)
+    shown = search.found(i, V.sources(spark, d), merge.user_state(V.state_events(spark, d)), 'Ther* "ON"', posts=written(search.postings(i), "postings"))
+    return shown.select("id", "title", "source", "meta", F.col("read").alias("is_read"), F.col("saved").alias("is_saved"))
+
+
 @query("substring_search", f"{with_views('v_item')} SELECT id FROM v_item WHERE contains({_fold_sql('''title || ' ' || teaser''')}, 'einver') ORDER BY published_at DESC, id LIMIT 60")
 def substring_search(spark, d):
     return search.contains(V.items(spark, d), "Einver").select("id")
@@ -471,6 +568,33 @@ def market_top(spark, d):
     return series.market_top(rows).select("kind", "symbol", "change_pct", "nth")
 
 
+@query("market_payload", f"""{_MARKET}, t AS (SELECT *, ['etf', 'stock', 'search'][CAST(symbol AS INT) % 3 + 1] AS kind FROM m)
+    SELECT kind, symbol, price, change_pct, row_number() OVER (PARTITION BY kind ORDER BY CASE WHEN kind <> 'search' THEN -change_pct END, symbol) AS nth FROM t QUALIFY kind = 'search' OR nth <= 5""")
+def market_payload(spark, d):
+    rows = _metrics(spark, d).withColumn("kind", F.element_at(F.array(*map(F.lit, ("etf", "stock", "search"))), (F.col("symbol").cast("int") % 3 + 1).cast("int")))
+    return series.market_payload(rows).select("kind", "symbol", "price", "change_pct", "nth")
+
+
+@query("market_replace", f"""{_MARKET} SELECT symbol, kind, price FROM (SELECT symbol, ['etf', 'stock', 'search'][CAST(symbol AS INT) % 3 + 1] AS kind, price FROM m) WHERE kind = 'search'
+    UNION ALL SELECT symbol, 'stock', price + 1 FROM m WHERE CAST(symbol AS INT) % 3 = 1""")
+def market_replace(spark, d):
+    """News of stocks only: ETFs go with them, the search index stays."""
+    old = _metrics(spark, d).select("symbol", F.element_at(F.array(*map(F.lit, ("etf", "stock", "search"))), (F.col("symbol").cast("int") % 3 + 1).cast("int")).alias("kind"), "price")
+    new = old.filter("kind = 'stock'").withColumn("price", F.col("price") + 1)
+    store = Store(spark, new_path(spark, "store"))
+    engine.save_markets(store, old)
+    return engine.save_markets(store, new)
+
+
+@query("weather_replace", f"{with_views('v_event', 'v_hour')} SELECT city, hour, CASE WHEN city = 'click' THEN temp + 1 ELSE temp END AS temp FROM v_hour WHERE city <> 'click' OR day(hour) < 10")
+def weather_replace(spark, d):
+    """News of one city's first days: its other days go, other cities stay."""
+    old = V.hours(spark, d).select("city", "hour", "temp")
+    store = Store(spark, new_path(spark, "store"))
+    engine.save_weather(store, "hour", old)
+    return engine.save_weather(store, "hour", old.filter("city = 'click' AND day(hour) < 10").withColumn("temp", F.col("temp") + 1))
+
+
 @query("market_query", f"{_MARKET} SELECT symbol, change_pct_daily, CAST(symbol AS INT) % 3 <> 0 AS from_index FROM m WHERE contains(symbol, '1')")
 def market_query(spark, d):
     m = _metrics(spark, d).withColumn("name", F.concat(F.lit("N"), "symbol"))
@@ -513,3 +637,27 @@ def feed_scan(spark, d):
     raw = p.select(F.concat(F.lit("f"), F.col("page_id") % 5).alias("feed_url"), as_of().alias("fetched_at"), F.lit(200).alias("status"), F.encode(body, "utf-8").alias("body"))
     known = spark.createDataFrame([(f"f{i}", f"s{i}", "de", C.TOPICS[i], i) for i in range(5)], "feed_url string, source_key string, lang string, topic string, feed_rank int")
     return merge.merge_items(feeds.observations(raw, known))
+
+
+_CANONICAL = ORACLES["canonical_url"].rpartition("SELECT page_id, base")[0]
+
+
+@query(
+    "refresh_items",
+    f"""{_CANONICAL}, u AS (SELECT page_id, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM c)
+    SELECT substr(sha256(url), 1, 32) AS id, url, 'Seite ' || max(page_id) AS title, min(page_id)::INT AS feed_rank, {_TOPICS}[min(page_id) % 5 + 1] AS topic, 'tile' AS image_kind, TIMESTAMP '2024-01-30 10:00:00' AS published_at FROM u GROUP BY url""",
+)
+def refresh_items(spark, d):
+    """The whole engine: pages as one feed each are logged, folded, given images, clustered, and read back from the store."""
+    p = V.table(spark, d, "pages")
+    store = Store(spark, new_path(spark, "store"))
+    n = F.col("page_id")
+    url = F.concat(F.lit("https://feeds/"), n)
+    sources = p.select(F.concat(F.lit("s"), n).alias("key"), F.concat(F.lit("S"), n).alias("name"), (n % 3 + 1).cast("int").alias("tier"), F.lit("de").alias("lang"), F.lit(True).alias("no_scrape"))
+    topic = F.element_at(F.array(*map(F.lit, C.TOPICS)), (n % 5 + 1).cast("int"))
+    engine.sync_sources(store, sources, p.select(url.alias("feed_url"), F.concat(F.lit("s"), n).alias("source_key"), F.lit("de").alias("lang"), topic.alias("topic"), n.cast("int").alias("feed_rank")))
+    body = F.concat(F.lit("<rss><channel><item><title>Seite "), n, F.lit("</title><link>"), X.escape_xml(F.col("url")), F.lit("</link><pubDate>Tue, 30 Jan 2024 10:00:00 GMT</pubDate></item></channel></rss>"))
+    none = F.lit(None).cast("string")
+    fetched = p.select(url.alias("feed_url"), as_of().alias("fetched_at"), F.lit(200).alias("status"), none.alias("etag"), none.alias("last_modified"), F.sha2(body, 256).alias("sha256"), F.encode(body, "utf-8").alias("body"))
+    engine.refresh(store, fetched, as_of())
+    return store.read("item", engine.ITEM).select("id", F.col("canonical_url").alias("url"), "title", "feed_rank", "topic", "image_kind", "published_at")

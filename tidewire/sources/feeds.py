@@ -5,19 +5,21 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from hashlib import sha256
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from tidewire import constants as C
 from tidewire.functions import text as X
 from tidewire.functions.numeric import parse_date
 from tidewire.operators.merge import clamp_future
 from tidewire.session import small
+from tidewire.sources.http import PoliteReader
 
 RAW = "feed_url string, fetched_at timestamp, status int, etag string, last_modified string, sha256 string, body binary"
 ENTRY = "feed_url string, fetched_at timestamp, position int, title string, link string, guid string, teaser string, date string, categories array<string>, author string, images array<struct<width:int,url:string>>"
@@ -144,51 +146,23 @@ def observations(raw: DataFrame, feeds: DataFrame, entities=X.unescape) -> DataF
     )
 
 
-class _Request(InputPartition):
-    def __init__(self, host: str, rows: list[tuple[str, str | None, str | None]]):
-        self.host, self.rows = host, rows
+def flags(known_sha: Column) -> dict[str, Column]:
+    """What a response is: ``ok`` (200 with a body), ``not_modified`` (304), ``changed`` (ok, and another body than the one known)."""
+    ok = (F.col("status") == 200) & (F.coalesce(F.octet_length("body"), F.lit(0)) > 0)
+    return {"ok": ok, "not_modified": F.col("status") == 304, "changed": ok & ~F.col("sha256").eqNullSafe(known_sha)}
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.rows = [tuple((x.split("\t") + ["", ""])[:3]) for x in options.get("requests", "").splitlines() if x]
-        self.delay, self.timeout, self.tries = float(options.get("delay", 1.0)), float(options.get("timeout", 15)), int(options.get("tries", 3))
+def ranked(observed: DataFrame, feeds: DataFrame) -> DataFrame:
+    """``observed`` (feed_url, ...) with the feed's place in the registry; a feed that isn't in it comes last, at UNKNOWN_RANK."""
+    return observed.join(small(feeds.select("feed_url", "feed_rank")), "feed_url", "left").withColumn("feed_rank", F.coalesce("feed_rank", F.lit(C.UNKNOWN_RANK)))
 
-    def partitions(self) -> list[InputPartition]:
-        """A task for each host, so that requests to it can be spaced."""
-        from urllib.parse import urlsplit
 
-        by: dict[str, list] = {}
-        for row in self.rows:
-            by.setdefault(urlsplit(row[0]).netloc, []).append(row)
-        return [_Request(h, r) for h, r in by.items()]
-
-    def read(self, partition: _Request) -> Iterator[tuple]:
-        import time
-        import urllib.error
-        import urllib.request
-        from datetime import datetime, timezone
-
-        for k, (url, etag, modified) in enumerate(partition.rows):
-            if k:
-                time.sleep(self.delay)
-            head = {"User-Agent": "tidewire/1.0"} | ({"If-None-Match": etag} if etag else {}) | ({"If-Modified-Since": modified} if modified else {})
-            status, body, answer = 0, b"", {}
-            for n in range(self.tries):
-                try:
-                    with urllib.request.urlopen(urllib.request.Request(url, headers=head), timeout=self.timeout) as r:
-                        status, body, answer = r.status, r.read(), r.headers
-                    break
-                except urllib.error.HTTPError as e:
-                    status, answer = e.code, e.headers
-                    if e.code < 500:
-                        break
-                except OSError:
-                    status = 0
-                if n + 1 < self.tries:
-                    time.sleep(1.5 * (n + 1))
-            now = datetime.now(timezone.utc).replace(microsecond=0)
-            yield url, now, status, answer.get("ETag"), answer.get("Last-Modified"), sha256(body).hexdigest() if body else None, body
+class _FeedReader(PoliteReader):
+    def answer(self, url: str, etag: str = "", modified: str = "") -> tuple:
+        head = ({"If-None-Match": etag} if etag else {}) | ({"If-Modified-Since": modified} if modified else {})
+        status, body, got = self.request(url, head)
+        now = datetime.now(timezone.utc).replace(microsecond=0)
+        return url, now, status, got.get("ETag"), got.get("Last-Modified"), sha256(body).hexdigest() if body else None, body
 
 
 class FeedSource(DataSource):
@@ -202,4 +176,4 @@ class FeedSource(DataSource):
         return RAW
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return _FeedReader(self.options)
