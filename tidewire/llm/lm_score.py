@@ -8,9 +8,9 @@ by joins on suffixes (at most 256 rows a key). A text's score is the code length
 
 Counts cover the whole training part and every context seen there is a node, so the trie grows with the corpus.
 
-Words are counted by 64-bit hashes. Those that hold at least one FREQUENT-th of all tokens (at most FREQUENT of them)
-are broadcast; the others reach their counts by a shuffle, in which no key can be hot. The same holds for (ORDER + 1)-grams
-and one GRAMS-th of all bytes.
+Words are counted by 64-bit hashes. The most frequent of them, FREQUENT at most, are broadcast; the others reach their
+counts by a shuffle, in which no key can be hot, as each holds less than one FREQUENT-th of all. The same holds for
+(ORDER + 1)-grams and GRAMS.
 """
 
 from __future__ import annotations
@@ -20,30 +20,21 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tidewire.llm._shared import materialize, small_batches, table, text_of
+from tidewire.llm._shared import Table, hashed_words, materialize, release, small_batches, table, text_of
 
-#: Bytes of the longest context; nodes an order of a model in memory; words and (ORDER + 1)-grams that are broadcast.
-ORDER, CONTEXTS, FREQUENT, GRAMS = 5, 1 << 16, 1 << 21, 1 << 20
+#: Bytes of the longest context; words, and (ORDER + 1)-grams, that are broadcast at most.
+ORDER, FREQUENT, GRAMS = 5, 1 << 20, 1 << 21
 #: Additive smoothing of the base.
 ALPHA = 0.1
 #: Never a byte of UTF-8: stands before a text and ends it.
 MARK = 0xFF
-#: Bytes that are looked at together; counts and words that a task gathers before it hands them on.
-BLOCK, GATHER, WORDS = 1 << 22, 3_000_000, 400_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+#: Bytes that are looked at together; counts that a task gathers before it hands them on.
+BLOCK, GATHER = 1 << 20, 3_000_000
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -78,10 +69,8 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 
 def codes(data: np.ndarray, where: np.ndarray) -> np.ndarray:
     """The (ORDER + 1)-gram that ends at each of ``where``, the last byte lowest."""
-    code = np.zeros(len(where), np.uint64)
-    for back in range(ORDER, -1, -1):
-        code = (code << np.uint64(8)) | data[where - back]
-    return code
+    eight = np.ndarray((len(data),), ">u8", data.tobytes() + bytes(8), strides=(1,))
+    return eight[where - ORDER].astype(np.uint64) >> np.uint64(8 * (7 - ORDER))
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,32 +108,32 @@ def gather(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, grams, other_grams, words, train_words = _Hashes(), _Gather(), _Gather(), _Gather(), _Gather()
+        grams, other_grams, words, other_words = _Gather(), _Gather(), _Gather(), _Gather()
 
         def out(kind: int, got: tuple | None, train: bool) -> Iterator[pa.RecordBatch]:
             if got is not None:
                 for at in range(0, len(got[0]), 100_000):
                     keys, n = got[0][at : at + 100_000].view(np.int64), got[1][at : at + 100_000]
                     zero = np.zeros(len(n), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(keys), pa.array(zero if train and kind else n), pa.array(n if train else zero)], names=["kind", "key", "n", "n_train"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(keys), pa.array(n), pa.array(n if train else zero)], names=["kind", "key", "n", "n_train"])
 
         for batch in batches:
             texts = [prepared(x.as_py()) for x in batch.column("text")]
-            train = [not x for x in batch.column("held_out").to_pylist()]
-            for gathered, part in ((grams, True), (other_grams, False)):
-                for data, where, _ in blocks([t for t, is_in in zip(texts, train, strict=True) if is_in == part]):
+            out_of = batch.column("held_out").to_pylist()
+            for gathered, own_words, part in ((grams, words, False), (other_grams, other_words, True)):
+                own = [t for t, is_out in zip(texts, out_of, strict=True) if is_out == part]
+                for data, where, _ in blocks(own):
                     gathered.add(*np.unique(codes(data, where), return_counts=True))
-            for gathered, own in ((words, texts), (train_words, [t for t, is_in in zip(texts, train, strict=True) if is_in])):
-                split = [w for t in own for w in t.split()]
-                gathered.add(*np.unique(np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split)), return_counts=True))
+                for _, hashes in hashed_words(own, BLOCK):
+                    own_words.add(*np.unique(hashes, return_counts=True))
             yield from out(0, grams.take(False), True)
             yield from out(0, other_grams.take(False), False)
-            yield from out(1, words.take(False), False)
-            yield from out(1, train_words.take(False), True)
+            yield from out(1, words.take(False), True)
+            yield from out(1, other_words.take(False), False)
         yield from out(0, grams.take(True), True)
         yield from out(0, other_grams.take(True), False)
-        yield from out(1, words.take(True), False)
-        yield from out(1, train_words.take(True), True)
+        yield from out(1, words.take(True), True)
+        yield from out(1, other_words.take(True), False)
 
     rows = docs.select(text_of().alias("text"), held_out().alias("held_out")).mapInArrow(run, "kind int, key long, n long, n_train long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
@@ -158,9 +147,10 @@ def trie(grams: DataFrame) -> DataFrame:
     it hasn't seen) and ``p`` (at the longest context seen in training).
     """
     spark = grams.sparkSession
-    levels = [grams.select("key", F.col("n_train").alias("c"))]
+    levels, written = [grams.select("key", F.col("n_train").alias("c"))], []
     for k in range(ORDER - 1, -1, -1):
         levels.append(materialize(levels[-1].groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("c").alias("c")), "grams"))
+        written.append(levels[-1])
     root = levels.pop().collect()  # 256 rows at most
     total, kinds = sum(r.c for r in root), sum(r.c > 0 for r in root)
     escape, rest = (kinds / (total + kinds) if total else 1.0), 1 / max(1, 256 - kinds)
@@ -178,82 +168,37 @@ def trie(grams: DataFrame) -> DataFrame:
         all_ = F.col("total") + F.col("kinds")
         p = F.when(F.col("total") == 0, F.col("up_p")).when(c > 0, c / all_).otherwise(F.col("kinds") / all_ * F.col("f"))
         made = level.withColumn("f", f).select("key", "c", "total", "kinds", "f", p.alias("p"))
-    return materialize(made.select("key", F.log10(F.greatest("p", F.lit(1e-30))).alias("logp")).join(grams.select("key", "n"), "key"), "trie")
-
-
-class Model:
-    """The same in memory, for small tables and bounded contexts: ``logp`` (node, symbol), and the ways from a context to its node."""
-
-    def __init__(self, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``orders[k]``: (context, symbol, count) of the nodes of k bytes, the last byte lowest; closed under suffixes."""
-        tables, fallback, parents = [], None, None
-        self.nodes = []
-        for k, (context, symbol, n) in enumerate(orders):
-            nodes = np.unique(context)
-            counts = np.zeros((max(1, len(nodes)) if k == 0 else len(nodes), 256), np.float32)
-            if len(nodes):
-                counts[np.searchsorted(nodes, context), symbol] = n
-            if k == 0:
-                nodes = np.zeros(1, np.uint64)
-                passed = np.where(counts > 0, 0, 1 / np.maximum(1, (counts == 0).sum(1, keepdims=True))).astype(np.float32)
-            else:
-                up = np.searchsorted(self.nodes[-1], nodes & np.uint64((1 << 8 * (k - 1)) - 1))
-                passed = np.empty_like(counts)
-                for at in range(0, len(nodes), 4096):
-                    s = slice(at, at + 4096)
-                    above = parents[up[s]]
-                    left = np.where(counts[s] > 0, 0, above)  # the parent's counts without what was seen here
-                    total, kinds = left.sum(1, keepdims=True), (left > 0).sum(1, keepdims=True)
-                    both = np.maximum(total + kinds, 1)
-                    passed[s] = np.where(above > 0, left / both, np.where(total > 0, kinds / both, 1) * fallback[up[s]])
-            total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-            both = np.maximum(total + kinds, 1)
-            own = np.where(counts > 0, counts / both, np.where(total > 0, kinds / both, 1) * passed)
-            tables.append(np.log10(np.maximum(own, 1e-30)).astype(np.float32))
-            self.nodes.append(nodes)
-            parents, fallback = counts, passed
-        self.logp = np.concatenate(tables)
-        base = np.cumsum([0, *(len(t) for t in tables)])
-        # the node of the last two bytes, or of the last, or the root
-        first = np.full(65536, 0, np.int32)
-        one = np.zeros(256, np.int32)
-        one[self.nodes[1].astype(np.int64)] = base[1] + np.arange(len(self.nodes[1]))
-        first[:] = one[np.arange(65536) & 255]
-        first[self.nodes[2].astype(np.int64)] = base[2] + np.arange(len(self.nodes[2]))
-        self.first = first
-        self.index = np.zeros(65536, np.int32)  # 1 + place among the nodes of two bytes
-        self.index[self.nodes[2].astype(np.int64)] = 1 + np.arange(len(self.nodes[2]))
-        self.down, self.base = [], [int(x) for x in base]
-        for k in range(3, len(tables)):
-            step = np.zeros((len(self.nodes[k - 1]) + 1, 256), np.int32)
-            up = np.searchsorted(self.nodes[k - 1], self.nodes[k] & np.uint64((1 << 8 * (k - 1)) - 1))
-            step[up + 1, (self.nodes[k] >> np.uint64(8 * (k - 1))).astype(np.int64)] = 1 + np.arange(len(self.nodes[k]))
-            self.down.append(step)
-        del self.nodes
-
-    def score(self, data: np.ndarray, where: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each symbol at ``where``."""
-        pair = (data[where - 2].astype(np.int32) << 8) | data[where - 1]
-        node, place = self.first[pair], self.index[pair]
-        for k, step in enumerate(self.down, 3):
-            place = step[place, data[where - k]]
-            node = np.where(place > 0, place + np.int32(self.base[k] - 1), node)
-        return self.logp[node, data[where]]
-
-
-def train(grams: DataFrame, contexts: int = CONTEXTS) -> Model:
-    """The trie from (key, n_train) of (ORDER + 1)-grams. What comes to the driver has at most ``contexts`` x 256 rows an order."""
-    grams = grams.filter("n_train > 0")
-    total = grams.agg(F.sum("n_train")).first()[0] or 0
-    orders, level = [], grams.select(F.col("key"), F.col("n_train").alias("n"))
-    for k in range(ORDER, -1, -1):
-        level = materialize(level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), "grams")
-        rows = level.select(F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n")
-        if k > 2:
-            rows = rows.join(rows.groupBy("context").agg(F.sum("n").alias("all")).filter(F.col("all") >= total / contexts).select("context"), "context", "left_semi")
-        got = rows.toPandas()
-        orders.append((got["context"].to_numpy(np.uint64), got["symbol"].to_numpy(np.int64), got["n"].to_numpy(np.float64)))
-    return Model(orders[::-1])
+    out = materialize(made.select("key", F.log10(F.greatest("p", F.lit(1e-30))).alias("logp")).join(grams.select("key", "n"), "key"), "trie")
+    release(*written)
+    return out
+
+
+def rank(n: str = "n") -> Column:
+    """Counts in steps of an eighth of a doubling."""
+    return F.floor(F.log2(F.col(n).cast("double")) * 8)
+
+
+def frequent_from(counts: DataFrame, most: int) -> int:
+    """The least rank() at which ``counts`` (n) has ``most`` rows or fewer from there on."""
+    sizes = {r[0]: r[1] for r in counts.groupBy(rank().alias("r")).count().collect()}  # eight rows a doubling at most
+    held, least = 0, max(sizes, default=0) + 1
+    for r in sorted(sizes, reverse=True):
+        held += sizes[r]
+        if held > most:
+            break
+        least = r
+    return least
+
+
+def _table(rows: DataFrame, key: str, value: str) -> Table:
+    got = rows.select(key, value).toArrow()
+    return Table(got.column(key).to_numpy().view(np.uint64), got.column(value).to_numpy())
+
+
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.ListArray:
+    """Each owner's keys; owners come in order."""
+    owner, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(keys.view(np.int64)))
 
 
 def score(docs: DataFrame, frequent: int = FREQUENT, frequent_grams: int = GRAMS) -> DataFrame:
@@ -261,84 +206,65 @@ def score(docs: DataFrame, frequent: int = FREQUENT, frequent_grams: int = GRAMS
 
     The training part are rows that aren't held out; null doc_ids are in it. Null and empty texts have one token, the
     end. Texts of any length are scored whole; repeated rows are scored alike; without training rows the model is
-    uniform over bytes; an empty table gives no rows.
+    uniform over bytes; an empty table gives no rows. ``frequent`` and
+    ``frequent_grams`` change no result.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counted = materialize(gather(docs), "lm-counts")
     grams = trie(counted.filter("kind = 0"))
-    least = (grams.agg(F.sum("n")).first()[0] or 0) / frequent_grams
-    hot_grams = grams.filter(F.col("n") >= least).select("key", "logp").toArrow()  # ``frequent_grams`` rows at most
-    keys = hot_grams.column("key").to_numpy().astype(np.uint64)
-    order = np.argsort(keys)
-    grams_of = spark.sparkContext.broadcast((np.append(keys[order], np.uint64(0)), np.append(hot_grams.column("logp").to_numpy()[order], 0.0)))
+    least_gram = frequent_from(grams, frequent_grams)
+    grams_of = spark.sparkContext.broadcast(_table(grams.filter(rank() >= least_gram).withColumn("logp", F.col("logp").cast("float")), "key", "logp"))
     ends, all_ends = docs.agg(F.count_if(~held_out()), F.count(F.lit(1))).first()
     words = counted.filter("kind = 1").select(F.col("key").alias("word"), "n", F.col("n_train").alias("c"))
-    n_train, known, n_all = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_train, v, n_all = n_train + ends, known + (ends > 0), n_all + all_ends
+    n_train, known = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    n_train, v = n_train + ends, known + (ends > 0)
     below = n_train + ALPHA * (v + 1)
-    hot = words.filter(F.col("n") >= n_all / frequent).select("word", "c").toPandas()  # ``frequent`` rows at most
-    keys = hot["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    hot_of = spark.sparkContext.broadcast((np.append(keys[order], np.uint64(0)), np.append(hot["c"].to_numpy(np.int64)[order], 0)))
-    at_end = log10((ends + ALPHA) / below)
+    least_word = frequent_from(words, frequent)
+    words_of = spark.sparkContext.broadcast(_table(words.filter(rank() >= least_word), "word", "c"))
+    at_end = log10((ends + ALPHA) / below) if below else 0.0
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        frequent_keys, frequent_c = hot_of.value
-        frequent_log = np.log10((frequent_c + ALPHA) / below)
-        gram_keys, gram_logp = grams_of.value
+        grams, words = grams_of.value, words_of.value
         for batch in batches:
             texts = [prepared(x.as_py()) for x in batch.column("text")]
-            scores = np.zeros(len(texts))
-            others = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))]
+            n = len(texts)
+            scores, tokens, known, base = np.zeros(n), np.ones(n, np.int64), np.full(n, int(ends > 0)), np.full(n, at_end)
+            rare_grams, rare_words = ([(np.empty(0, np.int64), np.empty(0, np.uint64))] for _ in range(2))
             for data, where, owner in blocks(texts):
                 code = codes(data, where)
-                order = np.argsort(code)
-                code, owner = code[order], owner[order]
-                first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-                place = np.searchsorted(gram_keys[:-1], code[first])
-                known = (gram_keys[place] == code[first]) & (place < len(gram_keys) - 1)
-                times = np.diff(np.append(first, len(code)))
-                scores += np.bincount(owner, np.repeat(np.where(known, gram_logp[place], 0.0), times), len(texts))
-                away = np.repeat(~known, times)
-                code, owner = code[away], owner[away]
-                order = np.argsort(owner, kind="stable")
-                code, owner = code[order], owner[order]
-                first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1]))) if len(code) else np.empty(0, np.int64)
-                others.append((owner[first], code[first], np.diff(np.append(first, len(code)))))
-            owner, code, n = (np.concatenate(x) for x in zip(*others, strict=True))
-            order = np.argsort(owner, kind="stable")
-            ends_at = pa.array(np.searchsorted(owner[order], np.arange(len(texts) + 1)), pa.int32())
-            rare_grams, gram_times = (pa.ListArray.from_arrays(ends_at, pa.array(x[order].view(np.int64))) for x in (code, n))
-            tokens, known, base, rare, times = [], [], [], [], []
-            for text in texts:
-                split = text.split()
-                ids = np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split))
-                place = np.searchsorted(frequent_keys[:-1], ids)
-                found = (frequent_keys[place] == ids) & (place < len(frequent_keys) - 1)
-                tokens.append(len(split) + 1)
-                known.append(int((frequent_c[place[found]] > 0).sum()) + (ends > 0))
-                base.append(float(frequent_log[place[found]].sum()) + at_end)
-                own, n = np.unique(ids[~found], return_counts=True)
-                rare.append(own.view(np.int64))
-                times.append(n)
+                place = grams.find(code)
+                away = place < 0
+                logp = grams.values[place]
+                if away.any():
+                    rare_grams.append((owner[away], code[away]))
+                    logp[away] = 0
+                scores += np.bincount(owner, logp, n)
+            for owner, hashes in hashed_words(texts, BLOCK):
+                place = words.find(hashes)
+                away = place < 0
+                if away.any():
+                    rare_words.append((owner[away], hashes[away]))
+                c = words.values[place]
+                c[away] = 0
+                tokens += np.bincount(owner, minlength=n)
+                known += np.bincount(owner, c > 0, n).astype(np.int64)
+                base += np.bincount(owner, np.where(away, 0.0, np.log10((c + ALPHA) / below)), n)
+            rare, rare_grams = map(_lists, (rare_words, rare_grams), (n, n))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64())), rare_grams, gram_times],
-                names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "rare_grams", "gram_times"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), rare, rare_grams],
+                names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "rare_grams"],
             )
 
     long, double = T.LongType(), T.DoubleType()
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, k) for c, k in (("n_tokens", long), ("known", long), ("base", double), ("score", double), ("rare", T.ArrayType(long)), ("times", T.ArrayType(long)), ("rare_grams", T.ArrayType(long)), ("gram_times", T.ArrayType(long))))])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), *(T.StructField(c, k) for c, k in (("n_tokens", long), ("known", long), ("base", double), ("score", double), ("rare", T.ArrayType(long)), ("rare_grams", T.ArrayType(long))))])
     scored = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text")).mapInArrow(run, schema)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    counts = words.filter((F.col("n") < n_all / frequent) & (F.col("c") > 0)).select("word", "c")
+    counts = words.filter((rank() < least_word) & (F.col("c") > 0)).select("word", "c")
     c = F.coalesce(F.col("c"), F.lit(0))
-    rest = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10((c + ALPHA) / below)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("rare_known"))
-    away = scored.select("row", F.explode(F.arrays_zip("rare_grams", "gram_times")).alias("g")).select("row", F.col("g.rare_grams").alias("key"), F.col("g.gram_times").alias("times"))
-    bytes_ = away.join(grams.filter(F.col("n") < least).select("key", "logp"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("rare_score"))
+    rest = scored.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10((c + ALPHA) / below)).alias("rare_base"), F.count("c").alias("rare_known"))
+    bytes_ = scored.select("row", F.explode("rare_grams").alias("key")).join(grams.filter(rank() < least_gram).select("key", "logp"), "key").groupBy("row").agg(F.sum("logp").alias("rare_score"))
     zero = F.lit(0)
     return scored.join(rest, "row", "left").join(bytes_, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", zero)).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
