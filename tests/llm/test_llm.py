@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.llm import language_id, lm_score, mixing, near_dup, neighbours, packing, quality, token_counts, url_filter, warc
+from tidewire.llm import _shared, language_id, lm_score, mixing, near_dup, neighbours, packing, quality, token_counts, url_filter, warc
 
 random.seed(11)
 SYLLABLES = ["ka", "lo", "mi", "ren", "tu", "sha", "vel", "or", "in"]
@@ -93,7 +93,10 @@ def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    odd = ["a\x01b c", "Abc, abc. x's <|endoftext|> <|ENDOFTEXT|>,", "ΣΑΣ, İ ǅ ½. ²,", "x \t a\r\nb", "日本語、テスト。", " lead  double "]
+    random.seed(21)
+    letters = "abcXYZéÉß×÷ÿŸ’“”.,;:!?'-_()[]<|>/\\@#0123456789 \t\n\r\x0b\x0c\x01  İıΣσςǅΩ日本ﬁ€$$%"
+    odd = ["".join(random.choices(letters, k=random.randint(0, 60))) for _ in range(400)] + ["x" * 5000 + " y", "ab " * 40_000, "<|endoftext|> a", "don't É, ß! n° l'eau,"]
+    odd += ["a\x01b c", "Abc, abc. x's <|endoftext|> <|ENDOFTEXT|>,", "ΣΑΣ, İ ǅ ½. ²,", "x \t a\r\nb", "日本語、テスト。", " lead  double "]
     some = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
     got = packing.pack_documents(some).collect()
     by = {}
@@ -145,14 +148,31 @@ def test_language_held_out_accuracy(spark):
     assert all(got[i].h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows)
 
 
-def test_language_of_short_texts_is_their_own(spark):
+def test_language_scores_are_each_texts_own(spark, monkeypatch):
+    """Naive Bayes in plain Python, text by text, whatever the neighbours and the pieces of long texts."""
     random.seed(5)
-    texts = ["a", "xy", "é", "der", "a", "the zug", "x", prose(30), "ü b"]
+    texts = ["a", "xy", "é", "der", "a", "the zug", "x", prose(30), "ü b", "日本語 テスト", "привет мир", prose(400), "q" * 3000]
     matrix = np.random.default_rng(5).normal(size=(language_id.BUCKETS, 3)).astype(np.float32)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    for r in language_id.predict(df, (["de", "en", "fr"], matrix)).select("text", "__tw_l.*").collect():
-        own = language_id.counts(r.text) @ matrix.astype(np.float64)
-        assert r.lang_pred == ["de", "en", "fr"][own.argmax()] and math.isclose(r.score, 1 / np.exp(own - own.max()).sum(), rel_tol=1e-6)
+
+    def plain(text):
+        t, sums = [ord(c) for c in language_id.clean(text)], np.zeros(3)
+        for n in range(1, 5):
+            for i in range(len(t) - n + 1):
+                h = 0
+                for c in t[i : i + n]:
+                    h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                h = (h + n) * 2654435761 & 0xFFFFFFFF
+                h ^= h >> 15
+                sums += matrix[(h * 2246822519 & 0xFFFFFFFF) >> 16].astype(np.float64)
+        return sums
+
+    for block, order in ((language_id.BLOCK, texts), (64, texts[::-1])):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert all(np.allclose(language_id.counts(t) @ matrix.astype(np.float64), plain(t), rtol=1e-9) for t in texts)
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(order)], "doc_id long, text string").coalesce(1)
+        for r in language_id.predict(df, (["de", "en", "fr"], matrix)).select("text", "__tw_l.*").collect():
+            own = plain(r.text)
+            assert r.lang_pred == ["de", "en", "fr"][own.argmax()] and math.isclose(r.score, 1 / np.exp(own - own.max()).sum(), rel_tol=1e-9)
 
 
 def test_mix_meets_its_targets(docs):
@@ -205,6 +225,28 @@ def test_warc_round_trip(spark, tmp_path):
         assert revisit or bytes(got[i].payload) == data
 
 
+def test_warc_odd_tables(spark, tmp_path):
+    schema = "page_id long, url string, html string, digest string, size string, main long"
+    warc.write_warc(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert warc.read_warc(spark, str(tmp_path / "none")).count() == 0
+    big, other = "a" * 1500, "b" * 1500
+    rows = [(1, None, big), (1, None, big), (1, None, other), (2, None, other), (None, None, big), (3, None, big), (3, None, big), (4, None, "x" * 999), (5, None, "x" * 999)]
+    warc.write_warc(spark.createDataFrame([(*r, "d", "s", 7) for r in rows], schema), str(tmp_path / "some"))
+    got = sorted(((r.page_id if r.page_id is not None else -1), r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.read_warc(spark, str(tmp_path / "some")).collect())
+    want = [(-1, 1500, "revisit", 3), (1, 1500, "revisit", 2), (1, 1500, "revisit", 3), (1, 1500, "revisit", 3), (2, 1500, "response", 0), (3, 1500, "response", 0), (3, 1500, "response", 0), (4, 999, "response", 0), (5, 999, "response", 0)]
+    assert got == want
+
+
+def test_foreign_records_are_read():
+    head = lambda *lines: "\r\n".join(("WARC/1.0", *lines)).encode() + b"\r\n\r\n"
+    digest = "da39a3ee5e6b4b0d3255bfef95601890afd80709"
+    assert warc.parse(head("WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:12-ab>", f"WARC-Payload-Digest: sha1:{digest.upper()}"))[:5] == (None, "revisit", None, digest, None)
+    assert warc.parse(head("WARC-Type: revisit", "WARC-Payload-Digest: md5:abc"))[3] is None and warc.parse(head("WARC-Type: revisit"))[3] is None
+    got = warc.parse(head("warc-type: resource", "Content-Length: viele", "WARC-Record-ID: <urn:uuid:1>") + b"abc\r\n\r\n")
+    assert got[1:3] == ("resource", 3) and got[-1] == b"abc" and got[6] == "<urn:uuid:1>"
+    assert warc.parse(b"HTTP/1.1 200 OK\r\n\r\n") is None and warc.parse(b"") is None
+
+
 def test_walk_survives_a_magic_inside_a_member():
     payload = b"a" * 20
     inner = warc.record(1, None, payload, "00" * 20, None)
@@ -214,37 +256,84 @@ def test_walk_survives_a_magic_inside_a_member():
     assert [r[0] for r in out] == [1, 2] and warc.members(fake)[2]
 
 
-def test_scores_sum_to_one_and_base_is_exact(docs):
+class PlainPPM:
+    """PPM as it is defined: method C, full exclusion, contexts of up to ORDER bytes; a byte that no context has seen shares the root's escape."""
+
+    def __init__(self, texts):
+        self.seen = {}
+        for t in texts:
+            t = bytes([lm_score.MARK]) * lm_score.ORDER + t + bytes([lm_score.MARK])
+            for i in range(lm_score.ORDER, len(t)):
+                for k in range(lm_score.ORDER + 1):
+                    c = self.seen.setdefault(t[i - k : i], {})
+                    c[t[i]] = c.get(t[i], 0) + 1
+
+    def probability(self, context, symbol):
+        mass, excluded = 1.0, set()
+        for k in range(lm_score.ORDER, -1, -1):
+            own = {s: n for s, n in self.seen.get(context[lm_score.ORDER - k :], {}).items() if s not in excluded}
+            if own:
+                below = sum(own.values()) + len(own)
+                if symbol in own:
+                    return mass * own[symbol] / below
+                mass *= len(own) / below
+                excluded |= set(own)
+        return mass / max(1, 256 - len(excluded))
+
+    def score(self, text):
+        t = bytes([lm_score.MARK]) * lm_score.ORDER + text + bytes([lm_score.MARK])
+        return sum(math.log10(self.probability(t[i - lm_score.ORDER : i], t[i])) for i in range(lm_score.ORDER, len(t)))
+
+
+def test_lm_scores_agree_with_plain_ppm_and_base_is_exact(docs):
     rows = docs.select("doc_id", "text").collect()
     train = [r for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 10]
     c = Counter(w for r in train for w in (r.text or "").encode().lower().split())
     n, v = sum(c.values()) + len(train), len(c) + 1
     lg = lambda k: math.log10((k + 0.1) / (n + 0.1 * (v + 1)))
-    for frequent in (1 << 21, 50):  # with hardly any frequent words the others come by the shuffle
-        got = lm_score.score(docs, frequent=frequent).collect()
+    plain = PlainPPM([(r.text or "").encode().lower() for r in train])
+    want = {i: plain.score((t or "").encode().lower()) for i, t in enumerate(TEXTS)}
+    for frequent in (1 << 21, 50):  # with hardly any frequent words and grams the others come by the shuffle
+        got = lm_score.score(docs, frequent, frequent).collect()
         assert len(got) == len(rows)
         for r in got:
-            own = (TEXTS[r.doc_id] if r.doc_id is not None else None) if r.doc_id is not None else ""
             if r.doc_id is None:
                 continue
-            own = (own or "").encode().lower().split()
+            own = (TEXTS[r.doc_id] or "").encode().lower().split()
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own) + 1, sum(w in c for w in own) + 1, n)
-            assert math.isclose(r.base_score, sum(lg(c.get(w, 0)) for w in own) + lg(len(train)), rel_tol=1e-9) and r.score <= 0
-    model = lm_score.train(lm_score.gather(docs).filter("kind = 0"))
-    assert np.allclose((10 ** model.logp.astype(float)).sum(1), 1, atol=2e-2)
-
-
-def test_every_context_of_a_large_corpus_is_a_node(spark):
+            assert math.isclose(r.base_score, sum(lg(c.get(w, 0)) for w in own) + lg(len(train)), rel_tol=1e-9)
+            assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-5, abs_tol=1e-5)
+
+
+def test_word_hashes_and_tables():
+    random.seed(33)
+    texts = [bytes(random.choices(b"ab\xc3\xa9 \t\n\x0b", k=random.randint(0, 300))) for _ in range(60)] + [b"", b"  ", b"x" * 700 + b" " + b"x" * 701, (b"y" * 8 + b" ") * 50]
+    seen = {}
+    for size in (1 << 20, 50):
+        got = {i: [] for i in range(len(texts))}
+        for owner, hashes in _shared.hashed_words(texts, size):
+            for o, h in zip(owner.tolist(), hashes.tolist(), strict=True):
+                got[o].append(h)
+        for t, own in zip(texts, got.values(), strict=True):
+            assert len(own) == len(t.split()) and all(seen.setdefault(w, h) == h for w, h in zip(t.split(), own, strict=True))
+    assert len(set(seen.values())) == len(seen)
+    keys = np.unique(np.random.default_rng(2).integers(0, 1 << 48, 5000).astype(np.uint64))
+    for n in (0, 1, 5000):
+        t = _shared.Table(keys[:n], np.arange(n))
+        place = t.find(keys)
+        assert (place[: len(keys[:n])] >= 0).all() and (t.values[place[: len(keys[:n])]] == np.arange(len(keys[:n]))).all() and (place[len(keys[:n]) :] == -1).all()
+
+
+def test_blocks_of_long_texts_hold_each_symbol_once(monkeypatch):
+    monkeypatch.setattr(lm_score, "BLOCK", 64)
     random.seed(12)
-    rare = [prose(40) for _ in range(4)]
-    texts = ["wort und zahl " * 15_000, *[t for t in rare for _ in range(2)], "völlig Neues Ωß", None, *(prose(5) for _ in range(30))]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    grams = lm_score.gather(rows).filter("kind = 0")
-    model = lm_score.train(grams, contexts=grams.agg(F.sum("n_train")).first()[0])  # a bar of one
-    for frequent in (1 << 20, 50):  # with hardly any frequent grams the others come by the shuffle
-        for r in lm_score.score(rows, frequent_grams=frequent).collect():
-            data, where, _ = next(lm_score.blocks([lm_score.prepared(texts[r.doc_id] or "")]))
-            assert math.isclose(r.score, float(model.score(data, where).astype(float).sum()), rel_tol=1e-4, abs_tol=1e-4)
+    texts = [prose(random.randint(0, 40)).encode() for _ in range(20)] + [b""]
+    whole = [bytes([lm_score.MARK]) * lm_score.ORDER + t + bytes([lm_score.MARK]) for t in texts]
+    want = Counter((i, t[k - lm_score.ORDER : k + 1]) for i, t in enumerate(whole) for k in range(lm_score.ORDER, len(t)))
+    got = Counter()
+    for data, where, owner in lm_score.blocks(texts):
+        got.update((int(i), int(c).to_bytes(lm_score.ORDER + 1, "big")) for i, c in zip(owner, lm_score.codes(data, where), strict=True))
+    assert got == want
 
 
 def test_near_duplicates_against_all_pairs(docs):
@@ -356,12 +445,12 @@ def test_nearest_recall_and_ties(spark):
     assert {r.query_id for r in got} == set(range(0, 1500, 50)) and hits >= 0.9 * 300
 
 
-def test_nearest_recall_beyond_the_curves_first_windows(spark):
+def test_nearest_with_measured_windows(spark):
     rng = np.random.default_rng(3)
-    flat, grouped = rng.normal(size=(9000, 24)), (rng.normal(size=(250, 1, 24)) * 4 + rng.normal(size=(250, 40, 24)) * 0.3).reshape(-1, 24)
-    for x, curves in ((flat, 1), (grouped, 3)):  # neighbours without contrast: all are compared; with contrast: windows as measured
+    flat, grouped = rng.normal(size=(6000, 24)), (rng.normal(size=(250, 1, 24)) * 4 + rng.normal(size=(250, 40, 24)) * 0.3).reshape(-1, 24)
+    for x, curves in ((flat, 2), (grouped, 5)):  # neighbours without contrast, where windows are wide, and with it
         n = len(x)
-        rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        rows = spark.createDataFrame([(i, [float(v) for v in r], 0, 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, point int, rank int")
         got = neighbours.nearest(rows, every=100, curves=curves).collect()
         hits = 0
         for q in range(0, n, 100):
@@ -373,6 +462,14 @@ def test_nearest_recall_beyond_the_curves_first_windows(spark):
         assert hits >= 0.9 * 10 * len(range(0, n, 100))
 
 
+def test_many_ties_go_to_the_smaller_ids(spark):
+    """A hundred different vectors at one distance from the query, far from the origin."""
+    rows = [(0, [1000.0] * 60)] + [(1 + i, [1000.0 + (2.0 if j == i % 60 else 0.0) * (1 if i < 60 else -1) for j in range(60)]) for i in range(119, -1, -1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, every=1000, curves=2, window=200).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 11)) and all(r.score == 2.0 for r in got)
+
+
 def test_quality_features_and_verdicts(docs):
     judged = quality.judge(quality.features(docs.select("doc_id", "text")).checkpoint()).filter("doc_id is not null").collect()
     for r in judged:

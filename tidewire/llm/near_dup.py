@@ -355,3 +355,18 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 def op8_near_dup(spark, sf_dir: str) -> DataFrame:
     """Every document's component at three-word shingles and 85 per cent."""
     return groups(table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 85)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM w),
+g AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * c >= 85 * (len(x.sh) + len(y.sh) - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS root FROM s UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM s JOIN r ON a = doc_id GROUP BY doc_id, sh
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLES = {"op1_url_filter": url_filter.ORACLE, "op6_warc": warc.ORACLE}
+ORACLES = {"op1_url_filter": url_filter.ORACLE, "op6_warc": warc.ORACLE, "op8_near_dup": near_dup.ORACLE}

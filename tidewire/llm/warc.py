@@ -27,25 +27,27 @@ from tidewire.llm._shared import lookup, materialize, new_path, small_batches, t
 MAGIC = b"\x1f\x8b\x08"
 #: Equal payloads of this many bytes or more are stored once.
 LEAST_REVISIT = 1000
+#: The records' date where none is given: pages have none, and archives must not depend on the clock.
+DATE = "2024-01-01T00:00:00Z"
 #: gzip level of the records.
 LEVEL = 6
 #: A member ends in a zero byte if what it holds is shorter than this; else an empty member follows it.
 ZERO_END = 1 << 24
 EMPTY_MEMBER = zlib.compress(b"", 9, 31)
 
-FIELDS = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url"]
-RECORD = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("record_type", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("url", T.StringType())])
+FIELDS = ["page_id", "record_type", "payload_bytes", "payload_digest", "refers_to", "url", "record_id"]
+RECORD = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("record_type", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_id", T.StringType())])
 PART = T.StructType([T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("tail", T.BooleanType()), T.StructField("piece", T.BinaryType())])
 ANY = T.StructType([*RECORD.fields, T.StructField("payload", T.BinaryType()), *PART.fields])
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
     """One record's gzip member. A revisit has no payload; its length stands in a field of its own."""
     kind = "response" if refers_to is None else "revisit"
     name = lambda i: f"<urn:x-page:{'' if i is None else i}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}",
         "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(), f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http)}",
     ]
@@ -58,45 +60,76 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return member if member[-1] == 0 else member + EMPTY_MEMBER
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
+def write_warc(pages: DataFrame, path: str, date: str = DATE) -> None:
     """Write ``pages`` (page_id, url, html) as archives under ``path``.
 
     Of payloads that agree and have LEAST_REVISIT bytes or more, the row with the largest page_id is the response and
     the others revisit it. Payloads are told apart by SHA-1 and length. A null html is an empty payload, a null page_id
-    an empty id (never the largest); rows that repeat the largest page_id are responses too.
+    an empty id (never the largest); rows that repeat the largest page_id are responses too. Very long html is one
+    record, whole. Other columns are not read. An empty table makes archives without records.
+
+    Which rows revisit which is found on ids and digests alone; html is joined with it once, on a key that isn't hot.
     """
-    spark = pages.sparkSession
-    small_batches(spark)
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("size", F.octet_length("html"))
-    equal = rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("main"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    equal = materialize(equal, "warc-equal")
-    rows = lookup(rows, equal, "digest", "n", rows.count())
-    rows = rows.withColumn("refers_to", F.when((F.col("size") >= LEAST_REVISIT) & ~F.col("main").eqNullSafe(F.col("page_id")), F.col("main")))
+    rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "utf-8")))).withColumn("size", F.octet_length("html"))
+    narrow = materialize(rows.filter(F.col("size") >= LEAST_REVISIT).groupBy("page_id", "digest", "size").agg(F.count(F.lit(1)).alias("own")), "warc-digests")
+    equal = narrow.groupBy("digest", "size").agg(F.max("page_id").alias("main"), F.sum("own").alias("n"), F.count(F.lit(1)).alias("ids")).filter("ids > 1")
+    key = F.struct("digest", "size").alias("payload")
+    of = lookup(narrow.select("page_id", "digest", "size", key), materialize(equal.select(key, "main", "n"), "warc-equal"), "payload", "n", narrow.count())
+    of = of.filter(F.col("main").isNotNull() & ~F.col("main").eqNullSafe(F.col("page_id"))).select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), F.col("size").alias("__size"), F.col("main").alias("refers_to"))
+    rows = rows.join(materialize(of, "warc-revisits"), F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")) & (F.col("size") == F.col("__size")), "left")
+    rows = rows.withColumn("digest", F.lower(F.hex("digest")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([record(p, u, h.encode(), d, r)[:-1] for p, u, h, d, r in own], pa.binary())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([record(p, u, h.encode(), d, r, date)[:-1] for p, u, h, d, r in own], pa.binary())], names=["value"])
 
     members = rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "value binary")
     members.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
 def parse(data: bytes) -> tuple | None:
-    """A record's FIELDS and payload from its decompressed bytes; None if it is no record."""
+    """A record's FIELDS and payload from its decompressed bytes; None if it is no record.
+
+    Foreign records are taken as they are: without a usable length the body ends with the member, ids that don't end in
+    a number have no page_id, a digest in hexadecimal counts like one in base 32, and what is missing is null.
+    """
     head, gap, body = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not gap or not lines[0].startswith("WARC/"):
         return None
     got = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    body = body[: int(got.get("content-length", len(body)))]
-    payload = body.partition(b"\r\n\r\n")[2] if "application/http" in got.get("content-type", "") else body
-    number = lambda s: int(x) if (x := (s or "").strip("<>").rpartition(":")[2]).lstrip("-").isdigit() else None
-    if got.get("warc-type") == "revisit":
-        digest = base64.b32decode(got["warc-payload-digest"].partition(":")[2]).hex()
-        return number(got.get("warc-record-id")), "revisit", int(got.get("x-payload-length", 0)), digest, number(got.get("warc-refers-to")), got.get("warc-target-uri"), None
-    return number(got.get("warc-record-id")), got.get("warc-type"), len(payload), hashlib.sha1(payload).hexdigest(), None, got.get("warc-target-uri"), payload
+    length = _count(got.get("content-length"))
+    body = body[:length] if length is not None else body.removesuffix(b"\r\n\r\n")
+    payload = body.partition(b"\r\n\r\n")[2] if "application/http" in got.get("content-type", "").lower() else body
+    name, kind, url = got.get("warc-record-id"), got.get("warc-type"), got.get("warc-target-uri")
+    if kind == "revisit":
+        return _number(name), kind, _count(got.get("x-payload-length")), _hex(got.get("warc-payload-digest", "")), _number(got.get("warc-refers-to")), url, name, None
+    return _number(name), kind, len(payload), hashlib.sha1(payload).hexdigest(), None, url, name, payload
+
+
+def _count(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() else None
+
+
+def _number(name: str | None) -> int | None:
+    """The number that ends a record's id, if it is one of 64 bits."""
+    last = (name or "").strip("<>").rpartition(":")[2]
+    digits = last.removeprefix("-")
+    return int(last) if digits.isascii() and digits.isdigit() and len(digits) < 19 else None
+
+
+def _hex(digest: str) -> str | None:
+    """A SHA-1 in base 32 or hexadecimal, as bare lower-case hexadecimal; null if it is neither."""
+    kind, _, text = digest.rpartition(":")
+    if kind.lower() not in ("", "sha1", "sha-1"):
+        return None
+    try:
+        return bytes.fromhex(text).hex() if len(text) == 40 else base64.b32decode(text.upper()).hex() if len(text) == 32 else None
+    except ValueError:
+        return None
 
 
 def members(piece: bytes) -> tuple[list[bytes], bytes | None, bool]:
@@ -150,7 +183,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
     """The records of the archives at ``path``: FIELDS, and the payload if asked for.
 
     Files are split at spark.sql.files.maxPartitionBytes. Their names must not end in ``.gz``, as Spark would then
-    decompress them as a whole. Bytes between members and members without a WARC header are passed over.
+    decompress them as a whole. Bytes between members and members without a WARC header are passed over. Repeated
+    records are repeated rows; archives without records give none.
     """
     small_batches(spark)
     raw = (
@@ -161,7 +195,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +222,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
                     skip = False
 
             for r, piece, tail in _walk(own(), at[1] == 0):
-                rows.append((*(r[:6] if r else [None] * 6), r[6] if r and payload else None, *((None, None, None, None) if r else (*at, tail, piece))))
-                held += len(piece or b"") + (len(r[6] or b"") if r and payload else 0)
+                rows.append((*(r[:7] if r else [None] * 7), r[7] if r and payload else None, *((None, None, None, None) if r else (*at, tail, piece))))
+                held += len(piece or b"") + (len(r[7] or b"") if r and payload else 0)
                 if len(rows) >= 2000 or held > 1 << 24:
                     yield batch_of(rows)
                     rows, held = [], 0
@@ -204,7 +238,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
     def stitch(group: pa.Table) -> pa.Table:
         pieces = sorted(zip(group.column("block").to_pylist(), group.column("tail").to_pylist(), range(group.num_rows), group.column("piece").to_pylist(), strict=True))
         found = members(b"".join(p for *_, p in pieces))[0]
-        return pa.Table.from_batches([batch_of([(*r[:6], r[6] if payload else None, None, None, None, None) for r in map(parse, found) if r is not None])])
+        return pa.Table.from_batches([batch_of([(*r[:7], r[7] if payload else None, None, None, None, None) for r in map(parse, found) if r is not None])])
 
     joined = parts.withColumn("tail_no", follows).groupBy("file", "tail_no").applyInArrow(stitch, ANY)
     columns = [*FIELDS, "payload"] if payload else FIELDS
@@ -219,7 +253,10 @@ def _order():
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
-    """Archive all ``pages``, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Archive all ``pages``, read the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null html is an empty payload, repeated rows are repeated records, an empty table gives no rows (see write_warc).
+    """
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
