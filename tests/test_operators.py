@@ -83,6 +83,29 @@ def test_components_agree_with_a_plain_closure(spark):
     assert {r.id: r.root for r in got.collect()} == root
 
 
+def test_components_of_a_star_with_hot_keys(spark, monkeypatch):
+    """A hub of 20,000 leaves, a chain and a ring, with every hot key taken apart."""
+    from tidewire import session
+    from tidewire.operators.components import connected
+
+    monkeypatch.setattr(session, "KEY_ROWS", 0)
+    star = spark.range(1, 20_001).selectExpr("id AS a", "0L AS b")
+    chain = spark.range(30_000, 30_300).selectExpr("id AS a", "id + 1 AS b")
+    ring = spark.range(40_000, 40_050).selectExpr("id AS a", "CASE WHEN id = 40049 THEN 40000 ELSE id + 1 END AS b")
+    got = connected(star.unionByName(chain).unionByName(ring))
+    assert {r.root: r["count"] for r in got.groupBy("root").count().collect()} == {0: 20_001, 30_000: 301, 40_000: 50}
+
+
+def test_lookup_takes_hot_keys_apart(spark, monkeypatch):
+    from tidewire import session
+
+    monkeypatch.setattr(session, "KEY_ROWS", 0)
+    rows = spark.createDataFrame([(1, i) for i in range(5000)] + [(k, 0) for k in range(2, 800)] + [(None, 7)], "k int, v int")
+    found = spark.createDataFrame([(1, 5000, "hot"), (2, 1, "cold"), (9999, 3, "none")], "k int, n int, w string")
+    got = session.lookup(rows, found, "k", "n", rows.count())
+    assert got.count() == rows.count() and {r.w: r["count"] for r in got.groupBy("w").count().collect()} == {"hot": 5000, "cold": 1, None: 798}
+
+
 def test_candidates_have_no_product(spark):
     docs = heads(spark, EVENT)
     plan = cluster.candidates(docs, cluster.idf_table(docs))._jdf.queryExecution().executedPlan().toString()
