@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Every text is scored whole; a model is fitted on a bounded sample of labelled documents. n-grams of one to four bytes
-of the lower-cased text, with white space and what isn't a letter as one blank, are hashed into a fixed number of
-buckets. The matrix of log probabilities (buckets x languages) is broadcast: its size is bounded by the two limits below.
+Every text is scored whole; a model is fitted on a bounded sample of labelled documents. n-grams of one to
+four characters of the lower-cased text, with white space and what isn't a letter as one blank, are hashed into a fixed
+number of buckets. The matrix of log probabilities (buckets x languages) is broadcast: its size is bounded by the two limits below.
 """
 
 from __future__ import annotations
@@ -24,35 +24,42 @@ BUCKETS, LANGUAGES, SAMPLE = 1 << 16, 256, 3000
 ALPHA, ORDER = 0.5, 4
 #: A document is rejected as of no language under this posterior.
 LEAST_SCORE = 0.5
-#: Texts are scored in pieces of so many bytes, whose counts add up.
+#: Texts are scored in pieces of so many characters, whose counts add up.
 BLOCK = 1 << 20
 
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
-def clean(text: str) -> bytes:
+def clean(text: str) -> str:
     """Lower case, a blank for each run that holds no letter, a blank at either end."""
-    return b" " + _OTHER.sub(" ", text.lower()).strip().encode() + b" "
+    return " " + _OTHER.sub(" ", text.lower()).strip() + " "
 
 
-def grams(data: np.ndarray) -> Iterator[np.ndarray]:
-    """The buckets of all n-grams, order by order."""
-    code = data.astype(np.uint32)
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+
+
+def grams(code: np.ndarray) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams, order by order: a rolling hash of code points, mixed."""
     h = code
     for n in range(1, ORDER + 1):
         if n > 1:
-            if len(data) < n:
+            if len(code) < n:
                 return
-            h = (h[:-1] << np.uint32(8)) | code[n - 1 :]  # exact up to four bytes
-        yield (((h + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(16)).astype(np.uint16)
+            h = h[:-1] * np.uint32(0x01000193) + code[n - 1 :]
+        mixed = (h + np.uint32(n)) * np.uint32(2654435761)
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(2246822519)
+        yield (mixed >> np.uint32(16)).astype(np.uint16)
 
 
 def counts(text: str) -> np.ndarray:
-    data = np.frombuffer(clean(text), np.uint8)
+    data = characters(clean(text))
     out = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(data), BLOCK):
-        for h in grams(data[max(0, at - ORDER + 1) if at else 0 : at + BLOCK]):
-            out += np.bincount(h, minlength=BUCKETS)
+        for n, h in enumerate(grams(data[max(0, at - ORDER + 1) : at + BLOCK]), 1):
+            # what ends before this piece was counted with the one before
+            out += np.bincount(h[min(at, ORDER - 1) - n + 1 :] if at else h, minlength=BUCKETS)
     return out
 
 
@@ -112,7 +119,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             nonlocal batch, ends, size
             if not batch:
                 return
-            data = np.frombuffer(b"".join(batch), np.uint8)
+            data = characters("".join(batch))
             starts = np.array([0, *ends[:-1]])
             sums = np.zeros((len(ends), matrix.shape[1]))
             for n, h in enumerate(grams(data), 1):
@@ -131,7 +138,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             scores.append(float(1 / np.exp(row - row[best]).sum()))
 
         for text in texts:
-            data = clean(text) if text else b"  "
+            data = clean(text) if text else "  "
             if not langs or len(data) <= 2:
                 flush()
                 names.append("und")
@@ -153,7 +160,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST_SCORE) -> DataFrame:
-    """Documents with letters whose language is told with a posterior of ``least`` or more, with the columns of ``docs``."""
+    """Documents with letters whose language is told with a posterior of ``least`` or more, with the columns of ``docs``.
+
+    Null texts and those without a letter go, and all of them if no row has a lang. Very long texts are scored whole;
+    repeated rows are scored alike; an empty table gives none.
+    """
     scored = predict(docs, fit(docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), sample))
     return scored.filter((F.col("__tw_l.lang_pred") != "und") & (F.col("__tw_l.score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
