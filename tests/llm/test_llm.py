@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tidewire.llm import _shared, language_id, lm_score, mixing, near_dup, neighbours, packing, quality, token_counts, url_filter, warc
@@ -80,13 +81,14 @@ def test_token_counts_agree_with_plain_dynamic_programming(docs):
                 options.append((best[end - 1][0] + n * byte, -best[end - 1][1] - n))
             s, n = max(options)
             best.append((s, -n))
-        return best[-1][1]
+        return best[-1][1], best[-1][0]
 
     known = {}
     got = token_counts.token_counts(docs.filter("doc_id is not null").dropDuplicates(["doc_id"])).collect()
     for r in got:
-        own = (TEXTS[r.doc_id] or "").split()
-        assert r.n_words == len(own) and r.n_tokens == sum(known.setdefault(w, plain(w)) if w not in known else known[w] for w in own)
+        own = words(TEXTS[r.doc_id])
+        known |= {w: plain(w) for w in set(own) - set(known)}
+        assert r.n_words == len(own) and r.n_tokens == sum(known[w][0] for w in own) and math.isclose(r.log_score, sum(known[w][1] for w in own), rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_packing_round_trip(spark, docs):
@@ -498,18 +500,136 @@ def test_em_tells_junk_from_prose():
     assert post[good] > 0.9 and post[junk] < 0.1 and quality.fit([]) == {}
 
 
-def test_pipeline_by_brute_force(spark, docs, tmp_path):
+def plain_features(t):
+    w = words(t)
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {k for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
+    lines = [x for x in (t or "").split("\n") if words(x)]
+    count = lambda p: len(regex.findall(p, t or ""))
+    return {
+        "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": count(r"[#*$%&|<>]"), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered),
+        "n_upper": count(r"\p{Lu}"), "n_letters": count(r"\p{L}"), "n_bang": count("!"), "n_distinct": len(set(w)),
+    }
+
+
+def plain_votes(f):
+    n, size = max(f["n_words"], 1), f["word_chars"] / max(f["n_words"], 1)
+    letters, upper = f["n_letters"] / max(f["word_chars"], 1), f["n_upper"] / max(f["n_letters"], 1)
+    symbols, bang = f["n_symbols"] / n, f["n_bang"] / n
+    junk = [
+        symbols > 0.1, upper > 0.35, bang > 0.3, f["n_repeat_words"] / n > 0.15, f["n_dup_lines"] / n > 0.05, f["n_words"] < 20, size > 14 or size < 2,
+        f["n_distinct"] < 0.25 * min(n, math.sqrt(n * 2000)), letters < 0.7,
+    ]
+    prose_ = symbols <= 0.05 and upper <= 0.2 and bang <= 0.1 and 2.5 <= size <= 12 and letters > 0.65
+    return (*(-int(x) for x in junk), int(prose_))
+
+
+def plain_posteriors(votes):
+    """EM document by document."""
+    v, n = np.array(votes), len(votes)
+    start = {True: np.array([[0.01, 0.989, 0.001]] * 9 + [[0.001, 0.1, 0.899]]), False: np.array([[0.2, 0.799, 0.001]] * 9 + [[0.001, 0.8, 0.199]])}
+    chance, share = dict(start), 0.85
+    rules = np.arange(v.shape[1])
+    for _ in range(60):
+        like = {y: np.log(chance[y][rules, v + 1]).sum(1) for y in chance}
+        good = 1 / (1 + np.exp(-np.clip(like[True] - like[False] + math.log(share / (1 - share)), -60, 60)))
+        for y, of in ((True, good), (False, 1 - good)):
+            prior = 0.05 * n * (0.85 if y else 0.15)
+            seen = np.stack([[of[v[:, j] == k].sum() for k in (-1, 0, 1)] for j in rules])
+            chance[y] = (seen + prior * start[y]) / (of.sum() + prior)
+        share = (good.sum() + 0.05 * n * 0.85) / (n * 1.05)
+    return good
+
+
+def test_quality_posteriors_agree_with_plain_em(docs):
+    rows = docs.select("doc_id", "text").collect()
+    want = plain_posteriors([plain_votes(plain_features(r.text)) for r in rows])
+    by = {(r.doc_id, r.text): x for r, x in zip(rows, want, strict=True)}
+    for r in quality.judge(quality.features(docs.select("doc_id", "text")).checkpoint()).collect():
+        assert math.isclose(r["__tw_v"].posterior, by[r.doc_id, r.text], rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_pipeline_stage_by_stage_in_plain_python(spark, tmp_path):
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs.drop("size", "rank").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
-    out, here = None, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    random.seed(44)
+    vocabulary = {"de": "der die und nicht ist ein haus strasse mit schule garten wetter", "en": "the and not is a house street with school garden weather"}
+    say = lambda lang, n: " ".join(random.choice(vocabulary[lang].split()) + str(random.choice(["", "", word()])) for _ in range(n))
+    rows = []
+    for i in range(90):
+        lang = "de" if i % 3 else "en"
+        rows.append((i, say(lang, random.randint(25, 160)), lang if i % 4 else None, ["a", "b", "c", None][i % 4]))
+    rows += [(100 + i, rows[i][1] + " zusatz", "de", "b") for i in range(8)] + [(200 + i, rows[i][1].upper(), "de", "c") for i in range(3)] + [rows[5]]
+    rows += [(300, None, "de", "a"), (301, "", "en", "b"), (302, "$$$ ### !!! " * 40, "de", "a"), (303, "zu kurz", "de", "a"), (304, "12 34 56 78 " * 30, None, "a"), (305, "eine zeile hier\n" * 40, "de", "a"), (306, say("en", 6000), "en", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    kept, here = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, here, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
         before, here = here, spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = here.collect()
         if name != "packing":
-            assert here.columns == before.columns and {r.doc_id for r in here.collect()} <= {r.doc_id for r in before.collect()}
-            out = here
-    pieces = {r.doc_id: r["count"] for r in here.filter("piece = 0").groupBy("doc_id").count().collect()}
-    assert pieces == {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    ids = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/quality_rules").collect()}
-    assert all(len(words(TEXTS[i])) >= 20 for i in ids if i is not None) and 48 not in ids
+            assert here.columns == before.columns and {tuple(r) for r in kept[name]} <= {tuple(r) for r in before.collect()}
+    ids = lambda name: sorted(r.doc_id for r in kept[name])
+
+    found = [plain_features(r[1]) for r in rows]
+    good = plain_posteriors([plain_votes(f) for f in found])
+    failed = [f["n_words"] < 20 or 100 * f["n_repeat_words"] > 30 * f["n_words"] for f in found]
+    assert ids("quality_rules") == sorted(r[0] for r, bad, g in zip(rows, failed, good, strict=True) if not bad and g >= 0.5)
+
+    stay = kept["quality_rules"]
+    langs = sorted({r.lang for r in stay if r.lang})
+    counts = {x: sum((language_id.counts(r.text) for r in stay if r.lang == x), np.zeros(language_id.BUCKETS)) for x in langs}
+    logp = {x: np.log((c + 0.5) / (c.sum() + 0.5 * language_id.BUCKETS)) for x, c in counts.items()}
+    odds = lambda t: sorted(language_id.counts(t) @ logp[x] for x in langs)
+    assert ids("language") == sorted(r.doc_id for r in stay if regex.search(r"\p{L}", r.text) and 1 / sum(np.exp(o - odds(r.text)[-1]) for o in odds(r.text)) >= 0.5)
+
+    stay = sorted({(r.doc_id, r.text) for r in kept["language"]})
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for _, t in stay)]
+    root = list(range(len(stay)))
+    for _ in range(6):
+        for x in range(len(stay)):
+            for y in range(len(stay)):
+                if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                    root[x] = root[y] = min(root[x], root[y])
+    assert ids("near_duplicates") == sorted(stay[i][0] for i in set(root)) and len(set(root)) < len(stay)
+
+    hashes = {r.doc_id: r.h for r in spark.read.parquet(f"{tmp_path}/near_duplicates").select("doc_id", mixing.doc_hash().alias("h")).collect()}
+    size = {r.doc_id: len(words(r.text)) for r in kept["near_duplicates"]}
+    by_source = {}
+    for r in kept["near_duplicates"]:
+        by_source.setdefault(r.source, []).append(r.doc_id)
+    names = sorted(by_source, key=lambda x: (x is None, x or ""))
+    weight, total = {x: (5, 2, 1)[i % 3] for i, x in enumerate(names)}, {x: sum(size[i] for i in by_source[x]) for x in names}
+    want, free, budget = {}, set(names), sum(total.values())
+    while free:
+        level = budget / sum(weight[x] for x in free)
+        over = {x for x in free if weight[x] * level > 3 * total[x]}
+        want |= {x: 3.0 * total[x] for x in over} or {x: weight[x] * level for x in free}
+        budget -= sum(3 * total[x] for x in over)
+        free = free - over if over else set()
+    times = Counter(r.doc_id for r in kept["source_mix"])
+    for x in names:
+        copies = int(want[x] // total[x])
+        rest, best, held = want[x] - copies * total[x], 0, 0
+        order = sorted(by_source[x], key=hashes.get)
+        options = [0] + [sum(size[i] for i in order[: k + 1]) for k in range(len(order))]
+        best = min(range(len(options)), key=lambda k: (abs(options[k] - rest), k)) if copies < 3 else 0
+        for k, i in enumerate(order):
+            assert times[i] == copies + (k < best)
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    pieces, texts = Counter(), {r.doc_id: r.text for r in kept["source_mix"]}
+    for i, n in times.items():
+        own = tok.encode(texts[i], add_special_tokens=False).ids + [0]
+        for k in range(0, len(own), 2048):
+            pieces[i, k // 2048, k, len(own[k : k + 2048]), zlib.crc32(np.array(own[k : k + 2048], "<u4").tobytes())] += n
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in kept["packing"]) == pieces
+    sequences = {}
+    for r in kept["packing"]:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in sequences.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(own)]).tolist()]
+        assert [o for o, _ in sorted(own)] == ends[:-1] and ends[-1] <= 2048
+    assert len(sequences) <= -(-sum(r.length for r in kept["packing"]) // 2048) + 1

@@ -98,7 +98,11 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, sh
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, share: float = 1.0) -> DataFrame:
-    """Documents with a row for each time that the mix takes them, with the columns of ``docs``."""
+    """Documents with a row for each time that the mix takes them, with the columns of ``docs``.
+
+    Rows without words are taken as often as their hash tells, at the cost of no words. Nulls, ties, repeats and the
+    empty table are as in op5_mix_sources; columns of ``docs`` may have any names that don't begin with ``__tw_``.
+    """
     _, limits, n = plan(docs, weights, cap, share)
     lim = maybe_broadcast(limits.select(F.col("source").alias("__tw_source"), F.col("copies").alias("__tw_copies"), F.col("below").alias("__tw_below")), n)
     times = (F.col("__tw_copies") + F.when(doc_hash() < F.col("__tw_below"), 1).otherwise(0)).cast("int")
@@ -110,7 +114,9 @@ def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document.
 
     Null and empty texts have size 0 and are taken with 0 words; a null source is a source of its own, last in order.
-    Rows that agree in doc_id and text have the same hash and are taken alike. An empty table gives no rows.
+    Rows that agree in doc_id and text have the same hash and are taken alike, so a source's target may be missed by as
+    much as the words of one such group (with unique doc_ids: of one document). Very long texts count whole. An empty
+    table gives no rows.
     """
     sized, limits, n = plan(table(spark, sf_dir, "documents"))
     lim = maybe_broadcast(limits.withColumnRenamed("source", "s"), n)

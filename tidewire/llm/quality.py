@@ -125,7 +125,10 @@ def judge(featured: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of ``docs``."""
+    """The documents that the rules keep, with the columns of ``docs``.
+
+    Null and empty texts go; very long ones are judged whole; repeated rows are judged alike; an empty table gives none.
+    """
     judged = judge(materialize(features(docs), "quality"))
     return judged.filter("__tw_v.kept").select(*(F.col(f"`{x}`") for x in docs.columns))
 

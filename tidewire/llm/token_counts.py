@@ -1,9 +1,11 @@
 """Token counts under a unigram model, by dynamic programming over a trie of pre-tokens.
 
-A text's pre-tokens (words between white space, each with a leading mark) are counted once each: they are put into a
-trie whose nodes hold the best forward score and token count of the prefix that they spell, so words that share a prefix
-share its scores. A node's values follow from those of its ancestors. Counts of whole words are kept by word; a
-document's count is their sum. Nothing is shuffled: each task has its own trie, emptied when it gets large.
+A text's pre-tokens (words between ASCII white space, each with a leading mark) are counted once each: they are put
+into a trie whose nodes hold the best forward score and token count of the prefix that they spell, so words that share a
+prefix share its scores. A node's values follow from those of its ancestors. Counts of whole words are kept by word; a
+document's count is their sum. Nothing is shuffled: each task has its own trie, emptied when it gets large; so a
+pre-token is counted once a task and trie, not once a corpus. Words over LONG characters, which hardly share anything,
+take the same steps without nodes.
 
 Pieces are those of a public vocabulary; a piece's probability follows Zipf's law from its rank there (no tokenizer is
 trained). A character that no piece covers costs one token for each of its bytes.
@@ -131,7 +133,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column("text"):
-                own = text.as_py().split()
+                own = [w.decode() for w in text.as_py().encode("utf-8", "replace").split()]  # bytes: ASCII white space only
                 found = [counter.words.get(w) or counter.count(w) for w in own]
                 rows.append((len(own), sum([x[0] for x in found]), float(sum([x[1] for x in found]))))
             words, tokens, scores = zip(*rows, strict=True) if rows else ([], [], [])
