@@ -91,6 +91,26 @@ def page(found: DataFrame, number: int, size: int = C.PAGE) -> DataFrame:
     return found.orderBy(F.desc("score"), "published_at", "id").offset(number * size).limit(size)
 
 
+def source_chips(found: DataFrame) -> DataFrame:
+    """``found`` with ``chips``: of each further source of a story the first entry, in order; null for stories of one source."""
+    others = F.filter("others", lambda x: x["source"] != F.col("source_name"))
+    names = F.transform(others, lambda x: x["source"])
+    first = F.filter(others, lambda x, i: F.array_position(names, x["source"]) == i + 1)
+    return found.withColumn("chips", F.when((F.col("source_count") >= 2) & (F.size(first) > 0), first))
+
+
+def source_picker(found: DataFrame) -> DataFrame:
+    """The sources that a reader may choose from, in German order: case and accents tell names apart only where all else is equal."""
+    return found.select(F.col("source_name").alias("source")).distinct().orderBy(F.collate("source", "de_CI_AI"), "source")
+
+
+def relative_age(at: Column, now: Column) -> Column:
+    """How long ago the last fetch was, in minutes or hours rounded half up; a dash if there was none."""
+    minutes = F.greatest(F.lit(0), F.floor((F.unix_micros(now) - F.unix_micros(at)) / 60e6 + 0.5))
+    hours = F.floor(minutes / 60 + 0.5)
+    return F.when(at.isNull(), "–").when(minutes < 1, "GERADE").when(minutes < 60, F.format_string("VOR %d MIN", minutes)).otherwise(F.format_string("VOR %d STD", hours))
+
+
 def exported(found: DataFrame) -> DataFrame:
     """All entries as a static copy has them: without read and saved, tiles by their place in the copy, the story nested."""
     story = F.struct(

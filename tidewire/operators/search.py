@@ -86,9 +86,9 @@ def exported(items: DataFrame, sources: DataFrame, as_of: Column, days: int = C.
 
 
 def contains(items: DataFrame, query: str, limit: int = C.SEARCH_LIMIT) -> DataFrame:
-    """``items`` whose folded title and teaser hold the folded query."""
-    where = fold(F.concat_ws(" ", "title", "teaser"))
-    return items.filter(where.contains(" ".join(query_words(query)) if query.strip() else "")).orderBy(F.desc("published_at"), "id").limit(limit)
+    """``items`` whose title and teaser hold the query, both folded as the client does; a blank query finds all."""
+    where = fold(F.concat_ws(" ", "title", "teaser"), nordic=False)
+    return items.filter(where.contains(fold(F.lit(query.strip()), nordic=False))).orderBy(F.desc("published_at"), "id").limit(limit)
 
 
 def saved(items: DataFrame, state: DataFrame) -> DataFrame:

@@ -317,6 +317,29 @@ def board_page(spark, d):
     return _shown(board.page(_board(spark, d)[0], 2))
 
 
+@query(
+    "source_chips",
+    f"""{_BOARD}, v_o AS (SELECT r.story, r.id, r.source_name, r.nth FROM v_rn r JOIN v_b USING (story) WHERE r.nth > 1 AND r.source_name <> v_b.source_name),
+    v_c AS (SELECT * FROM v_o QUALIFY row_number() OVER (PARTITION BY story, source_name ORDER BY nth) = 1) SELECT story, string_agg(id, '|' ORDER BY nth) AS chips FROM v_c GROUP BY story""",
+)
+def source_chips(spark, d):
+    return board.source_chips(_board(spark, d)[0]).filter("chips IS NOT NULL").select("story", F.array_join(F.transform("chips", lambda x: x["id"]), "|").alias("chips"))
+
+
+@query("source_picker", f"{_BOARD} SELECT DISTINCT source_name AS source FROM v_b")
+def source_picker(spark, d):
+    return board.source_picker(_board(spark, d)[0])
+
+
+@query(
+    "relative_age",
+    """WITH m AS (SELECT event_id, greatest(0, floor(epoch(TIMESTAMP '2024-01-20 00:00:00' - ts) / 60.0::DOUBLE + 0.5)) AS m FROM events)
+    SELECT event_id, CASE WHEN m < 1 THEN 'GERADE' WHEN m < 60 THEN 'VOR ' || m::INT || ' MIN' ELSE 'VOR ' || floor(m / 60 + 0.5)::INT || ' STD' END AS age FROM m""",
+)
+def relative_age(spark, d):
+    return V.table(spark, d, "events").select("event_id", board.relative_age(F.col("ts").cast("timestamp"), F.lit("2024-01-20 00:00:00").cast("timestamp")).alias("age"))
+
+
 _META = "name || ' · ' || strftime(published_at + INTERVAL 1 HOUR, '%d.%m.%Y · %H:%M') || CASE WHEN agency <> '' THEN ' · ' || agency ELSE '' END"
 
 
