@@ -40,7 +40,8 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 
 _GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
-_SEPARATES = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+#: Bytes that separate words.
+SEPARATES = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 #: Words of more bytes are hashed one by one.
 _LONG_WORD = 256
 #: Masks that keep the first bytes of eight, lowest first.
@@ -64,13 +65,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The starts of the words of ``data`` (ends in white space) and their 64-bit hashes, by chunks of eight bytes."""
-    x = np.frombuffer(data, np.uint8)
-    gap = _SEPARATES[x]
-    edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1))
-    start, end = edge[::2], edge[1::2]
-    size = end - start
+def hashes_at(data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``data`` that start there and have that many bytes, by chunks of eight bytes."""
     eight = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
     out, at, own = size.astype(np.uint64), np.arange(len(start)), start
     for k in range(-(-min(int(size.max(initial=0)), _LONG_WORD) // 8)):
@@ -80,8 +76,16 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         chunk = eight[own] & _FIRST[np.minimum(size[at] - 8 * k, 8)]
         out[at] = mixed(out[at] * np.uint64(0x9E3779B97F4A7C15) + chunk)
     for i in np.flatnonzero(size > _LONG_WORD).tolist():
-        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]])
-    return start, out
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]])
+    return out
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of the words of ``data`` (ends in white space), and their hashes."""
+    gap = SEPARATES[np.frombuffer(data, np.uint8)]
+    edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1))
+    start, end = edge[::2], edge[1::2]
+    return start, hashes_at(data, start, end - start)
 
 
 def hashed_words(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:

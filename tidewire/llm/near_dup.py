@@ -24,31 +24,23 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.llm._shared import BROADCAST_ROWS, lookup, materialize, small_batches, table, text_of
+from tidewire.llm._shared import BROADCAST_ROWS, hashed_words, lookup, materialize, mixed, release, small_batches, table, text_of
 from tidewire.operators.components import connected
 
 #: Chance that banding misses a pair at the threshold; most coordinates.
 MISS, COORDINATES = 1e-7, 512
 #: Nodes and shingles that a task compares at once, roughly.
-ROWS, SHINGLES = 1024, 1 << 21
-#: Words whose hashes a task keeps.
-WORDS = 500_000
+ROWS, SHINGLES = 512, 1 << 21
+#: Elements that are looked up in another set at once.
+LOOKED_UP = 1 << 20
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (xor-shift and multiply), in place of independent hash functions."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def bands_for(percent: int) -> tuple[int, int]:
     """(bands, rows of each): as many rows as COORDINATES allow at MISS."""
     best = (1, 1)
@@ -59,26 +51,24 @@ def bands_for(percent: int) -> tuple[int, int]:
     return best
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+def shingles(texts: list[str], size: int) -> list[np.ndarray]:
+    """Of each text the sorted 64-bit hashes of its distinct shingles; fewer words than ``size`` are one shingle; no words, none."""
+    found = [*hashed_words([t.encode("utf-8", "replace").lower() for t in texts])]  # bytes: A-Z and ASCII white space only
+    owner, words = (np.concatenate(x) if x else np.empty(0, np.int64) for x in ([o for o, _ in found], [h for _, h in found]))
+    ends = np.searchsorted(owner, np.arange(len(texts)), side="right").tolist()
 
+    def hashed(ids: np.ndarray, k: int) -> np.ndarray:
+        h = np.full(max(0, len(ids) - k + 1), k, np.uint64)
+        for j in range(k):
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + ids[j : len(ids) - k + 1 + j])
+        return h
 
-def shingles(text: str, size: int, hashes: dict) -> np.ndarray:
-    """The sorted 64-bit hashes of the distinct shingles; fewer words than ``size`` are one shingle; no words, none."""
-    words = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    k = min(n, size)
-    h = np.full(n - k + 1, k, np.uint64)
-    for j in range(k):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + ids[j : n - k + 1 + j])
-    return np.unique(h)
+    every, out, at = hashed(words, size), [], 0
+    for end in ends:
+        n = end - at
+        out.append(np.unique(every[at : end - size + 1]) if n >= size else hashed(words[at:end], n) if n else np.empty(0, np.uint64))
+        at = end
+    return out
 
 
 def sketch(s: np.ndarray, t: int) -> np.ndarray:
@@ -87,9 +77,9 @@ def sketch(s: np.ndarray, t: int) -> np.ndarray:
     step = max(1, min(2 * t, int(1.5 * t * log(t)) // len(s)))
     for i in range(0, 2 * t, step):
         rounds = np.arange(i, min(2 * t, i + step), dtype=np.uint64)
-        h = mix(s[None, :] ^ mix(rounds + np.uint64(1))[:, None])
+        h = mixed(s[None, :] ^ mixed(rounds + np.uint64(1))[:, None])
         bins = np.where((rounds < t)[:, None], ((h >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32), (rounds - np.uint64(t))[:, None])
-        np.minimum.at(out, bins.ravel().astype(np.int64), ((rounds << np.uint64(44))[:, None] | (mix(h) >> np.uint64(20))).ravel())
+        np.minimum.at(out, bins.ravel().astype(np.int64), ((rounds << np.uint64(44))[:, None] | (mixed(h) >> np.uint64(20))).ravel())
         if out.max() != _MAX:
             break
     return out
@@ -102,11 +92,9 @@ def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             sizes, nodes, keys = [], [], []
-            for text in batch.column("text"):
-                s = shingles(text.as_py(), size, hashes)
+            for s in shingles(batch.column("text").to_pylist(), size):
                 sizes.append(len(s))
                 if not len(s):
                     nodes.append(None)
@@ -115,7 +103,7 @@ def sketched(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 own = sketch(s, bands * rows)
                 h = np.arange(bands, dtype=np.uint64)
                 for column in own.reshape(bands, rows).T:
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + column)
+                    h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + column)
                 nodes.append(blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append(h.view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -146,6 +134,13 @@ class _Joined:
         return i != j
 
 
+def n_common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted sets share; a bounded part of the smaller one is looked up at a time."""
+    x, y = (x, y) if len(x) > len(y) else (y, x)
+    parts = (y[i : i + LOOKED_UP] for i in range(0, len(y), LOOKED_UP))
+    return sum(int((x[np.minimum(np.searchsorted(x, p), len(x) - 1)] == p).sum()) for p in parts)
+
+
 def spanning(sets: list[np.ndarray], labels: np.ndarray, askers: np.ndarray, percent: int, main: int | None = None) -> list[tuple[int, int]]:
     """Links between the ``sets`` (sorted, not empty), enough to join all that links join; ``labels``: what is one already.
 
@@ -155,6 +150,9 @@ def spanning(sets: list[np.ndarray], labels: np.ndarray, askers: np.ndarray, per
     |d(x)| + |d(y)| - 2 |d(x) and d(y)| shingles; the last term is counted by an inverted index.
     """
     n = len(sets)
+    if n == 2:
+        both = n_common(*sets)
+        return [(0, 1)] if labels[0] != labels[1] and 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both) else []
     size = np.fromiter(map(len, sets), np.int64, n)
     _, element, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), size)
@@ -296,6 +294,7 @@ def _grouped(docs: DataFrame, size: int, percent: int, rows: int = ROWS, shingle
     least = named.join(labels.select(F.col("v").alias("rid")), "rid", "left_semi").groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("of"))
     named = lookup(named, materialize(least, "least"), "root", "of", reps.count()).withColumn("component_id", F.coalesce("least", "first"))
     named = materialize(named.select("node", "component_id", "copies", "root"), "named")
+    release(reps, buckets, members, homes, stats, sets, labels)
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
     out = lookup(made.select("doc_id", "n_shingles", "node", *more), named, "node", "copies", made.count()).withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "root", *more)
@@ -324,11 +323,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """rid, set (sorted hashes) of the ``wanted`` nodes (rid, first, node), from the text of a document that has that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             ids, sets = [], []
-            for rid, node, text in zip(batch.column("rid"), batch.column("node"), batch.column("text"), strict=True):
-                s = shingles(text.as_py(), size, hashes).tobytes()
+            for rid, node, found in zip(batch.column("rid"), batch.column("node"), shingles(batch.column("text").to_pylist(), size), strict=True):
+                s = found.tobytes()
                 if blake2b(s, digest_size=16).digest() == node.as_py():  # a doc_id may stand for several texts
                     ids.append(rid.as_py())
                     sets.append(s)
