@@ -13,7 +13,6 @@ import functools
 import itertools
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tidewire.llm._shared import materialize, small_batches, table, text_of
+from tidewire.llm._shared import SEPARATES, hashes_at, materialize, pieces_of, small_batches, table, text_of
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -32,14 +31,11 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE, LONG = 400_000, 64
 #: Bytes that are encoded together.
 BLOCK = 1 << 21
-#: Bytes that separate words; marks a run of which is a token or tokens of its own behind a letter and before a separator.
-SEPARATES, MARKS, LETTERS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b" \t\n\x0b\x0c\r", b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", b"abcdefghijklmnopqrstuvwxyz"))
+#: Marks a run of which is a token or tokens of its own behind a letter and before a separator.
+MARKS, LETTERS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", b"abcdefghijklmnopqrstuvwxyz"))
 #: A letter of Latin-1 is this byte and one from 0x80 on; all but these two (the signs for times and divided by) are letters.
 LATIN, NO_LETTER = 0xC3, (0x97, 0xB7)
 NEVER = np.int32(2**31 - 1)
-#: The base of the words' polynomial hash (odd), and what their length is multiplied with.
-HASH, LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 #: Ranks are counted in so many rows a group at most, roughly.
 RANK_ROWS = 200_000
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -148,8 +144,6 @@ class Encoder:
 
         self.tok, self.pieces = Tokenizer.from_file(path), WordPieces(path)
         self.mark = self.tok.encode("\x01", add_special_tokens=False).ids[0]
-        self.power = np.cumprod(np.append(np.uint64(1), np.full(4 * BLOCK, HASH, np.uint64)))
-        self.inverse = np.cumprod(np.append(np.uint64(1), np.full(4 * BLOCK, pow(int(HASH), -1, 1 << 64), np.uint64)))
         self.forget()
 
     def forget(self) -> None:
@@ -221,14 +215,7 @@ class Encoder:
         start, size, good = self._words(x)
         if not len(start):
             return start, np.empty(0, np.int32), start
-        if len(x) < len(self.power):
-            sums = np.cumsum(x * self.power[: len(x)], dtype=np.uint64)
-            sums = np.append(np.uint64(0), sums)
-            keys = (sums[start + size] - sums[start]) * self.inverse[start] + size.astype(np.uint64) * LENGTH
-            keys ^= keys >> np.uint64(29)
-        else:  # a word longer than a block, or nearly: none is told apart
-            keys = np.arange(len(start), dtype=np.uint64)
-            self.forget()
+        keys = hashes_at(x.tobytes(), start, size)
         if len(self.keys) > CACHE:
             self.forget()
         order = np.argsort(keys)
@@ -292,7 +279,7 @@ class Encoder:
             if b"<|" in text:
                 got[i] = [self.plain(text.decode())]
                 continue
-            for piece in pieces_of(text):
+            for piece in pieces_of(text, BLOCK):
                 held.append((i, piece))
                 size += len(piece)
                 if size > BLOCK:
@@ -308,16 +295,6 @@ class Encoder:
             done += 1
 
 
-def pieces_of(text: bytes) -> Iterator[bytes]:
-    """``text`` in pieces of about BLOCK bytes that end at white space, with a blank behind each."""
-    at = 0
-    while len(text) - at > 2 * BLOCK:
-        end = next((m.end() for m in GAP.finditer(text, at + BLOCK)), len(text))
-        yield text[at:end] + b" "
-        at = end
-    yield text[at:] + b" "
-
-
 @functools.lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
     """One for each worker process, which tasks share one after another."""
