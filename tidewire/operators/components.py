@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewire import session
 from tidewire.session import lookup, release, written
 
 
@@ -22,9 +23,11 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         seen = labels.select(F.col("id").alias("other"), F.col("root").alias("seen"), "degree")
         near = lookup(both, seen, "other", "degree", ends).groupBy("id").agg(F.min("seen").alias("seen"))
-        step = written(labels.join(near, "id").select("id", "degree", F.col("root").alias("was"), F.least("root", "seen").alias("root")), "labels")
-        sizes = step.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("next")).join(sizes, "root")
+        step = labels.join(near, "id").select("id", "degree", F.col("root").alias("was"), F.least("root", "seen").alias("root"))
+        jump = labels.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        if nodes > session.KEY_ROWS:  # else no label can be hot
+            step = written(step, "labels")
+            jump = jump.join(step.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
         new = written(lookup(step, jump, "root", "size", nodes).select("id", "degree", "was", F.least("root", "next").alias("root")), "labels")
         release(step, labels)
         if new.filter("was <> root").isEmpty():
