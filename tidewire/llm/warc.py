@@ -118,7 +118,10 @@ def _number(name: str | None) -> int | None:
     """The number that ends a record's id, if it is one of 64 bits."""
     last = (name or "").strip("<>").rpartition(":")[2]
     digits = last.removeprefix("-")
-    return int(last) if digits.isascii() and digits.isdigit() and len(digits) < 19 else None
+    if not (digits.isascii() and digits.isdigit() and len(digits.lstrip("0")) < 20):
+        return None
+    number = int(last)
+    return number if -(1 << 63) <= number < 1 << 63 else None
 
 
 def _hex(digest: str) -> str | None:
