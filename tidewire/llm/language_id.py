@@ -70,19 +70,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and log probabilities (buckets x languages) from (doc_id, text, lang), both non-null.
 
-    Of each language ``sample`` documents are taken, as near as a threshold on a hash of doc_id comes.
+    Of each language ``sample`` documents are taken, as near as a threshold on a hash of doc_id and text comes, and one
+    at least (with the rows that equal it). Over LANGUAGES languages are an error, as the matrix must stay bounded.
     """
     small_batches(docs.sparkSession)
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()}
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 20))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", drawn.alias("drawn"))
+    sizes = {r[0]: r[1:] for r in known.groupBy("lang").agg(F.count(F.lit(1)), F.min("drawn")).orderBy("lang").limit(LANGUAGES + 1).collect()}
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages: the matrix of log probabilities would have no bounded size")
     if not sizes:
         return [], np.zeros((BUCKETS, 0), np.float32)
     langs = sorted(sizes)
     of = {x: i for i, x in enumerate(langs)}
-    limit = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))))[F.col("lang")]
-    picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < limit * (1 << 20)).select("lang", "text")
+    limit = F.create_map(*(F.lit(x) for k, (n, least) in sizes.items() for x in (k, max(min(1.0, sample / n) * (1 << 20), least + 1.0))))[F.col("lang")]
+    picked = known.filter(F.col("drawn") < limit).select("lang", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -170,7 +172,7 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE, least: float = LEAST_
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every document; learned from those that aren't held out.
+    """doc_id, held_out, lang_pred, score for every document; learned from those that aren't held out, up to LANGUAGES languages.
 
     Null doc_ids aren't held out; null and empty texts are ``und``; texts of any length are scored whole; repeated rows
     are scored alike; an empty table gives no rows.
