@@ -150,6 +150,19 @@ def test_language_held_out_accuracy(spark):
     assert all(got[i].h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in rows)
 
 
+def test_languages_over_the_sample_without_ids(spark):
+    """Null doc_ids, one doc_id and one text in many rows: each language is learned from some of them, not from all or none."""
+    random.seed(8)
+    words_of = {"de": "der die und nicht ist ein haus".split(), "en": "the and not is house with school".split(), "fr": "le la et dans une avec pour".split()}
+    rows = [(None, " ".join(random.choices(words_of["de"], k=9)), "de") for _ in range(400)] + [(7, " ".join(random.choices(words_of["en"], k=9)), "en") for _ in range(400)] + [(None, "le la et dans une avec pour", "fr")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, sample=10)
+    assert model[0] == ["de", "en", "fr"] and (model[1].std(0) > 0.01).all()
+    asked = spark.createDataFrame([(i, " ".join(random.choices(words_of[k], k=9)), k) for i, k in enumerate(["de", "en", "fr"] * 9)], "doc_id long, text string, want string")
+    assert language_id.predict(asked, model).filter("__tw_l.lang_pred <> want").isEmpty()
+    assert not language_id.predict(asked, language_id.fit(df.limit(0))).filter("__tw_l.lang_pred = 'und'").isEmpty()
+
+
 def test_language_scores_are_each_texts_own(spark, monkeypatch):
     """Naive Bayes in plain Python, text by text, whatever the neighbours and the pieces of long texts."""
     random.seed(5)
@@ -239,6 +252,14 @@ def test_warc_odd_tables(spark, tmp_path):
     assert got == want
 
 
+def test_warc_ids_of_64_bits(spark, tmp_path):
+    ids = [1234567890123456789, 10**18, 2**63 - 1, -(2**63), -1, 5]
+    warc.write_warc(spark.createDataFrame([(i, None, "a" * 1500) for i in ids], "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: ("response", None) if i == 2**63 - 1 else ("revisit", 2**63 - 1) for i in ids}
+    assert warc._number(f"<urn:x-page:{2**63}>") is None and warc._number("<urn:x-page:-9223372036854775809>") is None and warc._number("<urn:x-page:>") is None
+
+
 def test_foreign_records_are_read():
     head = lambda *lines: "\r\n".join(("WARC/1.0", *lines)).encode() + b"\r\n\r\n"
     digest = "da39a3ee5e6b4b0d3255bfef95601890afd80709"
@@ -464,6 +485,37 @@ def test_nearest_with_measured_windows(spark):
         assert hits >= 0.9 * 10 * len(range(0, n, 100))
 
 
+def test_nearest_of_every_length(spark, monkeypatch):
+    """Vectors of several lengths, each searched among its own; few askers a part; one vector that a third of the rows share."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=(2, 2, 2, 5, 9)[i % 5]).round(2).tolist()) for i in range(1500)] + [(i, [0.5, 0.25]) for i in range(2000, 2800)] + [(30_000, [3.0]), (40_000, [4.0, 1.0, 0.0])]
+    monkeypatch.setattr(neighbours, "ASKERS", 3)
+    got = neighbours.nearest(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, vec string"), every=20, window=100_000, curves=2, block=170).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    for i, v in rows:
+        if i % 20 == 0:
+            own = [(j, np.float32(w).astype(float)) for j, w in rows if len(w) == len(v) and j != i]
+            want = sorted((math.dist(np.float32(v).astype(float), w), j) for j, w in own)[:10]
+            assert found.get(i, []) == [(j, round(d, 9)) for d, j in want]
+
+
+def test_rounded_vectors_bound_distances():
+    rng = np.random.default_rng(9)
+    x, q = rng.normal(size=(400, 6)), rng.normal(size=(30, 6))
+    code = x.round(1)
+    off = np.sqrt(((x - code) ** 2).sum(1))
+    low, high = np.zeros(30, int), np.full(30, 400)
+    d = np.sqrt(((x[None] - q[:, None]) ** 2).sum(2))
+    kept = [set() for _ in q]
+    for i, j, least, most in neighbours._may_be_near(q, code, off, low, high, 5):
+        assert (least <= d[i, j]).all() and (d[i, j] <= most).all()
+        for a, b in zip(i, j, strict=True):
+            kept[a].add(int(b))
+    assert all(set(np.argsort(d[i])[:5].tolist()) <= kept[i] and len(kept[i]) < 60 for i in range(30))
+
+
 def test_many_ties_go_to_the_smaller_ids(spark):
     """A hundred different vectors at one distance from the query, far from the origin."""
     rows = [(0, [1000.0] * 60)] + [(1 + i, [1000.0 + (2.0 if j == i % 60 else 0.0) * (1 if i < 60 else -1) for j in range(60)]) for i in range(119, -1, -1)]
