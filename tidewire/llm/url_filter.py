@@ -12,9 +12,10 @@ wide as a whole top-level domain.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url:
     spark = pages.sparkSession
     u = F.col(url).cast("string")
     keyed = (
-        pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), F.xxhash64(page_id, url).alias("salt"))
+        pages.select(F.col(page_id).alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"), F.xxhash64(page_id, url, F.monotonically_increasing_id()).alias("salt"))
         .withColumn("key", key_of(F.col("host")))
         .withColumn("sort_key", F.concat("key", F.lit("\x01"), F.lpad(F.hex("salt"), 16, "0")))
     )
@@ -101,9 +102,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, url:
     sample = sorted(r[0] for r in keyed.select("sort_key").filter(F.pmod(F.xxhash64("salt", F.lit(7)), F.lit(max(1, n // wanted))) == 0).limit(4 * wanted).collect()) if ranges > 1 else []
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
-    where = F.pandas_udf(lambda s: s.map(lambda x: bisect_right(cuts, x)).astype("int32"), "int")
-    first = F.pandas_udf(lambda s: s.map(lambda x: bisect_left(cuts, x)).astype("int32"), "int")
-    last = F.pandas_udf(lambda s: s.map(lambda x: bisect_right(cuts, x[:-1] + "/")).astype("int32"), "int")  # '/' is next to '.', so this ends the interval
+    borders = np.array(cuts, object)
+
+    def place(side: str, end: bool = False):
+        """The range of each key; with ``end`` of the last key below it ('/' is next to '.', so this ends the interval)."""
+        return F.pandas_udf(lambda s: pd.Series(np.searchsorted(borders, (s.str[:-1] + "/" if end else s).to_numpy(object), side).astype(np.int32)), "int")
+
+    where, first, last = place("right"), place("left"), place("right", True)
     own = (
         rules.select(ascii_lower(F.col("host")).alias("host"), F.col("path"), F.col("verdict"))
         .groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
