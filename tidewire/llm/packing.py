@@ -363,7 +363,7 @@ def fill(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (doc_id, piece, start, length, ids_crc32; written before) with sequence_id and offset."""
+    """``pieces`` (doc_id, piece, start, length, ids_crc32 and row, a number that tells repeated rows apart; written before) with sequence_id and offset."""
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     places: dict[int, list[tuple[int, int, int, int]]] = {}
     used: dict[int, int] = {}
@@ -381,12 +381,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     # rank within a length: groups of (length, salt) are numbered, and small counts tell where each group starts
     salts = max(16, sum(counts.values()) // RANK_ROWS)
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "row"), F.lit(salts)).cast("int"))
     base = (
         salted.groupBy("length", "salt").count()
         .withColumn("base", F.sum("count").over(W.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     )
-    group = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    group = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")
     ranked = salted.withColumn("place", F.row_number().over(group) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("place"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,8 +411,10 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     A null text is one piece with the single id 0, and so is an empty one. Repeated rows have their own pieces; pieces
     that agree in all columns may swap places. An empty table gives no rows. Other columns are not read.
     """
-    return pack(materialize(cut(docs, path or tokenizer_path(), capacity), "pieces"), capacity)
+    pieces = cut(docs, path or tokenizer_path(), capacity).withColumn("row", F.monotonically_increasing_id())
+    return pack(materialize(pieces, "pieces"), capacity)
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """All ``documents`` in sequences of 2048 tokens (see pack_documents for odd rows)."""
     return pack_documents(table(spark, sf_dir, "documents"))
