@@ -219,6 +219,25 @@ def test_mix_meets_its_targets(docs):
         assert math.isclose(lim[s].target, want[s]) and abs(taken[s] - want[s]) <= largest
 
 
+def test_mix_of_many_sources(spark, docs, monkeypatch):
+    """Above the bound of broadcasts, with hot sources apart, the mix is the same."""
+    from tidewire import session
+
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(session, "KEY_ROWS", 0)
+    assert sorted(map(str, mixing.mix(docs).collect())) == want and len(want) > 20
+
+
+def test_url_rules_of_equal_length_and_empty_tables(spark):
+    rules = spark.createDataFrame([("a.org", "/xy", "block"), ("b.a.org", "/", "allow"), ("A.org", "/xy", "allow"), ("org", "/xy/z", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, "http://b.a.org/xy/z"), (2, "http://a.org/xy/z"), (3, "http://c.org/xy/z")], "page_id long, url string")
+    # of two rules as long the one with the longer host wins; a rule that is given twice has the smallest verdict
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()} == {1: ("b.a.org/", "allow"), 2: ("a.org/xy", "allow"), 3: ("org/xy/z", "block")}
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+    assert {r.rule for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {None}
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "ü" * 700
     html = [big, big, "<p>klein", "<p>klein", None, "x" * 300_000, "\r\n\r\nWARC/1.1\r\n\r\n" * 200, big, *("".join(map(chr, np.random.default_rng(i).integers(32, 2000, 4000))) for i in range(60))]

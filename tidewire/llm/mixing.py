@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidewire.llm._shared import WORD, materialize, maybe_broadcast, table, text_of
+from tidewire.llm._shared import BROADCAST_ROWS, WORD, lookup, materialize, maybe_broadcast, table, text_of
 
 #: Weights by the sources' code-point order (null last), repeating; a document is taken so many times at most.
 WEIGHTS, CAP = (5.0, 2.0, 1.0), 3
@@ -30,7 +30,7 @@ def doc_hash():
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, share: float = 1.0) -> DataFrame:
-    """source, source_size, target: ``share`` of all sizes by weight, no source above ``cap`` times its size.
+    """source, source_size, n_rows, target: ``share`` of all sizes by weight, no source above ``cap`` times its size.
 
     The excess of capped sources goes to the others by weight until none is above (closed form: sources by the ratio
     of cap to weight; running sums tell at which level the rest is shared). One row a source, in one window.
@@ -42,18 +42,18 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP
     of = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by) - 1, F.lit(len(weights))) + 1).cast("int"))
     level = (F.col("budget") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     return (
-        sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+        sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
         .withColumn("weight", of).withColumn("most", F.col("source_size") * float(cap)).withColumn("ratio", F.col("most") / F.col("weight"))
         .withColumn("budget", F.least(F.sum("source_size").over(everything) * float(share), F.sum("most").over(everything)))
         .withColumn("weights", F.sum("weight").over(everything))
         .withColumn("level", level)
         .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
-        .select("source", "source_size", F.coalesce(F.least("most", F.col("weight") * F.col("level")), "most").alias("target"))
+        .select("source", "source_size", "n_rows", F.coalesce(F.least("most", F.col("weight") * F.col("level")), "most").alias("target"))
     )
 
 
 def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
-    """source, source_size, target, copies, below: every document is taken ``copies`` times, those with a hash under ``below`` once more."""
+    """source, source_size, n_rows, target, copies, below: every document is taken ``copies`` times, those with a hash under ``below`` once more."""
     sources = goals.count()
     rest = F.col("target") - F.col("copies") * F.col("source_size")
     state = materialize(
@@ -77,7 +77,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         done = ~F.col("open")
         state = materialize(
             state.join(maybe_broadcast(cells, sources), state["source"].eqNullSafe(F.col("s")), "left").select(
-                "source", "source_size", "target", "copies", "rest",
+                "source", "source_size", "n_rows", "target", "copies", "rest",
                 F.when(done, F.col("at")).otherwise(F.coalesce("edge.cell", "at")).alias("at"),
                 F.when(done, F.col("before")).otherwise(F.coalesce(F.col("edge.upto") - F.col("edge.words"), "before")).alias("before"),
                 (F.col("open") & (F.col("edge.rows") > 1)).alias("open"),
@@ -87,7 +87,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
         )
         if state.filter("open").isEmpty():
             break
-    return state.select("source", "source_size", "target", F.col("copies").cast("long").alias("copies"), "below")
+    return state.select("source", "source_size", "n_rows", "target", F.col("copies").cast("long").alias("copies"), "below")
 
 
 def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, share: float = 1.0) -> tuple[DataFrame, DataFrame, int]:
@@ -97,6 +97,18 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, sh
     return sized, limits, limits.count()
 
 
+def with_limits(rows: DataFrame, source: Column, limits: DataFrame, sources: int) -> DataFrame:
+    """``rows`` with their source's ``limits`` in a struct ``__tw_lim``: broadcast, or beyond a checked size looked up with the hot sources apart."""
+    key = F.struct(source.cast("string").alias("s")).alias("__tw_key")  # not null even where the source is
+    known = limits.select(F.struct(F.col("source").alias("s")).alias("__tw_key"), F.struct("source_size", "target", "copies", "below").alias("__tw_lim"), F.col("n_rows").alias("__tw_rows"))
+    keyed = rows.withColumn("__tw_key", key)
+    if sources <= BROADCAST_ROWS:
+        out = keyed.join(F.broadcast(known), "__tw_key")
+    else:
+        out = lookup(keyed, known, "__tw_key", "__tw_rows", limits.agg(F.sum("n_rows")).first()[0])
+    return out.drop("__tw_key", "__tw_rows")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, share: float = 1.0) -> DataFrame:
     """Documents with a row for each time that the mix takes them, with the columns of ``docs``.
 
@@ -104,9 +116,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, sha
     empty table are as in op5_mix_sources; columns of ``docs`` may have any names that don't begin with ``__tw_``.
     """
     _, limits, n = plan(docs, weights, cap, share)
-    lim = maybe_broadcast(limits.select(F.col("source").alias("__tw_source"), F.col("copies").alias("__tw_copies"), F.col("below").alias("__tw_below")), n)
-    times = (F.col("__tw_copies") + F.when(doc_hash() < F.col("__tw_below"), 1).otherwise(0)).cast("int")
-    taken = docs.join(lim, docs["source"].cast("string").eqNullSafe(F.col("__tw_source"))).withColumn("__tw_times", times).filter("__tw_times > 0")
+    times = (F.col("__tw_lim.copies") + F.when(doc_hash() < F.col("__tw_lim.below"), 1).otherwise(0)).cast("int")
+    taken = with_limits(docs, docs["source"], limits, n).withColumn("__tw_times", times).filter("__tw_times > 0")
     return taken.withColumn("__tw_copy", F.explode(F.sequence(F.lit(1), F.col("__tw_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
@@ -119,6 +130,5 @@ def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     table gives no rows.
     """
     sized, limits, n = plan(table(spark, sf_dir, "documents"))
-    lim = maybe_broadcast(limits.withColumnRenamed("source", "s"), n)
-    taken = F.col("size") * (F.col("copies") + F.when(F.col("h") < F.col("below"), 1).otherwise(0))
-    return sized.join(lim, sized["source"].eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    taken = F.col("size") * (F.col("__tw_lim.copies") + F.when(F.col("h") < F.col("__tw_lim.below"), 1).otherwise(0))
+    return with_limits(sized, sized["source"], limits, n).select("doc_id", "size", "__tw_lim.source_size", "__tw_lim.target", taken.alias("taken"))
