@@ -1,8 +1,13 @@
+import html
+import html.entities
+import random
 import unicodedata
+from urllib.parse import parse_qsl, urlsplit, urlunsplit
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewire import constants as C
 from tidewire.functions import numeric as N
 from tidewire.functions import text as X
 
@@ -12,9 +17,52 @@ def one(spark, value, f):
 
 
 def test_fold_agrees_with_the_unicode_data(spark):
-    letters = [chr(c) for c in (*range(0x20, 0x250), *range(0x1E00, 0x1F00)) if unicodedata.category(chr(c)).startswith(("L", "N", "P", "Z"))]
-    rows = spark.createDataFrame([(c,) for c in letters], "x string").select("x", X.fold(F.col("x")).alias("a"), X.fold_any(F.col("x")).alias("b")).collect()
-    assert all(r.a == r.b for r in rows if len(r.b) <= 1 and r.b.isascii() or r.x in "äöüßæøå")
+    """Every character of the basic plane, and marks within words: what compatibility decomposition without marks gives."""
+    letters = [chr(c) for c in range(0x20, 0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [*letters, *(f"a{c}b" for c in letters if unicodedata.combining(c)), "Ｆｕｌｌ ½ ﬁn ﬀ ǆ", "한국어 뉴스", "İstanbul ΣΑΣ ς", "Straße Ångström – „Zitat“ …", "", "plain"]
+    rows = spark.createDataFrame([(c,) for c in texts], "x string").select("x", X.fold(F.col("x")).alias("a"), F.lower("x").alias("low")).collect()
+    assert [r for r in rows if r.a != X.folded(r.x) and r.low == r.x.lower()] == []
+    assert sum(r.low != r.x.lower() for r in rows) < 20  # letters whose lower case is newer than the JVM
+    assert one(spark, "Öl Æ å", lambda c: X.fold(c, nordic=False)) == "oel æ a" and one(spark, None, X.fold) is None
+
+
+def test_entities_agree_with_the_standard_library(spark):
+    names = list(html.entities.html5)
+    texts = [*(f"a &{n} b" for n in names), *(f"&{n}x" for n in names), *(f"&{n.rstrip(';')}zz;" for n in names)]
+    texts += [f"&#{n};" for n in (*range(300), 0xD800, 0xDFFF, 0xFFFE, 0xFFFF, 0xFDD0, 0x10FFFF, 0x110000, 0x1F600, 10**12, 10**30)] + [f"&#x{n:x}" for n in (*range(300), 0x1F600)] + ["&#X41;y", "&#x0000000041;"]
+    texts += ["", "&", "&&", "& ", "&#", "&#x", "&#xg;", "&;", "a&b&amp;c&amp;amp;", "&notit;", "&notin;", "&AMPx", "&unknown;", "&ampamp;", "no entity", "x" * 5000 + "&lt;"]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", X.unescape(F.col("x")).alias("y"))
+    assert [r for r in rows.collect() if r.y != html.unescape(r.x)] == []
+    assert one(spark, None, X.unescape) is None and "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_canonical(url):
+    """The rules in plain Python, by the standard library's own splitting and decoding."""
+    url = url.strip()
+    try:
+        p = urlsplit(url)
+    except ValueError:
+        return url
+    host = p.netloc.lower().removeprefix("www.").replace(":443", "").replace(":80", "")
+    kept = sorted((k, v) for k, v in parse_qsl(p.query) if not k.lower().startswith("utm_") and k not in C.TRACKING_PARAMETERS)
+    path = p.path[:-1] if len(p.path) > 1 and p.path.endswith("/") else p.path
+    return urlunsplit(({"": "https", "http": "https"}.get(p.scheme.lower(), p.scheme.lower()), host, path, "&".join(f"{k}={v}" for k, v in kept), "")) if url else ""
+
+
+def test_canonical_urls_agree_with_plain_rules(spark):
+    random.seed(7)
+    pieces = ["%", "%2", "%zz", "%41", "%C3%A4", "%ff", "+", "=", "&", "q", "utm_x", "UTM_y=1", "ref=a", "b=2", "a=%", "ä", "100%", "%%41", "%2541"]
+    hosts = ["a.org", "www.A.org:443", "WWW.b.de:80", "x:8080", "[::1]", "u@h.org"]
+    urls = [f"{random.choice(['http', 'https', 'HTTP', 'ftp'])}://{random.choice(hosts)}{random.choice(['', '/', '/p/', '/p/q', '//x/'])}?{''.join(random.choices(pieces, k=random.randint(0, 7)))}{random.choice(['', '#f', '#'])}" for _ in range(1500)]
+    urls += ["https://a.org/x?q=100%&b=2", "https://a.org/x?q=50%zz", " https://a.org/ ", "//a.org/p?x=1", "/only/path?x=%", "mailto:a@b", "http://[broken/p", "https://a.org/a\nb?x=\t1", "https://a.org?", "a b", "\x01http://a.org/"]
+    got = spark.createDataFrame([(u,) for u in urls], "x string").select("x", X.canonical_url(F.col("x")).alias("y")).collect()
+    assert [(r.x, r.y, plain_canonical(r.x)) for r in got if r.y != plain_canonical(r.x)] == []
+
+
+def test_stopwords_are_folded(spark, tmp_path):
+    (tmp_path / "words").write_text("# comment\nfür\nDas\n\n", "utf-8")
+    stop = X.load_stopwords(str(tmp_path / "words"))
+    assert stop == ["das", "fuer"] and one(spark, "Geld für das Dorf", lambda c: X.tokens(c, stop)) == ["dorf", "geld"]
 
 
 @pytest.mark.parametrize(
@@ -108,9 +156,3 @@ def test_round_is_pythons(spark):
 def test_describe_has_an_answer_for_every_code(spark):
     rows = spark.range(100).select("id", N.describe(F.col("id")).alias("d")).collect()
     assert rows[0].d.label == "klar" and rows[4].d.label == "wechselhaft" and rows[95].d.icon == "storm" and all(r.d.label for r in rows)
-
-
-def test_downsample_keeps_both_ends(spark):
-    values = [float(i) for i in range(100)]
-    got = spark.createDataFrame([(values,)], "v array<double>").select(N.downsample(F.col("v"))).first()[0]
-    assert len(got) == 24 and got[0] == 0 and got[-1] == 99 and got == [values[round(i * 99 / 23)] for i in range(24)]

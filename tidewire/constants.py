@@ -41,6 +41,7 @@ OTHER_WEATHER = ("cloud", "wechselhaft")
 WEEKDAYS = ["MO", "DI", "MI", "DO", "FR", "SA", "SO"]
 BAD_IMAGE = r"(?i)(pixel|tracking|1x1|blank|spacer|logo|avatar|placeholder)"
 IMAGE_EXTENSION = r"(?i)\.(jpe?g|png|webp|avif|gif)(\?|$)"
+IMAGE_TAG, IMAGE_SET = r"""<img[^>]+src=["']([^"']+)["']""", r"""srcset=["']([^"']+)["']"""
 OG_PATTERNS = [
     r"""(?i)<meta[^>]+property=["']og:image(?::url)?["'][^>]*content=["']([^"']+)["']""",
     r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]*property=["']og:image(?::url)?["']""",

@@ -80,12 +80,5 @@ def parse_date(raw: Column) -> Column:
     )
 
 
-def downsample(values: Column, points: int = C.SPARK_POINTS) -> Column:
-    """All values, or ``points`` of them evenly spread with both ends; two decimal places."""
-    step = (F.size(values) - 1) / F.lit(points - 1.0)
-    picked = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.element_at(values, F.rint(i * step).cast("int") + 1))
-    return F.transform(F.when(F.size(values) <= points, values).otherwise(picked), lambda v: py_round(v, 2))
-
-
 def local(ts: Column, pattern: str, zone: str = C.TIME_ZONE) -> Column:
     return F.date_format(F.from_utc_timestamp(ts, zone), pattern)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire import constants as C
+from tidewire import session
 from tidewire.functions.numeric import score
 from tidewire.operators.components import connected
 from tidewire.session import lookup, small, written
@@ -18,8 +19,12 @@ def idf_table(docs: DataFrame) -> DataFrame:
 
 
 def weighted(docs: DataFrame, idf: DataFrame) -> DataFrame:
-    """``docs`` with ``weights``: a map from each of its tokens to the idf."""
-    by = docs.select("id", F.explode("tokens").alias("token")).join(small(idf.select("token", "idf")), "token")
+    """``docs`` with ``weights``: a map from each of its tokens to the idf. Tokens too many to broadcast are looked up, the frequent ones apart."""
+    by, known = docs.select("id", F.explode("tokens").alias("token")), idf.select("token", "idf", "df")
+    if known.limit(session.BROADCAST_ROWS + 1).count() <= session.BROADCAST_ROWS:
+        by = by.join(F.broadcast(known), "token")
+    else:
+        by = lookup(by, known, "token", "df", known.agg(F.sum("df")).first()[0])
     maps = by.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("token", "idf")))).alias("weights"))
     return docs.join(maps, "id", "left")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewire import constants as C
+from tidewire.session import small
 
 
 def merge_items(obs: DataFrame) -> DataFrame:
@@ -68,15 +69,39 @@ def changed(raw: DataFrame, key: str = "feed_url", order: tuple[str, ...] = ("fe
     return raw.filter(F.col(status) == 200).withColumn("__prev", F.lag(sha).over(w)).filter(~F.col(sha).eqNullSafe(F.col("__prev"))).drop("__prev")
 
 
-def feed_state(raw: DataFrame) -> DataFrame:
-    """feed_url, etag, last_modified, sha256, fetched_at, status: all of the last fetch, but the last known sha; failures forget the validators."""
-    ok = F.col("status").isin(200, 304)
+def followed(raw: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """``raw`` with ``known``: the sha256 of the feed's last full response (200 with a body) before each row, in ``raw`` or else in ``state``."""
+    w = W.partitionBy("feed_url").orderBy("fetched_at", "seq").rowsBetween(W.unboundedPreceding, -1)
+    out = raw.withColumn("known", F.last(F.when(F.col("status") == 200, F.col("sha256")), ignorenulls=True).over(w))
+    if state is None:
+        return out
+    old = small(state.select("feed_url", F.col("sha256").alias("__sha")))
+    return out.join(old, "feed_url", "left").withColumn("known", F.coalesce("known", "__sha")).drop("__sha")
+
+
+def feed_state(raw: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """feed_url, etag, last_modified, sha256, fetched_at, status after all of ``raw``, from ``state`` on.
+
+    A changed response brings its own validators. One that is unchanged (304, or the known body) keeps those that it
+    doesn't name. A failure forgets them, and keeps the sha256. Folding a state with what came later gives the same as
+    folding all at once.
+    """
     seq = F.struct("fetched_at", "seq")
-    last = lambda c: F.max_by(c, seq)
-    return raw.groupBy("feed_url").agg(
-        last(F.when(ok, F.col("etag"))).alias("etag"), last(F.when(ok, F.col("last_modified"))).alias("last_modified"),
-        F.max_by("sha256", F.when(F.col("sha256").isNotNull(), seq)).alias("sha256"), F.max("fetched_at").alias("fetched_at"), last("status").alias("status"),
+    full = (F.col("status") == 200) & F.col("sha256").isNotNull()
+    ok = full | (F.col("status") == 304)
+    anew = ~ok | (full & ~F.col("sha256").eqNullSafe(F.col("known")))
+    named = lambda c: F.max(F.when(ok & F.col(c).isNotNull(), F.struct(seq.alias("at"), F.col(c).alias("is")))).alias(f"__{c}")
+    new = followed(raw, state).groupBy("feed_url").agg(
+        F.max(F.when(anew, seq)).alias("__anew"), named("etag"), named("last_modified"), F.max_by("sha256", F.when(full, seq)).alias("__sha"),
+        F.max("fetched_at").alias("__at"), F.max_by("status", seq).alias("__status"),
     )
+    if state is None:
+        none = F.lit(None).cast("string")
+        both = new.withColumns({"etag": none, "last_modified": none, "sha256": none, "fetched_at": F.col("__at"), "status": F.col("__status")})
+    else:
+        both = state.join(new, "feed_url", "full")
+    kept = lambda c: F.when(F.col("__anew").isNull(), F.coalesce(F.col(f"__{c}")["is"], F.col(c))).when(F.col(f"__{c}")["at"] >= F.col("__anew"), F.col(f"__{c}")["is"]).alias(c)
+    return both.select("feed_url", kept("etag"), kept("last_modified"), F.coalesce("__sha", "sha256").alias("sha256"), F.coalesce("__at", "fetched_at").alias("fetched_at"), F.coalesce("__status", "status").alias("status"))
 
 
 def user_state(events: DataFrame) -> DataFrame:

@@ -7,19 +7,50 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tidewire import constants as C
-from tidewire.functions.numeric import describe, downsample, py_round, weekday_label
-
-
-def market_metrics(closes: DataFrame, min_history: int = C.MARKET_HISTORY, dividend_free: bool = True) -> DataFrame:
-    """symbol, n, price, change_pct, change_pct_daily, spark from (symbol, seq, close, pays); null closes don't count."""
-    series = closes.groupBy("symbol").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("close").isNotNull(), F.struct("seq", "close")))), lambda x: x["close"]).alias("c"), F.bool_or("pays").alias("pays"),
-    )
-    n = F.size("c")
-    kept = series.filter((n >= min_history) & (~F.col("pays") if dividend_free else F.lit(True)) & (n > 0))
-    last, first = F.element_at("c", -1), F.element_at("c", 1)
-    daily = F.when(n >= 2, (last / F.try_element_at("c", F.lit(-2)) - 1) * 100).otherwise(0.0)
-    return kept.select("symbol", n.alias("n"), py_round(last, 2).alias("price"), py_round((last / first - 1) * 100, 1).alias("change_pct"), py_round(daily, 1).alias("change_pct_daily"), downsample(F.col("c")).alias("spark"))
+from tidewire.functions.numeric import describe, py_round, weekday_label
+from tidewire.functions.text import simplify_name
+from tidewire.session import small, written
+
+
+def market_metrics(closes: DataFrame, min_history: int = C.MARKET_HISTORY, dividend_free: bool = True, points: int = C.SPARK_POINTS) -> DataFrame:
+    """symbol, n, price, change_pct, change_pct_daily, spark from (symbol, seq, close, pays); null closes don't count.
+
+    Closes are sorted over all tasks by symbol and seq, so a place in a symbol's series is a place in a range of the
+    table. Each symbol asks for the few places that it needs (both ends, the last but one, ``points`` evenly spread);
+    no task holds a series, however long one is.
+    """
+    used = closes.filter(F.col("close").isNotNull())
+    at = F.monotonically_increasing_id()  # the number of the range, and the row's place in it below
+    ordered = used.select("symbol", "seq", "close").repartitionByRange("symbol", "seq").sortWithinPartitions("symbol", "seq").withColumn("at", at)
+    ordered = written(ordered.select("symbol", "at", "close"), "closes")
+    runs = ordered.groupBy("symbol", F.shiftright("at", 33).alias("range")).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    base = runs.withColumn("upto", F.sum("n").over(W.partitionBy("symbol").orderBy("range")))
+    pays = closes.groupBy("symbol").agg(F.bool_or("pays").alias("pays"))
+    total = runs.groupBy("symbol").agg(F.sum("n").alias("n")).join(pays, "symbol").filter((F.col("n") >= min_history) & (~F.coalesce("pays", F.lit(False)) if dividend_free else F.lit(True)))
+    step = (F.col("n") - 1) / F.lit(points - 1.0)
+    spread = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.rint(i * step).cast("long"))
+    spread = F.when(F.col("n") <= points, F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(spread)
+    ends = F.filter(F.array(F.lit(0).cast("long"), F.col("n") - 1, F.col("n") - 2), lambda p: p >= 0)
+    wanted = total.select("symbol", "n", F.explode(F.array_distinct(F.concat(spread, ends))).alias("place"), spread.alias("spread"))
+    # where each place lies: in the range that reaches up to it
+    there = wanted.join(base.select("symbol", "first", "upto", F.col("n").alias("held")), "symbol").filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("held")))
+    there = there.select("symbol", "n", "place", "spread", (F.col("first") + F.col("place") - (F.col("upto") - F.col("held"))).alias("at"))
+    got = ordered.select("at", "close").join(small(there), "at")
+    of = got.groupBy("symbol", "n").agg(F.map_from_entries(F.collect_list(F.struct("place", "close"))).alias("c"), F.first("spread").alias("spread"))  # points + 3 at most
+    last, first = F.element_at("c", F.col("n") - 1), F.element_at("c", F.lit(0).cast("long"))
+    daily = F.when(F.col("n") >= 2, (last / F.try_element_at("c", F.col("n") - 2) - 1) * 100).otherwise(0.0)
+    line = F.transform("spread", lambda p: py_round(F.element_at(F.col("c"), p), 2))
+    return of.select("symbol", F.col("n").cast("int").alias("n"), py_round(last, 2).alias("price"), py_round((last / first - 1) * 100, 1).alias("change_pct"), py_round(daily, 1).alias("change_pct_daily"), line.alias("spark"))
+
+
+def market_rows(charts: DataFrame, securities: DataFrame) -> DataFrame:
+    """symbol, kind, name, price, currency, change_pct, change_pct_daily, spark of ``securities`` (symbol, kind) by their charts(); the search index takes short histories and dividends too."""
+    known = charts.groupBy("symbol").agg(F.first("name").alias("raw_name"), F.first("price").alias("quoted"), F.first("currency").alias("currency"))
+    growth, index = market_metrics(charts), market_metrics(charts, C.SEARCH_HISTORY, False)
+    kinds = securities.select("symbol", "kind").distinct()
+    rows = growth.join(kinds.filter("kind <> 'search'"), "symbol").unionByName(index.join(kinds.filter("kind = 'search'"), "symbol"))
+    price = F.coalesce(py_round(F.col("quoted"), 2), F.col("price"))
+    return rows.join(known, "symbol").select("symbol", "kind", simplify_name(F.col("raw_name")).alias("name"), price.alias("price"), "currency", "change_pct", "change_pct_daily", "spark")
 
 
 def market_top(rows: DataFrame, top: int = C.MARKET_TOP) -> DataFrame:

@@ -14,7 +14,7 @@ from tidewire.plans import views as V
 from tidewire.plans.store import Store, by_second
 from tidewire.plans.views import AS_OF, as_of, with_views
 from tidewire.session import new_path, small, written
-from tidewire.sources import feeds
+from tidewire.sources import feeds, json_sources
 
 QUERIES, ORACLES = {}, {}
 _STOP = "[" + ",".join(f"'{w}'" for w in C.STOPWORDS) + "]"
@@ -99,7 +99,7 @@ def agency(spark, d):
 
 @query(
     "clean_text",
-    """WITH a AS (SELECT page_id, regexp_replace(substr(html, 1, 5000), '<[^>]+>', ' ', 'g') AS t FROM pages),
+    """WITH a AS (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS t FROM pages),
     b AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), chr(173), ''), '[\\s\\x{00A0}]+', ' ', 'g')) AS t FROM a)
     SELECT page_id, CASE WHEN length(t) > 600 THEN regexp_replace(substr(t, 1, 600), ' [^ ]*$', '') || '…' ELSE t END AS text FROM b""",
 )
@@ -137,16 +137,40 @@ def tile_url(spark, d):
     return i.select("id", X.tile_url(F.col("id"), F.concat(F.lit("Source "), "source_key"), F.col("topic")).alias("url"), (F.conv(F.substring("id", 1, 8), 16, 10).cast("long") % 4).cast("int").alias("palette"))
 
 
-@query("tile_svg")
+def _ring_sql(shift: int) -> str:
+    return f"""'<circle cx="' || ((seed >> {shift}) % 640) || '" cy="' || ((seed >> {shift + 3}) % 400) || '" r="' || ((seed >> {shift + 6}) % 90 + 60) || '"/>'"""
+
+
+@query(
+    "tile_svg",
+    f"""{with_views('v_item')}, t AS (SELECT id, source_key, topic, ('0x' || substr(id, 1, 8))::BIGINT AS seed FROM v_item),
+    p AS (SELECT *, [{', '.join(f"'{a}'" for a, _ in C.TILE_PALETTE)}][seed % {len(C.TILE_PALETTE)} + 1] AS ground, [{', '.join(f"'{b}'" for _, b in C.TILE_PALETTE)}][seed % {len(C.TILE_PALETTE)} + 1] AS tone FROM t)
+    SELECT id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 640 400"><title>' || source_key || '</title><path d="M0 0H640V400H0z" fill="' || ground || '"/><g fill="' || tone || '">' || {_ring_sql(0)} || {_ring_sql(5)} || {_ring_sql(10)}
+      || '</g><g font-family="sans-serif" fill="#444"><text x="24" y="40">' || topic || '</text><text x="24" y="376">' || source_key || '</text></g></svg>' AS svg FROM p""",
+)
 def tile_svg(spark, d):
     return V.items(spark, d).select("id", X.tile_svg(F.col("id"), F.col("source_key"), F.col("topic")).alias("svg"))
 
 
-@query("simplify_name", "SELECT p_partkey, p_brand AS name FROM part")
+_ENDINGS = [" Inc.", " Corp", " Corporation.", " AG", " UCITS ETF (Acc)", " Co", " plc PLC", " Ltd. (AAPL)", "", " Common Stock", " USD Acc  - X", " SE,", "Inc", " ETF"]
+
+
+def _plain_name(name: str) -> str:
+    """The patterns one after another; a closing look ahead becomes a group that is put back."""
+    for pattern in C.NAME_BOILERPLATE:
+        back = r"(\s|$)" in (own := pattern.replace(r"(?=\s|$)", r"(\s|$)").replace("(oration)?", "(?:oration)?"))
+        name = f"regexp_replace({name}, '{own}', '{chr(92) + '1' if back else ''}', 'g')"
+    return name
+
+
+@query(
+    "simplify_name",
+    f"""WITH n AS (SELECT p_partkey, p_brand || [{', '.join(f"'{e}'" for e in _ENDINGS)}][p_partkey % {len(_ENDINGS)} + 1] AS raw FROM part),
+    s AS (SELECT p_partkey, raw, trim(regexp_replace({_plain_name('raw')}, '\\s{{2,}}', ' ', 'g'), ' -,') AS short FROM n) SELECT p_partkey, CASE WHEN short = '' THEN raw ELSE short END AS name FROM s""",
+)
 def simplify_name(spark, d):
-    p = V.table(spark, d, "part")
-    tails = F.split(F.lit(" UCITS ETF (Acc)| Inc.| Corporation| AG (ABC)| Common Stock| Ltd.|"), r"\|")
-    return p.select("p_partkey", X.simplify_name(F.concat("p_brand", F.element_at(tails, (F.col("p_partkey") % 7 + 1).cast("int")))).alias("name"))
+    ending = F.element_at(F.array(*map(F.lit, _ENDINGS)), (F.col("p_partkey") % len(_ENDINGS) + 1).cast("int"))
+    return V.table(spark, d, "part").select("p_partkey", X.simplify_name(F.concat("p_brand", ending)).alias("name"))
 
 
 @query("parse_date", "SELECT event_id, CASE event_id % 4 WHEN 3 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS at FROM events")
@@ -384,9 +408,14 @@ def board_stats(spark, d):
     return board.stats(found, board.ranked(found), state)
 
 
-@query("board_digest")
+@query(
+    "board_digest",
+    f"""{_BOARD}, v_top AS (SELECT row_number() OVER (ORDER BY v_b.score DESC, published_at, id) AS nth, sha256(CAST(json_object('id', id, 'size', size, 'source_count', source_count, 'story', story, 'title', title, 'topic', topic) AS VARCHAR)) AS h
+      FROM v_b ORDER BY v_b.score DESC, published_at, id LIMIT 120) SELECT sha256(string_agg(h, '' ORDER BY nth)) AS digest FROM v_top""",
+)
 def board_digest(spark, d):
-    return board.digest(board.ranked(_board(spark, d)[0]).drop("others"))
+    top = board.ranked(_board(spark, d)[0])
+    return board.digest(top.select("id", "size", "source_count", "story", "title", "topic", "score", "published_at"), volatile=("score", "published_at"))
 
 
 @query("daily_brief_top", f"{_BOARD} SELECT id, title, source_name AS source, canonical_url AS url FROM v_b ORDER BY v_b.score DESC, published_at, id LIMIT 5")
@@ -461,13 +490,39 @@ def change_detect(spark, d):
     return merge.changed(V.raw(spark, d)).select("feed_url", "seq", "sha256")
 
 
+def _answers(spark, d):
+    """Responses of which some are 304 without validators or full ones without some of them."""
+    n, r = F.col("seq"), V.raw(spark, d)
+    unchanged = (F.col("status") == 200) & (n % 5 == 0)
+    return r.select(
+        "feed_url", "fetched_at", "seq", F.when(unchanged, 304).otherwise(F.col("status")).alias("status"), F.when(n % 5 != 0, F.col("etag")).alias("etag"),
+        F.when(n % 10 != 0, F.col("last_modified")).alias("last_modified"), F.when(~unchanged & (F.col("status") == 200), F.col("sha256")).alias("sha256"),
+    )
+
+
+_STATE = f"""{with_views('v_event', 'v_raw')},
+v_a AS (SELECT feed_url, fetched_at, seq, CASE WHEN status = 200 AND seq % 5 = 0 THEN 304 ELSE status END AS status, CASE WHEN seq % 5 <> 0 THEN etag END AS etag, CASE WHEN seq % 10 <> 0 THEN last_modified END AS last_modified,
+  CASE WHEN status = 200 AND seq % 5 <> 0 THEN sha256 END AS sha256 FROM v_raw),
+v_b AS (SELECT *, last_value(sha256 IGNORE NULLS) OVER (PARTITION BY feed_url ORDER BY fetched_at, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM v_a),
+v_c AS (SELECT *, sum(CASE WHEN status NOT IN (200, 304) OR (status = 200 AND sha256 IS DISTINCT FROM known) THEN 1 ELSE 0 END) OVER (PARTITION BY feed_url ORDER BY fetched_at, seq) AS run FROM v_b),
+v_d AS (SELECT *, max(run) OVER (PARTITION BY feed_url) AS last_run, row_number() OVER (PARTITION BY feed_url ORDER BY fetched_at, seq) AS n FROM v_c)"""
+
+
 @query(
     "feed_state",
-    f"""{with_views('v_event', 'v_raw')}, l AS (SELECT * FROM v_raw QUALIFY row_number() OVER (PARTITION BY feed_url ORDER BY fetched_at DESC, seq DESC) = 1)
-    SELECT feed_url, CASE WHEN status IN (200, 304) THEN etag END AS etag, CASE WHEN status IN (200, 304) THEN last_modified END AS last_modified, sha256, fetched_at, status FROM l""",
+    f"""{_STATE} SELECT feed_url, arg_max(etag, n) FILTER (run = last_run AND status IN (200, 304) AND etag IS NOT NULL) AS etag, arg_max(last_modified, n) FILTER (run = last_run AND status IN (200, 304) AND last_modified IS NOT NULL) AS last_modified,
+    arg_max(sha256, n) FILTER (sha256 IS NOT NULL) AS sha256, max(fetched_at) AS fetched_at, arg_max(status, n) AS status FROM v_d GROUP BY feed_url""",
 )
 def feed_state(spark, d):
-    return merge.feed_state(V.raw(spark, d))
+    return merge.feed_state(_answers(spark, d))
+
+
+@query("feed_requests", f"""{_STATE}, v_s AS (SELECT feed_url, arg_max(etag, n) FILTER (run = last_run AND status IN (200, 304) AND etag IS NOT NULL) AS etag FROM v_d GROUP BY feed_url) SELECT feed_url, etag FROM v_s""")
+def feed_requests(spark, d):
+    """The state kept in two steps, as a store does: what the earlier half left, moved on by the later one."""
+    every = _answers(spark, d)
+    early, late = every.filter("fetched_at < TIMESTAMP '2024-01-16'"), every.filter("fetched_at >= TIMESTAMP '2024-01-16'")
+    return merge.feed_state(late, written(merge.feed_state(early), "state")).select("feed_url", "etag")
 
 
 @query("feed_problems", f"{with_views('v_event', 'v_raw')}, l AS (SELECT * FROM v_raw QUALIFY row_number() OVER (PARTITION BY feed_url ORDER BY fetched_at DESC, seq DESC) = 1) SELECT feed_url, status FROM l WHERE status NOT IN (200, 304)")
@@ -511,20 +566,21 @@ v_df AS (SELECT term, count(*) AS df FROM v_h GROUP BY term)
 SELECT id, round(-sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / a))), 9) AS score FROM v_h JOIN v_df USING (term), v_avg GROUP BY id HAVING count(*) = 2""")
 def bm25_search(spark, d):
     i = V.items(spark, d)
-    return search.bm25(search.postings(i), i, 'Ther* "ON"').select("id", F.round("score", 9).alias("score"))
+    posts = written(search.postings(i), "postings")
+    return search.bm25(posts, search.figures(i, posts), 'Ther* "ON"').select("id", F.round("score", 9).alias("score"))
 
 
 @query("search_full", f"""{with_views('v_ev_state', 'v_state', 'v_source', 'v_item')},
 v_w AS (SELECT id, regexp_extract_all({_fold_sql('title')}, '[a-z0-9]+') AS t, regexp_extract_all({_fold_sql('teaser')}, '[a-z0-9]+') AS b FROM v_item),
 v_l AS (SELECT id, len(t) + len(b) AS d, t, b FROM v_w), v_avg AS (SELECT count(*) AS n, avg(d) AS a FROM v_l),
-v_q AS (SELECT unnest(['ther', 'on']) AS term), v_f AS (SELECT id, d, term, 2 * len(list_filter(t, lambda x: starts_with(x, term))) + len(list_filter(b, lambda x: starts_with(x, term))) AS f FROM v_l, v_q), v_h AS (SELECT * FROM v_f WHERE f > 0),
+v_q AS (SELECT unnest(['ther', 'on']) AS term), v_f AS (SELECT id, d, term, len(list_filter(t, lambda x: starts_with(x, term))) + len(list_filter(b, lambda x: starts_with(x, term))) AS f FROM v_l, v_q), v_h AS (SELECT * FROM v_f WHERE f > 0),
 v_df AS (SELECT term, count(*) AS df FROM v_h GROUP BY term),
 v_s AS (SELECT id, -sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / a))) AS score FROM v_h JOIN v_df USING (term), v_avg GROUP BY id HAVING count(*) = 2)
 SELECT id, title, name AS source, {_META} AS meta, read_at IS NOT NULL AS is_read, saved_at IS NOT NULL AS is_saved FROM v_s JOIN v_item USING (id) JOIN v_source ON key = source_key LEFT JOIN v_state ON item_id = id
 ORDER BY round(v_s.score, 9), published_at DESC, id LIMIT 60""")
 def search_full(spark, d):
     i = V.items(spark, d)
-    shown = search.found(i, V.sources(spark, d), merge.user_state(V.state_events(spark, d)), 'Ther* "ON"', posts=written(search.postings(i), "postings"))
+    shown = search.found(i, V.sources(spark, d), merge.user_state(V.state_events(spark, d)), 'Ther* "ON"', posts=written(search.ranged(search.postings(i)), "postings"))
     return shown.select("id", "title", "source", "meta", F.col("read").alias("is_read"), F.col("saved").alias("is_saved"))
 
 
@@ -585,6 +641,36 @@ def spark_downsample(spark, d):
     return _metrics(spark, d).select("symbol", F.array_join(F.transform("spark", lambda v: F.format_string("%.2f", v)), " ").alias("points"))
 
 
+@query("spark_line", f"""{_MARKET}, s AS (SELECT symbol, list_transform(CASE WHEN len(c) <= 24 THEN c ELSE list_transform(range(24), lambda i: c[round_even(i * ((len(c) - 1) / 23.0::DOUBLE), 0)::INT + 1]) END, lambda v: CAST(printf('%.2f', v) AS DOUBLE)) AS v FROM m),
+    b AS (SELECT *, list_min(v) AS low, coalesce(nullif(list_max(v) - list_min(v), 0), 1) AS span FROM s)
+    SELECT symbol, array_to_string(list_transform(range(len(v)), lambda i: printf('%.1f,%.1f', i / (len(v) - 1)::DOUBLE * 100.0::DOUBLE, 28.0::DOUBLE - (v[i + 1] - low) / span * 26.0::DOUBLE)), ' ') AS points FROM b""")
+def spark_line(spark, d):
+    return _metrics(spark, d).select("symbol", series.spark_line(F.col("spark")).alias("points"))
+
+
+@query("chart_source", f"""{with_views('v_event')} SELECT CAST(user_id AS VARCHAR) AS symbol, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, CASE WHEN k % 10 <> 0 THEN value END AS close, user_id % 4 = 0 AS pays,
+    CASE WHEN user_id % 3 = 0 THEN CAST(user_id AS VARCHAR) ELSE 'N' || user_id END AS name, CASE WHEN user_id % 2 = 0 THEN user_id + 0.5::DOUBLE END AS price, CASE WHEN user_id % 5 = 0 THEN '' ELSE 'EUR' END AS currency FROM v_event""")
+def chart_source(spark, d):
+    """Each user's values as an API's answer, read back."""
+    u = F.col("symbol").cast("long")
+    listed = V.closes(spark, d).groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "close"))), lambda x: x["close"]).alias("close"))
+    dividends = F.when(u % 4 == 0, F.create_map(F.lit("1"), F.struct(F.lit(0.5).alias("amount"))))
+    name = F.when(u % 3 == 0, "").otherwise(F.concat(F.lit("N"), "symbol"))
+    meta = F.struct(name.alias("shortName"), F.when(u % 2 == 0, u + 0.5).alias("regularMarketPrice"), F.when(u % 5 != 0, F.lit("EUR")).alias("currency"))
+    one = F.struct(meta.alias("meta"), F.struct(F.array(F.struct("close")).alias("quote")).alias("indicators"), F.struct(dividends.alias("dividends")).alias("events"))
+    body = F.to_json(F.struct(F.struct(F.array(one).alias("result")).alias("chart")))
+    return json_sources.charts(listed.select("symbol", body.alias("body"))).select("symbol", "seq", "close", "pays", "name", "price", "currency")
+
+
+@query("market_keep", f"{_MARKET} SELECT symbol, ['etf', 'stock', 'search'][CAST(symbol AS INT) % 3 + 1] AS kind, price FROM m")
+def market_keep(spark, d):
+    """No news of any kind: all stays as it was."""
+    old = _metrics(spark, d).select("symbol", F.element_at(F.array(*map(F.lit, ("etf", "stock", "search"))), (F.col("symbol").cast("int") % 3 + 1).cast("int")).alias("kind"), "price")
+    store = Store(spark, new_path(spark, "store"))
+    engine.save_markets(store, old)
+    return engine.save_markets(store, old.filter("price IS NULL"))
+
+
 @query("market_top", f"{_MARKET}, t AS (SELECT *, CASE WHEN CAST(symbol AS INT) % 2 = 0 THEN 'etf' ELSE 'stock' END AS kind FROM m) SELECT kind, symbol, change_pct, row_number() OVER (PARTITION BY kind ORDER BY change_pct DESC, symbol) AS nth FROM t QUALIFY nth <= 5")
 def market_top(spark, d):
     rows = _metrics(spark, d).withColumn("kind", F.when(F.col("symbol").cast("int") % 2 == 0, "etf").otherwise("stock"))
@@ -642,6 +728,56 @@ def weather_strip(spark, d):
     return series.weather_strip(V.hours(spark, d), F.lit("2024-01-15 12:34:00").cast("timestamp")).drop("icon")
 
 
+def _forecast(spark, d):
+    """The hours of all cities as one answer of an API, and the cities in its order; one city's has no precipitation."""
+    hours = V.hours(spark, d)
+    cities = sorted(r[0] for r in hours.select("city").distinct().collect())  # a handful
+    listed = hours.groupBy("city").agg(F.array_sort(F.collect_list(F.struct("hour", "code", "temp", "precip"))).alias("h"))
+    of = lambda c: F.transform("h", lambda x: x[c])
+    hourly = F.struct(F.transform("h", lambda x: F.date_format(x["hour"], "yyyy-MM-dd'T'HH:mm")).alias("time"), of("code").alias("weather_code"), of("temp").alias("temperature_2m"), F.when(F.col("city") != "click", of("precip")).alias("precipitation"))
+    bodies = listed.select("city", F.to_json(F.struct(hourly.alias("hourly"))).alias("body"))
+    whole = bodies.agg(F.array_sort(F.collect_list(F.struct("city", "body"))).alias("all")).select(F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["body"]), ","), F.lit("]")).alias("body"))
+    return json_sources.forecast_hours(json_sources.forecast_blocks(whole, cities)), cities
+
+
+@query("forecast_source", f"{with_views('v_event', 'v_hour')} SELECT city, hour, code, temp, CASE WHEN city = 'click' THEN 0 ELSE precip END AS precip FROM v_hour")
+def forecast_source(spark, d):
+    return _forecast(spark, d)[0].select("city", F.col("hour").cast("timestamp").alias("hour"), "code", "temp", "precip")
+
+
+@query(
+    "weather_payload",
+    f"""{with_views('v_event', 'v_hour')}, h AS (SELECT *, CAST(hour AS DATE) AS day, CASE {_DESCRIBE} ELSE 'wechselhaft' END AS label FROM v_hour),
+    g AS (SELECT city, day, max(temp) AS hi, min(temp) AS lo, min(code) AS code, strftime(first(hour ORDER BY temp DESC, hour), '%H:%M') AS hot_hour, strftime(first(hour ORDER BY temp, hour), '%H:%M') AS cold_hour, string_agg(strftime(hour, '%H:%M') || ' ' || label, '|' ORDER BY hour) AS strip FROM h GROUP BY ALL)
+    SELECT city, day, CASE WHEN day = DATE '2024-01-15' THEN 'HEUTE' ELSE ['MO','DI','MI','DO','FR','SA','SO'][isodow(day)] END AS name, CASE {_DESCRIBE} ELSE 'wechselhaft' END AS label, round_even(hi, 0) AS hi, round_even(lo, 0) AS lo, hot_hour, cold_hour, strip FROM g""",
+)
+def weather_payload(spark, d):
+    hours = V.hours(spark, d)
+    days = hours.groupBy("city", F.to_date("hour").alias("day")).agg(F.max("temp").alias("hi"), F.min("temp").alias("lo"), F.min("code").alias("code")).withColumns({"sunrise": F.lit("07:00"), "sunset": F.lit("17:00")})
+    cities = sorted(r[0] for r in hours.select("city").distinct().collect())  # a handful
+    out = None
+    for city in cities:
+        one = series.weather_payload(days, hours, city, cities, F.lit("2024-01-15 12:34:00").cast("timestamp")).withColumn("city", F.lit(city))
+        out = one if out is None else out.unionByName(one)
+    return out.select("city", "day", "name", "label", "hi", "lo", "hot_hour", "cold_hour", F.array_join(F.transform("strip", lambda x: F.concat(x["hour"], F.lit(" "), x["label"])), "|").alias("strip"))
+
+
+@query(
+    "brief_payload",
+    f"""{_BOARD}, {_MARKET.partition(', c AS')[0].removeprefix("WITH RECURSIVE ")}, c AS{_MARKET.partition(', c AS')[2]},
+    v_top AS (SELECT id, row_number() OVER (ORDER BY v_b.score DESC, published_at, id) AS n FROM v_b ORDER BY n LIMIT 5),
+    v_pool AS (SELECT *, row_number() OVER (PARTITION BY CAST(symbol AS INT) % 2 ORDER BY -change_pct, symbol) AS nth FROM m QUALIFY nth <= 5)
+    SELECT (SELECT string_agg(id, '|' ORDER BY n) FROM v_top) AS top5, (SELECT n_name FROM nation WHERE n_nationkey = 31 % (SELECT count(*) FROM nation)) AS fact,
+      (SELECT symbol FROM v_pool ORDER BY change_pct DESC, nth + CASE WHEN CAST(symbol AS INT) % 2 = 1 THEN 1000000 ELSE 0 END LIMIT 1) AS best, (SELECT max(change_pct) FROM v_pool) AS change""",
+)
+def brief_payload(spark, d):
+    facts = V.table(spark, d, "nation").select(F.col("n_nationkey").alias("nth"), F.col("n_name").alias("title"), F.col("n_regionkey").cast("string").alias("text"))
+    market = _metrics(spark, d).withColumn("kind", F.when(F.col("symbol").cast("int") % 2 == 0, "etf").otherwise("stock"))
+    whole = series.brief_payload(series.brief_top(board.ranked(_board(spark, d)[0])), facts, market, as_of())
+    got = F.from_json("json", "fact struct<title:string>, financeStat struct<symbol:string, change:double>, top5 array<struct<id:string>>")
+    return whole.select(got.alias("j")).select(F.array_join(F.transform("j.top5", lambda x: x["id"]), "|").alias("top5"), F.col("j.fact.title").alias("fact"), F.col("j.financeStat.symbol").alias("best"), F.col("j.financeStat.change").alias("change"))
+
+
 @query("weekday_label", f"""SELECT event_id, CASE WHEN CAST(ts AS DATE) = DATE '2024-01-15' THEN 'HEUTE' ELSE ['MO','DI','MI','DO','FR','SA','SO'][isodow(ts)] END AS label FROM events""")
 def weekday_label(spark, d):
     return V.table(spark, d, "events").select("event_id", N.weekday_label(F.to_date("ts"), F.lit("2024-01-15").cast("date")).alias("label"))
@@ -652,17 +788,22 @@ def stale_feeds(spark, d):
     return series.stale(V.raw(spark, d), "feed_url", as_of(), C.MARKET_TTL_MINUTES).withColumn("age", F.round("age", 6))
 
 
-@query("feed_scan")
+_CANONICAL = ORACLES["canonical_url"].rpartition("SELECT page_id, base")[0]
+
+
+@query(
+    "feed_scan",
+    f"""{_CANONICAL}, u AS (SELECT page_id, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url FROM c)
+    SELECT substr(sha256(url), 1, 32) AS id, url AS canonical_url, 'Seite & ' || max(page_id) AS title, 's' || arg_min(page_id % 5, page_id) AS source_key, min(page_id % 5)::INT AS feed_rank, {_TOPICS}[min(page_id % 5) + 1] AS topic, TIMESTAMP '2024-01-30 10:00:00' AS published_at FROM u GROUP BY url""",
+)
 def feed_scan(spark, d):
-    """Pages wrapped as one RSS entry each, scanned and folded into items."""
+    """Pages wrapped as one RSS entry each, fetched one a second, scanned and folded into items."""
     p = V.table(spark, d, "pages")
-    body = F.concat(F.lit("<rss><channel><item><title>Seite "), F.col("page_id"), F.lit("</title><link>"), X.escape_xml(F.col("url")), F.lit("</link><pubDate>Tue, 30 Jan 2024 10:00:00 GMT</pubDate></item></channel></rss>"))
-    raw = p.select(F.concat(F.lit("f"), F.col("page_id") % 5).alias("feed_url"), as_of().alias("fetched_at"), F.lit(200).alias("status"), F.encode(body, "utf-8").alias("body"))
+    body = F.concat(F.lit("<rss><channel><item><title>Seite &amp;amp; "), F.col("page_id"), F.lit("</title><link>"), X.escape_xml(F.col("url")), F.lit("</link><pubDate>Tue, 30 Jan 2024 10:00:00 GMT</pubDate></item></channel></rss>"))
+    at = F.timestamp_micros(F.unix_micros(as_of()) + F.col("page_id") * 1_000_000)
+    raw = p.select(F.concat(F.lit("f"), F.col("page_id") % 5).alias("feed_url"), at.alias("fetched_at"), F.lit(200).alias("status"), F.encode(body, "utf-8").alias("body"))
     known = spark.createDataFrame([(f"f{i}", f"s{i}", "de", C.TOPICS[i], i) for i in range(5)], "feed_url string, source_key string, lang string, topic string, feed_rank int")
-    return merge.merge_items(feeds.observations(raw, known))
-
-
-_CANONICAL = ORACLES["canonical_url"].rpartition("SELECT page_id, base")[0]
+    return merge.merge_items(feeds.observations(raw, known)).select("id", "canonical_url", "title", "source_key", "feed_rank", "topic", "published_at")
 
 
 @query(
@@ -673,7 +814,7 @@ _CANONICAL = ORACLES["canonical_url"].rpartition("SELECT page_id, base")[0]
 def refresh_items(spark, d):
     """The whole engine: pages as one feed each are logged, folded, given images, clustered, and read back from the store."""
     p = V.table(spark, d, "pages")
-    store = Store(spark, new_path(spark, "store"))
+    store = engine.open_store(spark, new_path(spark, "store"))
     n = F.col("page_id")
     url = F.concat(F.lit("https://feeds/"), n)
     sources = p.select(F.concat(F.lit("s"), n).alias("key"), F.concat(F.lit("S"), n).alias("name"), (n % 3 + 1).cast("int").alias("tier"), F.lit("de").alias("lang"), F.lit(True).alias("no_scrape"))
@@ -683,4 +824,4 @@ def refresh_items(spark, d):
     none = F.lit(None).cast("string")
     fetched = p.select(url.alias("feed_url"), as_of().alias("fetched_at"), F.lit(200).alias("status"), none.alias("etag"), none.alias("last_modified"), F.sha2(body, 256).alias("sha256"), F.encode(body, "utf-8").alias("body"))
     engine.refresh(store, fetched, as_of())
-    return store.read("item", engine.ITEM).select("id", F.col("canonical_url").alias("url"), "title", "feed_rank", "topic", "image_kind", "published_at")
+    return engine.stored(store, "item").select("id", F.col("canonical_url").alias("url"), "title", "feed_rank", "topic", "image_kind", "published_at")

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import html
 import re
+import time
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from hashlib import sha256
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidewire import constants as C
 from tidewire.functions import text as X
@@ -24,8 +25,7 @@ from tidewire.sources.http import PoliteReader
 RAW = "feed_url string, fetched_at timestamp, status int, etag string, last_modified string, sha256 string, body binary"
 ENTRY = "feed_url string, fetched_at timestamp, position int, title string, link string, guid string, teaser string, date string, categories array<string>, author string, images array<struct<width:int,url:string>>"
 
-_IMG = re.compile(r"""<img[^>]+src=["']([^"']+)["']""", re.I)
-_SRCSET = re.compile(r"""srcset=["']([^"']+)["']""", re.I)
+_IMG, _SRCSET = (re.compile(p, re.I) for p in (C.IMAGE_TAG, C.IMAGE_SET))
 _EXTENSION = re.compile(C.IMAGE_EXTENSION)
 
 
@@ -106,16 +106,22 @@ def entries_of(body: bytes) -> list[dict]:
     return out
 
 
+_IMAGES = pa.list_(pa.struct([("width", pa.int32()), ("url", pa.string())]))
+_FIELDS = {"position": pa.int32(), "title": pa.string(), "link": pa.string(), "guid": pa.string(), "teaser": pa.string(), "date": pa.string(), "categories": pa.list_(pa.string()), "author": pa.string(), "images": _IMAGES}
+
+
 def scan(raw: DataFrame) -> DataFrame:
     """Entries of raw responses (feed_url, fetched_at, body), texts still as in the feed."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in ENTRY.split(", ")]
-        for frame in frames:
-            rows = [{"feed_url": f, "fetched_at": t, **e} for f, t, b in zip(frame["feed_url"], frame["fetched_at"], frame["body"], strict=True) for e in entries_of(b)]
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, body in enumerate(batch.column("body")):
+                found = entries_of(body.as_py())
+                if found:  # a feed's entries at a time, so that memory is bounded by one response
+                    same = [batch.column(c).slice(i, 1).take(pa.array([0] * len(found))) for c in ("feed_url", "fetched_at")]
+                    yield pa.RecordBatch.from_arrays([*same, *(pa.array([e[k] for e in found], t) for k, t in _FIELDS.items())], names=["feed_url", "fetched_at", *_FIELDS])
 
-    return raw.filter((F.col("status") == 200) & (F.octet_length("body") > 0)).select("feed_url", "fetched_at", "body").mapInPandas(run, ENTRY)
+    return raw.filter((F.col("status") == 200) & (F.octet_length("body") > 0)).select("feed_url", "fetched_at", "body").mapInArrow(run, ENTRY)
 
 
 def best_image(images: Column) -> Column:
@@ -135,7 +141,7 @@ def feed_registry(sources: DataFrame) -> DataFrame:
 
 def observations(raw: DataFrame, feeds: DataFrame, entities=X.unescape) -> DataFrame:
     """What merge_items() folds: one row for each entry of each response of a known feed."""
-    e = scan(raw).join(small(feeds), "feed_url")
+    e = ranked(scan(raw).join(small(feeds.drop("feed_rank")), "feed_url"), feeds)
     clean = lambda c, n: X.clean_text(F.col(c), n, entities)
     out = e.withColumn("title", clean("title", 300)).withColumn("teaser", clean("teaser", 600)).withColumn("author", clean("author", 80)).withColumn("canonical_url", X.canonical_url(F.col("link")))
     out = out.filter((F.col("title") != "") & (F.col("canonical_url") != "")).withColumn("dated", parse_date(F.col("date"))).withColumn("image_url", best_image(F.col("images")))
@@ -154,10 +160,10 @@ def flags(known_sha: Column) -> dict[str, Column]:
 
 def ranked(observed: DataFrame, feeds: DataFrame) -> DataFrame:
     """``observed`` (feed_url, ...) with the feed's place in the registry; a feed that isn't in it comes last, at UNKNOWN_RANK."""
-    return observed.join(small(feeds.select("feed_url", "feed_rank")), "feed_url", "left").withColumn("feed_rank", F.coalesce("feed_rank", F.lit(C.UNKNOWN_RANK)))
+    return observed.join(small(feeds.select("feed_url", "feed_rank")), "feed_url", "left").withColumn("feed_rank", F.coalesce("feed_rank", F.lit(C.UNKNOWN_RANK)).cast("int"))
 
 
-class _FeedReader(PoliteReader):
+class FeedReader(PoliteReader):
     def answer(self, url: str, etag: str = "", modified: str = "") -> tuple:
         head = ({"If-None-Match": etag} if etag else {}) | ({"If-Modified-Since": modified} if modified else {})
         status, body, got = self.request(url, head)
@@ -165,8 +171,37 @@ class _FeedReader(PoliteReader):
         return url, now, status, got.get("ETag"), got.get("Last-Modified"), sha256(body).hexdigest() if body else None, body
 
 
+class FeedStream(DataSourceStreamReader):
+    """The feeds asked once a poll; an offset is the number of the clock's slot of ``every`` seconds.
+
+    Slots that pass while no batch runs are one poll, as a feed only tells its present state. A batch that is run again
+    asks again, so a sink should overwrite its own part.
+    """
+
+    def __init__(self, options: dict):
+        self.reader, self.every = FeedReader(options), float(options.get("every", 1800))
+
+    def initialOffset(self) -> dict:
+        return {"poll": -1}
+
+    def latestOffset(self) -> dict:
+        return {"poll": int(time.time() // self.every)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.reader.partitions() if end["poll"] > start["poll"] else []
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return self.reader.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class FeedSource(DataSource):
-    """``spark.read.format("tidewire_feeds").option("requests", "url<TAB>etag<TAB>last-modified lines")``: conditional requests, politely."""
+    """``format("tidewire_feeds").option("requests", "url<TAB>etag<TAB>last-modified lines")``: conditional requests, politely; as a stream one poll each ``every`` seconds.
+
+    For the requests that a store's feeds need see engine.fetch_feeds.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -176,4 +211,7 @@ class FeedSource(DataSource):
         return RAW
 
     def reader(self, schema) -> DataSourceReader:
-        return _FeedReader(self.options)
+        return FeedReader(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return FeedStream(self.options)

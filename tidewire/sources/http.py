@@ -1,4 +1,4 @@
-"""Requests over HTTP as Python data sources: a task for each host, a pause between its requests, few retries."""
+"""Requests over HTTP: tables of requests (ask), and Python data sources for a few of them. A host is asked by one task, with pauses and few retries."""
 
 from __future__ import annotations
 
@@ -8,7 +8,43 @@ import urllib.request
 from collections.abc import Iterator
 from urllib.parse import urlencode, urlsplit
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window as W
+
+#: Partitions that hosts are packed into.
+HOST_PARTS = 64
+PAGE, JSON = "canonical_url string, html string", "key string, body string"
+_KINDS = {"string": pa.string(), "int": pa.int32(), "timestamp": pa.timestamp("us", "UTC"), "binary": pa.binary()}
+
+
+def ask(requests: DataFrame, reader: type[PoliteReader], schema: str, parts: int = HOST_PARTS, **options) -> DataFrame:
+    """The answers to a table of requests: the URL first, then what ``reader.answer`` takes; null URLs are not asked.
+
+    A host's requests are in one task, which takes turns between its hosts and waits only where one was asked less than
+    ``delay`` seconds ago. Asking happens whenever the result is evaluated: write it once and read that. A task that is
+    run again, after a lost executor, asks again.
+    """
+    columns = requests.columns
+    url, set_ = F.col(f"`{columns[0]}`"), {k: str(v) for k, v in options.items()}
+    host = F.lower(F.regexp_extract(url, "^[^:]*://([^/?#]*)", 1))
+    dealt = requests.filter(url.isNotNull()).withColumn("__host", host).repartition(parts, "__host")
+    turns = dealt.withColumn("__turn", F.row_number().over(W.partitionBy("__host").orderBy(*columns))).sortWithinPartitions("__turn", "__host")
+    fields = [x.split() for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = reader(set_), {}
+        for batch in batches:
+            for at, *row in zip(batch.column("__host").to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
+                if at in last:
+                    time.sleep(max(0.0, last[at] + own.delay - time.monotonic()))
+                last[at] = time.monotonic()
+                got = own.answer(*("" if x is None else x for x in row))
+                yield pa.RecordBatch.from_arrays([pa.array([x], _KINDS[k]) for x, (_, k) in zip(got, fields, strict=True)], names=[n for n, _ in fields])
+
+    return turns.select("__host", *(F.col(f"`{c}`").cast("string").alias(c) for c in columns)).mapInArrow(run, schema)
 
 
 class HostPart(InputPartition):
@@ -57,7 +93,7 @@ class PoliteReader(DataSourceReader):
         return status, body, got
 
 
-class _PageReader(PoliteReader):
+class PageReader(PoliteReader):
     def __init__(self, options: dict):
         super().__init__({"max_bytes": 250_000, "agent": "Mozilla/5.0 (compatible; tidewire)", **options})
 
@@ -78,15 +114,15 @@ class PageSource(DataSource):
         return "tidewire_pages"
 
     def schema(self) -> str:
-        return "canonical_url string, html string"
+        return PAGE
 
     def reader(self, schema) -> DataSourceReader:
-        return _PageReader(self.options)
+        return PageReader(self.options)
 
 
-class _JsonReader(PoliteReader):
+class JsonReader(PoliteReader):
     def answer(self, url: str, key: str = "", *parameters: str) -> tuple:
-        query = urlencode([tuple(p.split("=", 1)) for p in parameters if "=" in p])
+        query = urlencode([tuple(p.split("=", 1)) for line in parameters for p in line.split("\t") if "=" in p])
         status, body, _ = self.request(url + ("?" + query if query else ""), {"Accept": "application/json"})
         return key or url, body.decode("utf-8", "replace") if status == 200 else None
 
@@ -102,15 +138,16 @@ class JsonSource(DataSource):
         return "tidewire_json"
 
     def schema(self) -> str:
-        return "key string, body string"
+        return JSON
 
     def reader(self, schema) -> DataSourceReader:
-        return _JsonReader(self.options)
+        return JsonReader(self.options)
 
 
 def register(spark) -> None:
     """All of this package's data sources."""
     from tidewire.sources.feeds import FeedSource
+    from tidewire.sources.files import DocumentSink, FilesSink
 
-    for source in (FeedSource, PageSource, JsonSource):
+    for source in (FeedSource, PageSource, JsonSource, FilesSink, DocumentSink):
         spark.dataSource.register(source)

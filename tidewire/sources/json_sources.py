@@ -18,25 +18,36 @@ def charts(responses: DataFrame) -> DataFrame:
     one = responses.select("symbol", r.alias("r")).filter(F.col("r").isNotNull())
     closes = F.try_element_at(F.col("r.indicators.quote"), F.lit(1))["close"]
     pays = F.coalesce(F.size(F.map_keys("r.events.dividends")), F.lit(0)) > 0
-    return one.select("symbol", pays.alias("pays"), F.coalesce("r.meta.shortName", "r.meta.longName", "symbol").alias("name"), F.col("r.meta.regularMarketPrice").alias("price"), F.coalesce("r.meta.currency", F.lit("")).alias("currency"), F.posexplode(F.coalesce(closes, F.array().cast("array<double>"))).alias("seq", "close"))
+    return one.select("symbol", pays.alias("pays"), F.coalesce(F.nullif("r.meta.shortName", F.lit("")), F.nullif("r.meta.longName", F.lit("")), "symbol").alias("name"), F.col("r.meta.regularMarketPrice").alias("price"), F.coalesce("r.meta.currency", F.lit("")).alias("currency"), F.posexplode(F.coalesce(closes, F.array().cast("array<double>"))).alias("seq", "close"))
 
 
-def _zipped(of: str, fields: list[str]):
-    """Parallel arrays as structs, as many as the shortest has."""
-    arrays = [F.coalesce(F.col(f"f.{of}.{x}"), F.array().cast("array<string>")) if x in ("time", "sunrise", "sunset") else F.col(f"f.{of}.{x}") for x in fields]
-    n = F.least(*(F.coalesce(F.size(a), F.lit(0)) for a in arrays))
-    return F.slice(F.arrays_zip(*(a.alias(x) for a, x in zip(arrays, fields, strict=True))), F.lit(1), F.greatest(n, F.lit(0)))
+def _zipped(of: str, fields: dict[str, object]):
+    """Parallel arrays as structs, as many as the shortest has; one that is missing or empty is made of its default, if it has one."""
+    kind = {"time": "string", "sunrise": "string", "sunset": "string", "weather_code": "int"}
+    times = F.col(f"f.{of}.time")
+    arrays = []
+    for name, default in fields.items():
+        own = F.coalesce(F.col(f"f.{of}.{name}"), F.array().cast(f"array<{kind.get(name, 'double')}>"))
+        arrays.append(own if default is None else F.when(F.size(own) == 0, F.array_repeat(F.lit(default), F.greatest(F.size(times), F.lit(0)))).otherwise(own))
+    n = F.least(*map(F.size, arrays))
+    return F.slice(F.arrays_zip(*(a.alias(x) for a, x in zip(arrays, fields, strict=True))), F.lit(1), n)
+
+
+def forecast_blocks(answers: DataFrame, cities: list[str]) -> DataFrame:
+    """city, body from one answer (body) for all ``cities``: an array in their order, or an only object."""
+    listed = F.when(F.ltrim("body").startswith("["), F.col("body")).otherwise(F.concat(F.lit("["), "body", F.lit("]")))
+    return answers.select(F.posexplode(F.from_json(listed, "array<string>")).alias("pos", "body")).select(F.try_element_at(F.array(*map(F.lit, cities)), F.col("pos") + 1).alias("city"), "body").filter("city IS NOT NULL")
 
 
 def forecast_days(responses: DataFrame) -> DataFrame:
     """city, day, code, hi, lo, sunrise, sunset from (city, body)."""
-    z = _zipped("daily", ["time", "weather_code", "temperature_2m_max", "temperature_2m_min", "sunrise", "sunset"])
+    z = _zipped("daily", {"time": None, "weather_code": None, "temperature_2m_max": None, "temperature_2m_min": None, "sunrise": "", "sunset": ""})
     one = responses.select("city", F.from_json("body", FORECAST).alias("f")).select("city", F.explode(z).alias("z"))
     return one.select("city", F.to_date("z.time").alias("day"), F.col("z.weather_code").alias("code"), F.col("z.temperature_2m_max").alias("hi"), F.col("z.temperature_2m_min").alias("lo"), F.substring("z.sunrise", 12, 5).alias("sunrise"), F.substring("z.sunset", 12, 5).alias("sunset"))
 
 
 def forecast_hours(responses: DataFrame) -> DataFrame:
     """city, hour (local wall time), code, temp, precip from (city, body)."""
-    z = _zipped("hourly", ["time", "weather_code", "temperature_2m", "precipitation"])
+    z = _zipped("hourly", {"time": None, "weather_code": None, "temperature_2m": None, "precipitation": 0.0})
     one = responses.select("city", F.from_json("body", FORECAST).alias("f")).select("city", F.explode(z).alias("z"))
     return one.select("city", F.to_timestamp_ntz("z.time", F.lit("yyyy-MM-dd'T'HH:mm")).alias("hour"), F.col("z.weather_code").alias("code"), F.col("z.temperature_2m").alias("temp"), F.coalesce("z.precipitation", F.lit(0.0)).alias("precip"))
