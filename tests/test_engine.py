@@ -308,7 +308,7 @@ def test_old_days_of_the_log_go_as_folders(spark, tmp_path):
     engine.rebuild(store, at(10))
     assert {r.title for r in engine.stored(store, "item").collect()} == {"Alter Bericht aus dem Archiv der Stadt", "Bericht vom Tag 9 aus der Stadt"}
     store.append("raw", answers(20, ("fa", old, 200)).withColumn("day", F.lit("2024-02-20")), by="day")
-    assert engine.prune(store, at(20)) == ["day=2024-02-09"] and {r.feed_url for r in store.read("kept", engine.RAW).collect()} == {"fb"}
+    assert engine.prune(store, at(20)) == ["2024-02-09"] and {r.feed_url for r in store.read("kept", engine.RAW).collect()} == {"fb"}
 
 
 def test_older_markets_get_their_kind(spark, tmp_path):
@@ -418,6 +418,18 @@ def test_polls_are_a_stream(spark, server, tmp_path):
     assert len(Answers.seen) == 4 and sorted(r.feed_url[-3:] for r in got) == ["/f1", "/f1", "/f2", "/f2"] and {r.status for r in got} == {200}
 
 
+def test_ticks_refresh_a_store(spark, server, tmp_path):
+    """Polls by the clock: each tick asks all feeds with what the store knows, until the stream is stopped."""
+    store = registry(spark, tmp_path / "s", server, [("a", "/fa", True)])
+    Answers.served["/fa"] = (200, {"ETag": "e1"}, rss(("1", "Neue Brücke im Norden eröffnet gestern", 10)))
+    stream = ingest.poll(store, f"file://{tmp_path}/ticks", every="1 second", **QUICK)
+    until = time.monotonic() + 120
+    while store.finished() < 0 and stream.exception() is None and time.monotonic() < until:
+        time.sleep(0.5)
+    stream.stop()
+    assert stream.exception() is None and engine.stored(store, "item").count() == 1 and Answers.seen[0][3] is None
+
+
 def test_feeds_state_in_a_stream(spark, tmp_path):
     """A, B, A are three changes, over batches and restarts; changes and states equal those of the batch folds."""
     state.use_state_store(spark)

@@ -146,6 +146,30 @@ def test_market_history_and_dividends(spark):
     assert len(got) == 1 and (got[0].n, got[0].price, got[0].change_pct, got[0].change_pct_daily) == (5, 14.0, 40.0, 7.7)
 
 
+def test_long_series_are_not_held(spark):
+    """Places of long and short series over many ranges: the same as by lists, and no list of a series in the plan."""
+    from tidewire.operators.series import market_metrics
+
+    random.seed(2)
+    sizes = {"a": 20_000, "b": 23, "c": 24, "d": 25, "e": 2, "f": 1, "g": 600}
+    closes = {s: [round(random.uniform(1, 500), 3) for _ in range(n)] for s, n in sizes.items()}
+    rows = [(s, i, c, False) for s, own in closes.items() for i, c in enumerate(own)] + [(s, 100_000 + i, None, False) for s in sizes for i in range(2)] + [("h", 0, None, False)]
+    df = spark.createDataFrame(rows, "symbol string, seq int, close double, pays boolean").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", 11)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {r.symbol: r for r in market_metrics(df, 1).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == set(sizes)
+    for s, own in closes.items():
+        n = len(own)
+        line = own if n <= 24 else [own[round(i * (n - 1) / 23)] for i in range(24)]
+        want = (n, round(own[-1], 2), round((own[-1] / own[0] - 1) * 100, 1), round((own[-1] / own[-2] - 1) * 100, 1) if n > 1 else 0.0, [round(v, 2) for v in line])
+        assert (got[s].n, got[s].price, got[s].change_pct, got[s].change_pct_daily, got[s].spark) == want
+
+
 RSS = b"""\xef\xbb\xbf<?xml version="1.0"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>
 <item><title>Ohne Link</title></item>
 <item><title>Eins &amp;amp; zwei</title><link>http://www.x.org/1?utm_a=b</link><description>dpa meldet</description><pubDate>Tue, 30 Jan 2024 10:00:00 GMT</pubDate><category>Wirtschaft</category><enclosure type="image/jpeg" url="https://x/a.jpg"/></item>
