@@ -47,9 +47,8 @@ def test_refresh_then_rebuild_then_export(spark, store, tmp_path):
     assert len(items) == 3 and {r.image_kind for r in items.values()} == {"tile"}
     before = sorted(map(tuple, engine.found(store, as_of()).select("id", "story", "size", "source_count", F.round("score", 9)).collect()))
     assert [x[2:4] for x in sorted(before, key=lambda x: -x[2])] == [(2, 2), (1, 1)]
-    for _ in range(2):  # once more gives the same
-        engine.rebuild(store, as_of())
-        assert sorted(map(tuple, engine.found(store, as_of()).select("id", "story", "size", "source_count", F.round("score", 9)).collect())) == before
+    engine.rebuild(store, as_of())  # once more gives the same
+    assert sorted(map(tuple, engine.found(store, as_of()).select("id", "story", "size", "source_count", F.round("score", 9)).collect())) == before
     assert [r.title for r in engine.search_items(store, "BRÜCK").collect()] == ["Neue Brücke im Norden eröffnet gestern"]
     assert engine.search_items(store, " ").count() == 0
     store.append("state", spark.createDataFrame([(next(i for i, r in items.items() if "Brücke" in r.title), "saved", True, datetime(2024, 1, 30), 1, 0)], engine.STATE))
@@ -270,7 +269,7 @@ def test_index_segments(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(engine, "MOST_SEGMENTS", 2)
     store = registry(spark, tmp_path, "", [("a", "fa", True)])
     sizes = []
-    for n in range(4):
+    for n in range(3):
         engine.refresh(store, batch_of(spark, "fa", n, *many(0, 30 + 4 * n, f"Bericht{n // 2}"), ("x", f"Hafen Stand {n}", 4)), as_of())
         sizes.append(len(store.segments("posting")))
         items = engine.stored(store, "item")
