@@ -8,6 +8,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.llm import digest, filter_audit, hard_negatives
 
@@ -81,6 +82,13 @@ def test_audit_of_empty_tables(docs, labels):
     assert bare.count() > 0 and bare.filter("good_lost + toxic_lost > 0").isEmpty()
 
 
+def test_audit_of_very_long_texts(spark):
+    """Counts whose hundredfold 32 bits don't hold."""
+    some = spark.range(2).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.when(F.col("id") == 0, F.expr("concat('a ', repeat('A', 22000000))")).otherwise("a a").alias("text"))
+    got = filter_audit.mask_counts(some, spark.createDataFrame([], "doc_id long, quality int, toxic int")).filter("n > 0")
+    assert sorted(tuple(r) for r in got.collect()) == [("en", 1 | 2, 1, 0, 0), ("en", 1 | 4, 1, 0, 0)]
+
+
 def test_removal_polynomial():
     counts = [random.randint(0, 9) for _ in range(32)]
     p = filter_audit.removal_polynomial(counts)

@@ -31,11 +31,11 @@ AUDIT = "part string, filter_order string, step int, kept long, removed long, re
 
 def text_mask(text: Column, words: Column) -> Column:
     """Which of the filters A to D a text fails, a bit each; ``words``: its words as an array."""
-    n = F.size(words)
+    n = F.size(words).cast("long")  # 100 times a long text's counts go beyond 32 bits
     fails = [
         n < LEAST_WORDS,
-        100 * F.size(F.array_distinct(words)) < LEAST_VARIETY * n,
-        100 * F.regexp_count(text, F.lit("[A-Z]")) > MOST_CAPITALS * F.length(text),
+        100 * F.size(F.array_distinct(words)).cast("long") < LEAST_VARIETY * n,
+        100 * F.regexp_count(text, F.lit("[A-Z]")).cast("long") > MOST_CAPITALS * F.length(text).cast("long"),
         text.rlike(SIGNS),
     ]
     return sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(fails)), F.lit(0))
