@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidewire import constants as C
+from tidewire.functions import numeric as N
 from tidewire.functions import text as X
 from tidewire.operators import board, cluster, merge, search, series
 from tidewire.sources import feeds, json_sources
@@ -170,6 +171,22 @@ def test_long_series_are_not_held(spark):
         assert (got[s].n, got[s].price, got[s].change_pct, got[s].change_pct_daily, got[s].spark) == want
 
 
+def test_changes_from_a_close_of_zero(spark):
+    """As IEEE 754 has them, also as the best of the day in the brief."""
+    closes = {"a": [0.0, 1.0, 2.0], "b": [1.0, 0.0, 2.0], "c": [0.0, 0.0, 0.0], "d": [2.0, 3.0, 0.0]}
+    df = spark.createDataFrame([(s, i, c, False) for s, own in closes.items() for i, c in enumerate(own)], "symbol string, seq int, close double, pays boolean")
+    got = series.market_metrics(df, 2)
+    inf = float("inf")
+    assert {r.symbol: (str(r.change_pct), str(r.change_pct_daily), r.price) for r in got.collect()} == {"a": ("inf", "100.0", 2.0), "b": ("100.0", "inf", 2.0), "c": ("nan", "nan", 0.0), "d": ("-100.0", "-100.0", 0.0)}
+    rows = got.filter("symbol <> 'c'").withColumn("kind", F.lit("etf"))
+    best = series.finance_stat(series.market_top(rows).withColumn("pos", F.col("nth")), F.lit(NOW)).first()
+    assert (best.symbol, best.change) == ("a", inf)
+    top = spark.createDataFrame([("1", "t", "s", "u")], "id string, title string, source string, url string")
+    brief = series.brief_payload(top, spark.createDataFrame([(31 % 1, "f", "x")], "nth int, title string, text string"), rows, F.lit(NOW))
+    assert brief.select(F.from_json("json", "financeStat struct<symbol: string, change: double>").alias("j")).first().j.financeStat.change == inf
+    assert [str(r.x) for r in spark.createDataFrame([(-inf,), (inf,), (float("nan"),), (-2.25,), (None,)], "x double").select(N.py_round(F.col("x"), 1).alias("x")).collect()] == ["-inf", "inf", "nan", "-2.2", "None"]
+
+
 RSS = b"""\xef\xbb\xbf<?xml version="1.0"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>
 <item><title>Ohne Link</title></item>
 <item><title>Eins &amp;amp; zwei</title><link>http://www.x.org/1?utm_a=b</link><description>dpa meldet</description><pubDate>Tue, 30 Jan 2024 10:00:00 GMT</pubDate><category>Wirtschaft</category><enclosure type="image/jpeg" url="https://x/a.jpg"/></item>
