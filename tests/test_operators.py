@@ -187,6 +187,13 @@ def test_changes_from_a_close_of_zero(spark):
     assert [str(r.x) for r in spark.createDataFrame([(-inf,), (inf,), (float("nan"),), (-2.25,), (None,)], "x double").select(N.py_round(F.col("x"), 1).alias("x")).collect()] == ["-inf", "inf", "nan", "-2.2", "None"]
 
 
+def test_spark_line_rounds_the_binary_value(spark):
+    """Python's and SQL's formatting: 27.15 is a little less than that, 27.25 and 27.75 are exact ties."""
+    values = [0.0, 0.25, 0.75, 0.85, 26.0, 25.95]
+    want = " ".join(f"{i / 5 * 100.0:.1f},{28.0 - v / 26.0 * 26.0:.1f}" for i, v in enumerate(values))
+    assert spark.createDataFrame([(values,)], "v array<double>").select(series.spark_line(F.col("v")).alias("l")).first().l == want
+
+
 RSS = b"""\xef\xbb\xbf<?xml version="1.0"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel>
 <item><title>Ohne Link</title></item>
 <item><title>Eins &amp;amp; zwei</title><link>http://www.x.org/1?utm_a=b</link><description>dpa meldet</description><pubDate>Tue, 30 Jan 2024 10:00:00 GMT</pubDate><category>Wirtschaft</category><enclosure type="image/jpeg" url="https://x/a.jpg"/></item>
