@@ -113,6 +113,35 @@ def test_candidates_have_no_product(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_pairs_are_judged_where_they_are_found(spark):
+    """The same as by plain loops, and nothing is shuffled but rare tokens before they meet."""
+    random.seed(4)
+    words = [f"{a}{b}" for a in "bcdfgklm" for b in ("ando", "erti", "ilmo", "ofan", "unke")]
+    rows = [(random.choice("xyz"), 1, " ".join(random.choices(words, weights=range(1, 41), k=random.randint(1, 9))), random.choice((5, 90, 2900)), random.choice(("de", "en"))) for _ in range(120)]
+    docs, cap = heads(spark, rows), 20
+    w = cluster.written(cluster.weighted(docs, cluster.numbered(cluster.idf_table(docs), cap)), "weighted")
+    got = {(r.a, r.b): r for r in cluster.similarity(w).collect()}
+    assert len(got) == cluster.similarity(w).count()
+    df, idf = {r.token: r.df for r in cluster.idf_table(docs).collect()}, {r.token: r.idf for r in cluster.idf_table(docs).collect()}
+    every, want = sorted(docs.collect(), key=lambda r: r.id), {}
+    for n, a in enumerate(every):
+        for b in every[n + 1 :]:
+            same = set(a.tokens) & set(b.tokens)
+            if a.lang == b.lang and min(len(a.tokens), len(b.tokens)) >= 3 and abs(a.published_at - b.published_at) <= timedelta(hours=36) and any(df[t] <= cap for t in same):
+                x, y, i = (sum(idf[t] for t in k) for k in (a.tokens, b.tokens, same))
+                similar, contained = i / (x + y - i), i / min(x, y)
+                matches = similar >= (0.55 if a.source_key == b.source_key else 0.34) or (len(same) >= 3 and min(len(a.tokens), len(b.tokens)) >= 4 and contained >= 0.62 and similar >= 0.26)
+                want[a.id, b.id] = (len(same), round(similar, 9), round(contained, 9), matches)
+    assert {k: (r.shared, round(r.similarity, 9), round(r.containment, 9), r.matches) for k, r in got.items()} == want
+    assert {k for k, r in got.items()} == {(r.a, r.b) for r in cluster.candidates(docs, cluster.idf_table(docs), cap).collect()} and 0 < sum(r.matches for r in got.values()) < len(got)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = cluster.similarity(w).filter("matches")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(number#") == 2 and "Aggregate" not in plan
+
+
 def test_board_and_its_fingerprint(spark):
     docs = heads(spark, EVENT)
     members = cluster.build(docs).cache()
