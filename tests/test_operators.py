@@ -216,6 +216,14 @@ def test_changes_from_a_close_of_zero(spark):
     assert [str(r.x) for r in spark.createDataFrame([(-inf,), (inf,), (float("nan"),), (-2.25,), (None,)], "x double").select(N.py_round(F.col("x"), 1).alias("x")).collect()] == ["-inf", "inf", "nan", "-2.2", "None"]
 
 
+def test_changes_from_a_close_of_negative_zero(spark):
+    """Zeros keep their sign, so the infinities over them do."""
+    closes = {"a": [-0.0, 1.0], "b": [-0.0, -1.0], "c": [0.0, -1.0], "d": [0.0, 1.0], "e": [-0.0, 0.0]}
+    df = spark.createDataFrame([(s, i, c, False) for s, own in closes.items() for i, c in enumerate(own)], "symbol string, seq int, close double, pays boolean")
+    got = {r.symbol: (str(r.change_pct), str(r.change_pct_daily)) for r in series.market_metrics(df, 2).collect()}
+    assert got == {"a": ("-inf", "-inf"), "b": ("inf", "inf"), "c": ("-inf", "-inf"), "d": ("inf", "inf"), "e": ("nan", "nan")}
+
+
 def test_spark_line_rounds_the_binary_value(spark):
     """Python's and SQL's formatting: 27.15 is a little less than that, 27.25 and 27.75 are exact ties."""
     values = [0.0, 0.25, 0.75, 0.85, 26.0, 25.95]
