@@ -142,6 +142,19 @@ def test_pairs_are_judged_where_they_are_found(spark):
     assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(number#") == 2 and "Aggregate" not in plan
 
 
+def test_headlines_are_shuffled_once_for_both_sides(spark):
+    docs = heads(spark, [("x", 1, "Zoll auf Stahl steigt erneut", 5, "de"), ("y", 1, "Zoll auf Stahl steigt wieder", 5, "de"), ("z", 1, "Regen im Norden", 5, "de")])
+    w = cluster.written(cluster.weighted(docs, cluster.numbered(cluster.idf_table(docs))), "weighted")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pairs = cluster.similarity(w)
+        assert len(pairs.collect()) == 1
+        plan = pairs._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ReusedExchange") == 1
+
+
 def test_board_and_its_fingerprint(spark):
     docs = heads(spark, EVENT)
     members = cluster.build(docs).cache()
