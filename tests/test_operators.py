@@ -155,6 +155,57 @@ def test_headlines_are_shuffled_once_for_both_sides(spark):
     assert plan.count("ReusedExchange") == 1
 
 
+def test_frequent_tokens_link_too(spark, monkeypatch):
+    """Without a cap, the same groups as by plain loops over all pairs: many copies, several stretches of time, frequent tokens in blocks, all keys hot."""
+    from tidewire import session
+
+    random.seed(8)
+    words = [f"{a}{b}" for a in "bcdfgklm" for b in ("ando", "erti", "ilmo", "ofan", "unke")]
+    titles = [" ".join(random.choices(words, weights=range(1, 41), k=random.randint(1, 9))) for _ in range(70)] + [" ".join(random.sample(words[30:], 6) + ["gleich", "immer", "wieder"]) for _ in range(5)]
+    rows = [(random.choice("xyz"), 1, random.choice(titles), random.choice((5, 1900, 2900, 4300, 6100, 9000)) + random.randint(0, 400), random.choice(("de", "de", "en"))) for _ in range(170)]
+    rows += [("x", 1, "Immer wieder dieselbe Nachricht", 60 * n) for n in range(70)] + [("x", 1, "Immer wieder dieselbe alte Nachricht", 60 * 200 + n) for n in range(3)]
+    docs = heads(spark, rows).withColumn("source_key", F.when(F.col("feed_pos") % 11 > 0, F.col("source_key"))).cache()
+    idf, every = {r.token: r.idf for r in cluster.idf_table(docs).collect()}, sorted(docs.collect(), key=lambda r: r.id)
+    root = {r.id: r.id for r in every}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, a in enumerate(every):
+        for b in every[n + 1 :]:
+            same = set(a.tokens) & set(b.tokens)
+            if same and a.lang == b.lang and min(len(a.tokens), len(b.tokens)) >= 3 and abs(a.published_at - b.published_at) <= timedelta(hours=36):
+                x, y, i = (sum(idf[t] for t in k) for k in (a.tokens, b.tokens, same))
+                similar, contained = i / (x + y - i), i / min(x, y)
+                if similar >= (0.55 if a.source_key == b.source_key and a.source_key else 0.34) or (len(same) >= 3 and min(len(a.tokens), len(b.tokens)) >= 4 and contained >= 0.62 and similar >= 0.26):
+                    low, high = sorted((find(a.id), find(b.id)))
+                    root[high] = low
+    want = {r.id: find(r.id) for r in every}
+    assert len(set(want.values())) < len({r.root for r in cluster.components(docs, cluster.similarity(cluster.written(cluster.weighted(docs, cluster.numbered(cluster.idf_table(docs))), "weighted")).filter("matches").select("a", "b")).collect()})  # the cap misses some
+    assert {r.id: r.root for r in cluster.roots(docs).collect()} == want
+    monkeypatch.setattr(cluster, "BLOCK", 7)
+    monkeypatch.setattr(session, "KEY_ROWS", 0)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 20)
+    assert {r.id: r.root for r in cluster.roots(docs.repartition(5)).collect()} == want
+    assert cluster.roots(docs.limit(0)).count() == 0
+
+
+def test_a_headline_of_many_copies_is_one_story_of_the_brief(spark, tmp_path):
+    """daily_brief_top: over 60 copies of a headline from six sources are one story, the first; other tables as in the test data."""
+    from tidewire.plans.queries import QUERIES
+
+    rows = [(n, "Immer wieder dieselbe Nachricht\nText" if n < 200 else f"Etwas anderes{n} passiert{n} heute{n}", "de", f"src{n % 6}") for n in range(210)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    events = [(n, NOW, 1, "click", 1.0, '{"k": 1}') for n in range(3)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    near = [n for n in range(200) if n * 37 % 4320 <= 36 * 60]
+    lead = min((1 + n % 6 % 3, -(n * 37 % 4320), n) for n in near)[2]
+    got = [int(r.url.rsplit("/", 1)[1]) for r in QUERIES["daily_brief_top"](spark, str(tmp_path)).collect()]
+    assert len(near) > 60 and len(got) == 5 and got[0] == lead and not set(got[1:]) & set(near)
+
+
 def test_board_and_its_fingerprint(spark):
     docs = heads(spark, EVENT)
     members = cluster.build(docs).cache()
